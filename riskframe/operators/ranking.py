@@ -140,3 +140,19 @@ def headline_metrics(df: DataFrame, score: str = "score", label: str = "is_fraud
         F.round("pr_auc", 4).alias("pr_auc"),
         F.round(F.lit(row_f["f3"]).cast("double"), 4).alias("fdr_at_3pct"),
         F.round(F.lit(row_f["f5"]).cast("double"), 4).alias("fdr_at_5pct"))
+
+
+def review_threshold_frame(df: DataFrame, rate: float, score: str = "score",
+                           label: str = "is_fraud", id_col: str = "txn_id") -> DataFrame:
+    """One row: the score of the n-th highest row, n = max(1, int(N * rate)), and n."""
+    n_rows, _ = _totals(df, label)
+    k = review_counts(n_rows, [rate])[0]
+    tg = _targets(df.sparkSession, [k], [rate]).select("tid", "k")
+    return top_k_caught(df, tg, score, label, id_col).select("threshold", "k", "caught")
+
+
+def review_threshold(df: DataFrame, rate: float, score: str = "score",
+                     label: str = "is_fraud", id_col: str = "txn_id") -> tuple[float, int]:
+    """(threshold, n) as driver scalars, for use as a filter constant."""
+    row = review_threshold_frame(df, rate, score, label, id_col).first()
+    return float(row["threshold"]), int(row["k"])
