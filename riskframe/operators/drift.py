@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.numeric import rnd
 from riskframe.functions.codes import PSI_MODERATE, psi_label
 from riskframe.operators.prefix import running_sum
 from riskframe.operators.quantiles import exact_quantiles
@@ -88,13 +89,13 @@ def feature_psi_report(ref: DataFrame, cur: DataFrame, features: Sequence[str],
     shift = (F.col("cur_mean") - F.col("ref_mean")) / (F.abs(F.col("ref_mean")) + F.lit(1e-8)) * 100
     return s.join(p, "feature", "left").select(
         "feature",
-        F.round("psi", 5).alias("psi"),
+        rnd("psi", 5).alias("psi"),
         psi_label(F.col("psi")).alias("stability"),
-        F.round("ref_mean", 4).alias("ref_mean"),
-        F.round("cur_mean", 4).alias("cur_mean"),
-        F.round(shift, 2).alias("mean_shift_pct"),
-        F.round(F.col("ref_miss") * 100, 1).alias("ref_missing_pct"),
-        F.round(F.col("cur_miss") * 100, 1).alias("cur_missing_pct"))
+        rnd("ref_mean", 4).alias("ref_mean"),
+        rnd("cur_mean", 4).alias("cur_mean"),
+        rnd(shift, 2).alias("mean_shift_pct"),
+        rnd(F.col("ref_miss") * 100, 1).alias("ref_missing_pct"),
+        rnd(F.col("cur_miss") * 100, 1).alias("cur_missing_pct"))
 
 
 def ks_statistic(ref: DataFrame, cur: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -135,7 +136,7 @@ def kolmogorov_p(d: Column, n_ref: Column, n_cur: Column, terms: int = 100) -> C
 def ks_test(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
     d = ks_statistic(ref, cur, col)
     p = kolmogorov_p(F.col("ks_d"), F.col("n_ref"), F.col("n_cur"))
-    return d.select(F.round("ks_d", 5).alias("ks_statistic"), F.round(p, 6).alias("p_value"),
+    return d.select(rnd("ks_d", 5).alias("ks_statistic"), rnd(p, 6).alias("p_value"),
                     ((F.col("ks_d") > 0.05) & (p < 0.05)).alias("drift_detected"))
 
 
@@ -159,15 +160,15 @@ def score_drift_report(ref: DataFrame, cur: DataFrame, score: str = "score",
     drift = (F.col("ks_d") > 0.05) & (F.col("p") < 0.05)
     return one.select(
         F.lit(window).alias("window"),
-        F.round("psi", 5).alias("psi"),
+        rnd("psi", 5).alias("psi"),
         psi_label(F.col("psi")).alias("psi_label"),
-        F.round("ks_d", 5).alias("ks_statistic"),
-        F.round("p", 6).alias("p_value"),
+        rnd("ks_d", 5).alias("ks_statistic"),
+        rnd("p", 6).alias("p_value"),
         drift.alias("drift_detected"),
-        F.round("ref_mean", 5).alias("ref_mean_score"),
-        F.round("cur_mean", 5).alias("cur_mean_score"),
-        F.round("ref_p95", 5).alias("ref_p95_score"),
-        F.round("cur_p95", 5).alias("cur_p95_score"),
+        rnd("ref_mean", 5).alias("ref_mean_score"),
+        rnd("cur_mean", 5).alias("cur_mean_score"),
+        rnd("ref_p95", 5).alias("ref_p95_score"),
+        rnd("cur_p95", 5).alias("cur_p95_score"),
         ((F.col("psi") >= PSI_MODERATE) | drift).alias("action_required"))
 
 
@@ -188,14 +189,14 @@ def ks_policy(ks: DataFrame) -> DataFrame:
     level = (F.when((F.col("d") > 0.10) & (F.col("p") < 0.01), F.lit("escalate"))
               .when((F.col("d") > 0.05) & (F.col("p") < 0.05), F.lit("flag"))
               .otherwise(F.lit("none")))
-    return ks.select(F.round("d", 5).alias("ks_statistic"), F.round("p", 6).alias("p_value"),
+    return ks.select(rnd("d", 5).alias("ks_statistic"), rnd("p", 6).alias("p_value"),
                      level.alias("ks_level"))
 
 
 def drift_summary(psi: DataFrame, top: int = 10) -> DataFrame:
     """Feature count, significant (>= .20) and moderate (.10-.20) counts, and the
     ``top`` features by rounded psi (ties by name), comma separated."""
-    p5 = F.round("psi", 5)
+    p5 = rnd("psi", 5)
     key = F.struct(F.when(p5.isNull(), F.lit(float("inf"))).otherwise(-p5).alias("k"),
                    F.col("feature").alias("feature"))
     # one entry per monitored feature: bounded by the caller's feature list

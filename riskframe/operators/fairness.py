@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.numeric import rnd
 from riskframe.functions.codes import FOUR_FIFTHS
 
 MIN_GROUP = 100
@@ -53,11 +54,11 @@ def group_metrics(long: DataFrame, threshold: float, score: str = "score",
     d = F.try_divide
     return agg.select(
         "proxy", "group", "n_total", "n_fraud",
-        F.round(d(F.col("n_fraud").cast("double"), F.col("n_total")), 4).alias("fraud_rate"),
-        F.round(d(F.col("_flag").cast("double"), F.col("n_total")), 4).alias("flag_rate"),
-        F.round(d(F.col("_fp").cast("double"), F.col("_fp") + F.col("_tn")), 4).alias("fpr"),
-        F.round(d(F.col("_tp").cast("double"), F.col("_tp") + F.col("_fn")), 4).alias("tpr"),
-        F.round(d(F.col("_tp").cast("double"), F.col("_tp") + F.col("_fp")), 4).alias("precision"))
+        rnd(d(F.col("n_fraud").cast("double"), F.col("n_total")), 4).alias("fraud_rate"),
+        rnd(d(F.col("_flag").cast("double"), F.col("n_total")), 4).alias("flag_rate"),
+        rnd(d(F.col("_fp").cast("double"), F.col("_fp") + F.col("_tn")), 4).alias("fpr"),
+        rnd(d(F.col("_tp").cast("double"), F.col("_tp") + F.col("_fn")), 4).alias("tpr"),
+        rnd(d(F.col("_tp").cast("double"), F.col("_tp") + F.col("_fp")), 4).alias("precision"))
 
 
 def _extremes(metrics: DataFrame, col: str) -> DataFrame:
@@ -83,9 +84,9 @@ def disparate_impact(metrics: DataFrame) -> DataFrame:
         "proxy",
         F.when(two, F.col("_lo_group")).alias("min_flag_group"),
         F.when(two, F.col("_hi_group")).alias("max_flag_group"),
-        F.when(two, F.round("_lo", 4)).alias("min_flag_rate"),
-        F.when(two, F.round("_hi", 4)).alias("max_flag_rate"),
-        F.round(ratio, 4).alias("di_ratio"),
+        F.when(two, rnd("_lo", 4)).alias("min_flag_rate"),
+        F.when(two, rnd("_hi", 4)).alias("max_flag_rate"),
+        rnd(ratio, 4).alias("di_ratio"),
         F.coalesce(ratio < FOUR_FIFTHS, F.lit(False)).alias("adverse_impact_indicated"))
 
 
@@ -98,10 +99,10 @@ def fpr_gap(metrics: DataFrame) -> DataFrame:
         "proxy",
         F.when(two, F.col("_hi_group")).alias("max_fpr_group"),
         F.when(two, F.col("_lo_group")).alias("min_fpr_group"),
-        F.when(two, F.round("_hi", 4)).alias("max_fpr"),
-        F.when(two, F.round("_lo", 4)).alias("min_fpr"),
-        F.round(gap, 4).alias("fpr_gap"),
-        F.round(gap * 100, 2).alias("fpr_gap_pct_pts"))
+        F.when(two, rnd("_hi", 4)).alias("max_fpr"),
+        F.when(two, rnd("_lo", 4)).alias("min_fpr"),
+        rnd(gap, 4).alias("fpr_gap"),
+        rnd(gap * 100, 2).alias("fpr_gap_pct_pts"))
 
 
 def fairness_suite(df: DataFrame, proxies: Sequence[str], threshold: float,
@@ -116,4 +117,4 @@ def fairness_suite(df: DataFrame, proxies: Sequence[str], threshold: float,
 def fairness_report(metrics: DataFrame, threshold: float) -> DataFrame:
     """Per proxy: threshold, disparate impact and FPR gap in one row."""
     return (disparate_impact(metrics).join(fpr_gap(metrics), "proxy", "full")
-            .withColumn("threshold", F.round(F.lit(threshold), 4)))
+            .withColumn("threshold", rnd(F.lit(threshold), 4)))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.numeric import rnd
 from riskframe.operators.quantiles import exact_quantiles
 
 
@@ -21,8 +22,8 @@ def class_balance(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     agg = df.agg(F.count(F.lit(1)).alias("n_total"), F.sum(y).alias("n_fraud"))
     return agg.select(
         "n_total", "n_fraud", (F.col("n_total") - F.col("n_fraud")).alias("n_legit"),
-        F.round(F.col("n_fraud") / F.col("n_total"), 6).alias("fraud_rate"),
-        F.round(F.try_divide((F.col("n_total") - F.col("n_fraud")).cast("double"),
+        rnd(F.col("n_fraud") / F.col("n_total"), 6).alias("fraud_rate"),
+        rnd(F.try_divide((F.col("n_total") - F.col("n_fraud")).cast("double"),
                              F.col("n_fraud")), 4).alias("legit_per_fraud"))
 
 
@@ -31,7 +32,7 @@ def daily_fraud_rate(df: DataFrame, day: str = "tx_day", label: str = "is_fraud"
     y = F.col(label).cast("long")
     return (df.groupBy(day)
               .agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_fraud"))
-              .withColumn("fraud_rate", F.round(F.col("n_fraud") / F.col("n"), 6)))
+              .withColumn("fraud_rate", rnd(F.col("n_fraud") / F.col("n"), 6)))
 
 
 def split_day(df: DataFrame, day: str = "tx_day", q: float = 0.8) -> DataFrame:
@@ -49,7 +50,7 @@ def amount_by_class(df: DataFrame, amt: str = "amt", label: str = "is_fraud") ->
         for i, n in enumerate(["q1", "median", "q3", "p95"])])
     means = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(amt).alias("mean"))
     return means.join(wide, label).select(
-        label, "n", *[F.round(c, 4).alias(c) for c in ["mean", "median", "p95", "q1", "q3"]])
+        label, "n", *[rnd(c, 4).alias(c) for c in ["mean", "median", "p95", "q1", "q3"]])
 
 
 def amount_histogram(df: DataFrame, bins: int = 60, amt: str = "amt",
@@ -72,9 +73,9 @@ def amount_histogram(df: DataFrame, bins: int = 60, amt: str = "amt",
                 .agg(F.count(F.lit(1)).alias("n")))
     return counted.join(F.broadcast(rng), "cls").select(
         "cls", "bin",
-        F.round(F.col("lo") + F.col("bin") * w, 6).alias("bin_lo"),
+        rnd(F.col("lo") + F.col("bin") * w, 6).alias("bin_lo"),
         "n",
-        F.round(F.try_divide(F.col("n").cast("double"), F.col("n_cls") * w), 6).alias("density"))
+        rnd(F.try_divide(F.col("n").cast("double"), F.col("n_cls") * w), 6).alias("density"))
 
 
 def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -82,7 +83,7 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     cols = list(cols or df.columns)
     wide = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])
     long = wide.unpivot([], cols, "column", "missing_share")
-    return long.select("column", F.round("missing_share", 6).alias("missing_share"))
+    return long.select("column", rnd("missing_share", 6).alias("missing_share"))
 
 
 def missing_summary(df: DataFrame, cols: Sequence[str] | None = None,
@@ -101,7 +102,7 @@ def category_fraud_rate(df: DataFrame, col: str, label: str = "is_fraud",
     agg = (df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value"))
              .agg(F.avg(y).alias("fraud_rate"), F.count(F.lit(1)).alias("n")))
     return (agg.orderBy(F.desc("fraud_rate"), "value").limit(top)
-               .select("value", F.round("fraud_rate", 6).alias("fraud_rate"), "n"))
+               .select("value", rnd("fraud_rate", 6).alias("fraud_rate"), "n"))
 
 
 def label_correlation(df: DataFrame, cols: Sequence[str], label: str = "is_fraud") -> DataFrame:
@@ -109,8 +110,8 @@ def label_correlation(df: DataFrame, cols: Sequence[str], label: str = "is_fraud
     y = F.col(label).cast("double")
     wide = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(c) for c in cols])
     long = wide.unpivot([], list(cols), "feature", "corr")
-    return long.select("feature", F.round("corr", 6).alias("corr"),
-                       F.round(F.abs("corr"), 6).alias("abs_corr"))
+    return long.select("feature", rnd("corr", 6).alias("corr"),
+                       rnd(F.abs("corr"), 6).alias("abs_corr"))
 
 
 def identity_match(df: DataFrame, ident: str = "device", label: str = "is_fraud") -> DataFrame:
@@ -118,8 +119,8 @@ def identity_match(df: DataFrame, ident: str = "device", label: str = "is_fraud"
     has = F.col(ident).isNotNull()
     y = F.col(label).cast("double")
     return df.agg(
-        F.round(F.avg(has.cast("double")), 6).alias("match_rate"),
+        rnd(F.avg(has.cast("double")), 6).alias("match_rate"),
         F.count(F.when(has, 1)).alias("n_with_identity"),
         F.count(F.when(~has, 1)).alias("n_without_identity"),
-        F.round(F.avg(F.when(has, y)), 6).alias("fraud_rate_with"),
-        F.round(F.avg(F.when(~has, y)), 6).alias("fraud_rate_without"))
+        rnd(F.avg(F.when(has, y)), 6).alias("fraud_rate_with"),
+        rnd(F.avg(F.when(~has, y)), 6).alias("fraud_rate_without"))

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.functions.numeric import rnd
 from riskframe.operators.prefix import running_sum
 
 # Review rates of the operational threshold table.
@@ -106,12 +107,12 @@ def threshold_table(df: DataFrame, score: str = "score", label: str = "is_fraud"
     res = top_k_caught(df, tg.select("tid", "k"), score, label, id_col).join(
         F.broadcast(tg.select("tid", "rate")), "tid")
     return res.select(
-        F.round(F.col("rate") * 100, 1).alias("review_rate_pct"),
-        F.round("threshold", 4).alias("threshold"),
+        rnd(F.col("rate") * 100, 1).alias("review_rate_pct"),
+        rnd("threshold", 4).alias("threshold"),
         F.col("k").alias("n_reviewed"),
         F.col("caught").alias("fraud_caught"),
-        F.round(F.try_divide(F.col("caught").cast("double"), F.lit(float(n_pos))), 4).alias("fdr"),
-        F.round(F.col("caught") / F.col("k"), 4).alias("precision"),
+        rnd(F.try_divide(F.col("caught").cast("double"), F.lit(float(n_pos))), 4).alias("fdr"),
+        rnd(F.col("caught") / F.col("k"), 4).alias("precision"),
     )
 
 
@@ -136,10 +137,10 @@ def headline_metrics(df: DataFrame, score: str = "score", label: str = "is_fraud
         F.max(F.when(F.col("tid") == 1, F.col("fdr"))).alias("f5"))
     row_f = piv.first()
     return aa.select(
-        F.round("roc_auc", 4).alias("roc_auc"),
-        F.round("pr_auc", 4).alias("pr_auc"),
-        F.round(F.lit(row_f["f3"]).cast("double"), 4).alias("fdr_at_3pct"),
-        F.round(F.lit(row_f["f5"]).cast("double"), 4).alias("fdr_at_5pct"))
+        rnd("roc_auc", 4).alias("roc_auc"),
+        rnd("pr_auc", 4).alias("pr_auc"),
+        rnd(F.lit(row_f["f3"]).cast("double"), 4).alias("fdr_at_3pct"),
+        rnd(F.lit(row_f["f5"]).cast("double"), 4).alias("fdr_at_5pct"))
 
 
 def review_threshold_frame(df: DataFrame, rate: float, score: str = "score",
@@ -156,3 +157,58 @@ def review_threshold(df: DataFrame, rate: float, score: str = "score",
     """(threshold, n) as driver scalars, for use as a filter constant."""
     row = review_threshold_frame(df, rate, score, label, id_col).first()
     return float(row["threshold"]), int(row["k"])
+
+
+def curve_points(df: DataFrame, score: str = "score", label: str = "is_fraud") -> DataFrame:
+    """One point per distinct threshold (score >= t flagged): fpr, tpr, precision, recall."""
+    st = score_table(df, score, label)
+    cum = running_sum(st, "score", ["pos", "neg"], descending=True)
+    tot = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    P, N = float(tot["P"] or 0), float(tot["N"] or 0)
+    return cum.select(
+        F.col("score").alias("threshold"),
+        F.try_divide(F.col("neg_cum").cast("double"), F.lit(N)).alias("fpr"),
+        F.try_divide(F.col("pos_cum").cast("double"), F.lit(P)).alias("tpr"),
+        (F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))).alias("precision"),
+        F.try_divide(F.col("pos_cum").cast("double"), F.lit(P)).alias("recall"))
+
+
+def confusion_at_threshold(df: DataFrame, threshold: float, score: str = "score",
+                           label: str = "is_fraud") -> DataFrame:
+    """tp, fp, fn, tn at flag = score >= threshold; recall, precision, false discovery share."""
+    flag = F.col(score) >= F.lit(threshold)
+    y = F.col(label) == 1
+    c = df.agg(F.count(F.when(flag & y, 1)).alias("tp"), F.count(F.when(flag & ~y, 1)).alias("fp"),
+               F.count(F.when(~flag & y, 1)).alias("fn"), F.count(F.when(~flag & ~y, 1)).alias("tn"))
+    d = F.try_divide
+    return c.select("tp", "fp", "fn", "tn",
+                    rnd(d(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), 4).alias("recall"),
+                    rnd(d(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), 4).alias("precision"),
+                    rnd(d(F.col("fp").cast("double"), F.col("tp") + F.col("fp")), 4)
+                    .alias("false_discovery_share"))
+
+
+def model_comparison(long: DataFrame, models: Sequence[str], score: str = "score",
+                     label: str = "is_fraud", id_col: str = "txn_id") -> DataFrame:
+    """Headline metrics per model from a long (model, id, label, score) table.
+
+    AUC/AP run as one grouped job; the detection rates are one top-k job per
+    model (the model list is the caller's, small)."""
+    aa = auc_ap(long, score, label, by=["model"])
+    parts = None
+    for m in models:
+        fd = fdr_at_rates(long.filter(F.col("model") == m), (0.03, 0.05), score, label, id_col)
+        one = fd.groupBy().agg(
+            F.max(F.when(F.col("tid") == 0, F.col("fdr"))).alias("fdr_at_3pct"),
+            F.max(F.when(F.col("tid") == 1, F.col("fdr"))).alias("fdr_at_5pct")
+        ).withColumn("model", F.lit(m))
+        parts = one if parts is None else parts.unionByName(one)
+    return aa.join(parts, "model").select(
+        "model", rnd("roc_auc", 4).alias("roc_auc"), rnd("pr_auc", 4).alias("pr_auc"),
+        rnd("fdr_at_3pct", 4).alias("fdr_at_3pct"), rnd("fdr_at_5pct", 4).alias("fdr_at_5pct"),
+        F.col("n_rows"))
+
+
+def top_k_by_score(df: DataFrame, k: int, score: str = "score", id_col: str = "txn_id") -> DataFrame:
+    """The k highest-scored rows, ties by id (per-task top-k, then a merge)."""
+    return df.orderBy(F.desc(score), F.asc(id_col)).limit(k)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.numeric import rnd
 from riskframe.operators.prefix import key_at_count, running_sum
 
 
@@ -73,9 +74,9 @@ def split_report(split_df: DataFrame, label: str = "is_fraud", order: str = "dt"
         F.min(F.when(va, F.col(order))).alias("val_min_dt"))
     return agg.select(
         "*",
-        F.round(F.try_divide(F.col("train_fraud").cast("double"), F.col("train_rows")), 4)
+        rnd(F.try_divide(F.col("train_fraud").cast("double"), F.col("train_rows")), 4)
          .alias("train_fraud_rate"),
-        F.round(F.try_divide(F.col("val_fraud").cast("double"), F.col("val_rows")), 4)
+        rnd(F.try_divide(F.col("val_fraud").cast("double"), F.col("val_rows")), 4)
          .alias("val_fraud_rate"),
         (F.col("train_max_dt") <= F.col("val_min_dt")).alias("no_leakage"))
 

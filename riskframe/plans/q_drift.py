@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskframe.functions.numeric import rnd
 from riskframe.functions import features as fx
 from riskframe.functions.codes import psi_label
 from riskframe.operators import drift as dr
@@ -99,7 +100,7 @@ def q_quantile_edges(spark, sf_dir):
     tr, _ = splits(spark, sf_dir)
     e = dr.reference_edges(dr.to_long(tr, FEATURES))
     return e.select("feature", F.posexplode("edges").alias("edge_idx", "edge")).select(
-        "feature", "edge_idx", F.round("edge", 6).alias("edge"))
+        "feature", "edge_idx", rnd("edge", 6).alias("edge"))
 
 
 @register("bin_counts", with_txn(SPLITF_CTE, _psi_ctes(FEATURES), body="""
@@ -128,7 +129,7 @@ SELECT feature, round(psi, 5) AS psi, n_ref, n_cur, CAST(n_bins AS INTEGER) AS n
 def q_psi(spark, sf_dir):
     """PSI per feature, train vs val, epsilon on counts."""
     tr, va = splits(spark, sf_dir)
-    return dr.psi_table(tr, va, FEATURES).withColumn("psi", F.round("psi", 5))
+    return dr.psi_table(tr, va, FEATURES).withColumn("psi", rnd("psi", 5))
 
 
 @register("psi_label", with_txn(SPLITF_CTE, _psi_ctes(FEATURES), body=f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskframe.functions.numeric import rnd
 from riskframe.operators import fairness as fa
 from riskframe.operators import ranking
 from riskframe.plans.catalog import register
@@ -86,7 +87,7 @@ def suite(spark, sf_dir):
 def q_review_threshold(spark, sf_dir):
     """Score of the n-th highest val row, n = max(1, int(N * 0.03))."""
     val, t = val_and_threshold(spark, sf_dir)
-    return ranking.review_threshold_frame(val, 0.03).select(F.round("threshold", 6).alias("threshold"))
+    return ranking.review_threshold_frame(val, 0.03).select(rnd("threshold", 6).alias("threshold"))
 
 
 @register("collapse_small_groups", with_txn(_VAL_CTE, body="""

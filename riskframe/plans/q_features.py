@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskframe.functions.numeric import rnd
 from riskframe.functions import features as fx
 from riskframe.plans.catalog import register
 from riskframe.plans.oracle import FEAT_CTE, with_txn
@@ -18,5 +19,5 @@ FROM feat
 def q_build_features(spark, sf_dir):
     """log1p amount, card-email key, hour fraction, weekday proxy, day number for every row."""
     f = fx.build_features(txn(spark, sf_dir))
-    return f.select("txn_id", F.round("amt_log", 6).alias("amt_log"), "uid_card_email",
-                    F.round("tx_hour", 6).alias("tx_hour"), "tx_dayofweek", "tx_day")
+    return f.select("txn_id", rnd("amt_log", 6).alias("amt_log"), "uid_card_email",
+                    rnd("tx_hour", 6).alias("tx_hour"), "tx_dayofweek", "tx_day")

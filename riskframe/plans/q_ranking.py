@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskframe.functions.numeric import rnd
 from riskframe.operators import ranking
 from riskframe.plans.catalog import register
 from riskframe.plans.oracle import with_txn
@@ -50,7 +51,7 @@ FROM cum
 """))
 def q_roc_auc(spark, sf_dir):
     """Exact ROC-AUC with ties counted one half."""
-    return ranking.auc_ap(txn(spark, sf_dir)).select(F.round("roc_auc", 4).alias("roc_auc"))
+    return ranking.auc_ap(txn(spark, sf_dir)).select(rnd("roc_auc", 4).alias("roc_auc"))
 
 
 @register("average_precision", with_txn("""st AS (
@@ -65,4 +66,4 @@ FROM cum
 """))
 def q_average_precision(spark, sf_dir):
     """Average precision: sum over distinct thresholds of recall step times precision."""
-    return ranking.auc_ap(txn(spark, sf_dir)).select(F.round("pr_auc", 4).alias("pr_auc"))
+    return ranking.auc_ap(txn(spark, sf_dir)).select(rnd("pr_auc", 4).alias("pr_auc"))
