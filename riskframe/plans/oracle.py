@@ -43,3 +43,17 @@ FEAT_CTE = """feat AS (
 def with_txn(*ctes: str, body: str) -> str:
     parts = [TXN_CTE, *ctes]
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+def reason_code_sql(x: str) -> str:
+    """The feature -> code rule of functions.codes as a SQL CASE expression."""
+    from riskframe.functions import codes
+    parts = [f"WHEN {x} = '{k}' THEN '{v}'" for k, v in codes.FEATURE_CODES.items()]
+    parts += [f"WHEN regexp_matches({x}, '{p}') THEN '{c}'" for p, c in codes.FEATURE_PATTERNS]
+    return "CASE " + " ".join(parts) + f" ELSE '{codes.FALLBACK_CODE}' END"
+
+
+def reason_text_sql(x: str) -> str:
+    from riskframe.functions import codes
+    parts = [f"WHEN {x} = '{k}' THEN '{v}'" for k, v in codes.REASON_CODES.items()]
+    return "CASE " + " ".join(parts) + " END"
