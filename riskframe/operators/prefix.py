@@ -31,11 +31,16 @@ def default_buckets(df: DataFrame) -> int:
 
 def running_sum(df: DataFrame, key: str | Column, cols: Sequence[str],
                 by: Sequence[str] = (), descending: bool = False,
-                buckets: int | None = None, suffix: str = "_cum") -> DataFrame:
+                buckets: int | None = None, suffix: str = "_cum",
+                order: Sequence[str | Column] | None = None) -> DataFrame:
     """Add ``<col><suffix>`` = inclusive running sum of each col, ordered by key.
 
     ``key`` must be numeric and unique within each ``by`` group (aggregate
     first). ``descending`` runs the sum from the largest key down.
+
+    With ``order`` the rows are ordered by those columns instead (unique within
+    a group) and ``key`` only has to be a monotone non-decreasing numeric
+    function of that order; it is used to cut buckets.
     """
     by = list(by)
     buckets = buckets or default_buckets(df)
@@ -64,7 +69,7 @@ def running_sum(df: DataFrame, key: str | Column, cols: Sequence[str],
     offsets = totals.select(*by, _BKT, *[
         F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in cols])
 
-    w_run = (Window.partitionBy(*by, _BKT).orderBy(_ORD)
+    w_run = (Window.partitionBy(*by, _BKT).orderBy(*(order or [_ORD]))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = ordered.join(offsets, [*by, _BKT], "left")
     out = out.withColumns({
@@ -81,3 +86,14 @@ def key_at_count(df: DataFrame, key: str, target: int,
     """
     counted = running_sum(df.withColumn("_one", F.lit(1).cast("long")), key, ["_one"], by=by)
     return counted.filter(F.col("_one_cum") == target).drop("_one", "_one_cum")
+
+
+def string_order_key(col: str | Column) -> Column:
+    """Monotone numeric key of a string: its first 7 UTF-8 bytes read as an
+    unsigned big-endian integer (shorter strings padded with zero bytes).
+
+    Binary string order implies non-decreasing keys, so the key can cut
+    buckets for a running sum ordered by the full string."""
+    c = F.col(col) if isinstance(col, str) else col
+    hx = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
+    return F.conv(hx, 16, 10).cast("double")

@@ -34,7 +34,7 @@ def register(name: str, sql: str | None = None):
 def _load_all() -> None:
     # importing the modules registers their queries
     from riskframe.plans import (  # noqa: F401
-        q_drift, q_explain, q_fairness, q_features, q_lookup, q_profile, q_ranking, q_ranking2, q_split,
+        q_drift, q_encode, q_explain, q_fairness, q_features, q_lookup, q_profile, q_ranking, q_ranking2, q_split,
     )
 
 
