@@ -119,3 +119,26 @@ def reason_coverage(importance: DataFrame, top: int = 20) -> DataFrame:
     code = codes.reason_code(F.col("feature"))
     return (importance.orderBy(F.desc("mean_abs_contribution"), "feature").limit(top)
                       .select("feature", code.alias("reason_code"), codes.reason_text(code).alias("reason_text")))
+
+
+def triage_rules(scored: DataFrame, features: Sequence[str], strong: float = 0.5, n: int = 4,
+                 score: str = "score", id_col: str = "txn_id") -> DataFrame:
+    """Written scoring guidance as columns over the top-n contributions:
+    high = score >= .70 with >= 2 positive factors; medium = score >= .40 or a
+    factor >= ``strong``; else low. Decline only when high with adverse codes,
+    approve when low, else escalate."""
+    names = source_names(features)
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    top = top_reasons_array(F.col("contrib"), values, names, n)
+    pos = F.filter(top, lambda e: rnd(e["contribution"], 5) > 0)
+    n_pos = F.size(pos)
+    n_strong = F.size(F.filter(top, lambda e: e["contribution"] >= strong))
+    n_codes = F.size(F.array_distinct(F.transform(pos, lambda e: codes.reason_code(e["feature"]))))
+    s = F.col(score)
+    risk = (F.when((s >= 0.70) & (n_pos >= 2), F.lit("high"))
+             .when((s >= 0.40) | (n_strong >= 1), F.lit("medium"))
+             .otherwise(F.lit("low")))
+    action = (F.when((risk == "high") & (n_codes > 0), F.lit("auto_decline"))
+               .when(risk == "low", F.lit("auto_approve")).otherwise(F.lit("escalate")))
+    return scored.select(id_col, n_pos.alias("n_positive_factors"), n_strong.alias("n_strong_factors"),
+                         risk.alias("risk"), action.alias("action"))

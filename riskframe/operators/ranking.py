@@ -53,33 +53,39 @@ def review_counts(n_rows: int, rates: Sequence[float]) -> list[int]:
 
 
 def top_k_caught(df: DataFrame, targets: DataFrame, score: str = "score",
-                 label: str = "is_fraud", id_col: str = "txn_id") -> DataFrame:
-    """For each target row (tid, k): the k-th highest score and the positives in
-    the top k rows ordered by (score desc, id asc).
+                 label: str = "is_fraud", id_col: str = "txn_id",
+                 by: Sequence[str] = ()) -> DataFrame:
+    """For each target row (by..., tid, k): the k-th highest score of its group
+    and the positives in the group's top k rows ordered by (score desc, id asc).
 
-    Output: tid, k, threshold, caught.
+    Output: by..., tid, k, threshold, caught.
     """
-    st = score_table(df, score, label)
-    cum = running_sum(st, "score", ["n", "pos"], descending=True)
+    by = list(by)
+    st = score_table(df, score, label, by)
+    cum = running_sum(st, "score", ["n", "pos"], by=by, descending=True)
+    tg = targets.select(*[F.col(b).alias(f"_g_{b}") for b in by], "tid", "k")
     # boundary score of each target: the first score whose running count reaches k
-    hit = (cum.join(F.broadcast(targets),
-                    (F.col("n_cum") - F.col("n") < F.col("k")) & (F.col("n_cum") >= F.col("k")))
-              .select("tid", "k", F.col("score").alias("threshold"),
+    cond = (F.col("n_cum") - F.col("n") < F.col("k")) & (F.col("n_cum") >= F.col("k"))
+    for b in by:
+        cond = cond & (F.col(b) == F.col(f"_g_{b}"))
+    hit = (cum.join(tg if by else F.broadcast(tg), cond)
+              .select(*by, "tid", "k", F.col("score").alias("threshold"),
                       (F.col("pos_cum") - F.col("pos")).alias("pos_before"),
                       (F.col("k") - (F.col("n_cum") - F.col("n"))).alias("m"),
                       F.col("n").alias("tie_n"), F.col("pos").alias("tie_pos")))
     # rows at a boundary score where only part of the tie is inside the top k
     partial = hit.filter((F.col("m") < F.col("tie_n")) & (F.col("tie_pos") > 0)
                          & (F.col("tie_pos") < F.col("tie_n")))
-    tie_rows = (df.select(F.col(score).alias("threshold"), F.col(id_col).alias("_id"),
+    part_small = partial.select(*by, "tid", "threshold", "m")
+    tie_rows = (df.select(*by, F.col(score).alias("threshold"), F.col(id_col).alias("_id"),
                           F.col(label).cast("long").alias("_y"))
-                  .join(F.broadcast(partial.select("tid", "threshold", "m")), "threshold"))
+                  .join(part_small if by else F.broadcast(part_small), [*by, "threshold"]))
     ranked = running_sum(tie_rows.withColumn("_one", F.lit(1).cast("long")), "_id",
-                         ["_one", "_y"], by=["tid"])
+                         ["_one", "_y"], by=[*by, "tid"])
     tie_tp = (ranked.filter(F.col("_one_cum") == F.col("m"))
-                    .select("tid", F.col("_y_cum").alias("tie_caught")))
-    return (hit.join(tie_tp, "tid", "left").select(
-        "tid", "k", "threshold",
+                    .select(*by, "tid", F.col("_y_cum").alias("tie_caught")))
+    return (hit.join(tie_tp, [*by, "tid"], "left").select(
+        *by, "tid", "k", "threshold",
         (F.col("pos_before") + F.coalesce(
             F.col("tie_caught"),
             F.when(F.col("m") >= F.col("tie_n"), F.col("tie_pos"))
@@ -87,6 +93,25 @@ def top_k_caught(df: DataFrame, targets: DataFrame, score: str = "score",
              .otherwise(F.col("m")))).alias("caught")))
 
 
+def grouped_fdr(df: DataFrame, rates: Sequence[float], by: Sequence[str], score: str = "score",
+                label: str = "is_fraud", id_col: str = "txn_id") -> DataFrame:
+    """Detection rate at each review rate inside every group (one job for all groups).
+
+    Per group: k = max(1, floor(n * rate)) in doubles; output by..., tid, rate, k,
+    caught, fdr."""
+    by = list(by)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
+                                 F.sum(F.col(label).cast("long")).alias("_p"))
+    rate_arr = F.array(*[F.lit(float(r)) for r in rates])
+    tg = (counts.select(*by, "_n", "_p", F.posexplode(rate_arr).alias("tid", "rate"))
+                .withColumn("k", F.greatest(F.lit(1).cast("long"),
+                                            F.floor(F.col("_n").cast("double") * F.col("rate")).cast("long"))))
+    res = top_k_caught(df, tg.select(*by, "tid", "k"), score, label, id_col, by)
+    return res.join(tg.select(*by, "tid", "rate", "_p"), [*by, "tid"]).select(
+        *by, "tid", "rate", "k", "caught",
+        F.try_divide(F.col("caught").cast("double"), F.col("_p")).alias("fdr"))
+
+
 def _totals(df: DataFrame, label: str) -> tuple[int, int]:
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p")).first()
     return int(row["n"]), int(row["p"] or 0)
@@ -188,23 +213,17 @@ def confusion_at_threshold(df: DataFrame, threshold: float, score: str = "score"
                     .alias("false_discovery_share"))
 
 
-def model_comparison(long: DataFrame, models: Sequence[str], score: str = "score",
-                     label: str = "is_fraud", id_col: str = "txn_id") -> DataFrame:
-    """Headline metrics per model from a long (model, id, label, score) table.
-
-    AUC/AP run as one grouped job; the detection rates are one top-k job per
-    model (the model list is the caller's, small)."""
-    aa = auc_ap(long, score, label, by=["model"])
-    parts = None
-    for m in models:
-        fd = fdr_at_rates(long.filter(F.col("model") == m), (0.03, 0.05), score, label, id_col)
-        one = fd.groupBy().agg(
-            F.max(F.when(F.col("tid") == 0, F.col("fdr"))).alias("fdr_at_3pct"),
-            F.max(F.when(F.col("tid") == 1, F.col("fdr"))).alias("fdr_at_5pct")
-        ).withColumn("model", F.lit(m))
-        parts = one if parts is None else parts.unionByName(one)
-    return aa.join(parts, "model").select(
-        "model", rnd("roc_auc", 4).alias("roc_auc"), rnd("pr_auc", 4).alias("pr_auc"),
+def model_comparison(long: DataFrame, score: str = "score", label: str = "is_fraud",
+                     id_col: str = "txn_id", group: str = "model") -> DataFrame:
+    """Headline metrics per model from a long (model, id, label, score) table,
+    all models in the same grouped jobs."""
+    aa = auc_ap(long, score, label, by=[group])
+    fd = grouped_fdr(long, (0.03, 0.05), [group], score, label, id_col)
+    f = fd.groupBy(group).agg(
+        F.max(F.when(F.col("tid") == 0, F.col("fdr"))).alias("fdr_at_3pct"),
+        F.max(F.when(F.col("tid") == 1, F.col("fdr"))).alias("fdr_at_5pct"))
+    return aa.join(f, group).select(
+        group, rnd("roc_auc", 4).alias("roc_auc"), rnd("pr_auc", 4).alias("pr_auc"),
         rnd("fdr_at_3pct", 4).alias("fdr_at_3pct"), rnd("fdr_at_5pct", 4).alias("fdr_at_5pct"),
         F.col("n_rows"))
 

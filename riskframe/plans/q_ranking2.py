@@ -137,7 +137,7 @@ def q_model_comparison(spark, sf_dir):
     for m, e in _MODELS.items():
         part = t.select(F.lit(m).alias("model"), "txn_id", "is_fraud", F.expr(e).cast("double").alias("score"))
         long = part if long is None else long.unionByName(part)
-    return ranking.model_comparison(long, list(_MODELS))
+    return ranking.model_comparison(long)
 
 
 @register("top_k_by_score", with_txn(body="""
