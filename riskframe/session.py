@@ -55,3 +55,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ship_by_value(*modules) -> None:
+    """Pickle the functions of these modules by value, so Python tasks run them
+    without the package being installed on the workers."""
+    from pyspark import cloudpickle
+    for m in modules:
+        cloudpickle.register_pickle_by_value(m)
