@@ -12,7 +12,7 @@ from riskframe.plans.oracle import with_txn
 from riskframe.plans.q_cases import _EVAL_CTE, eval_set
 from riskframe.session import ensure_checkpoint_dir
 from riskframe.sources import reports as rp
-from riskframe.sources.tables import table
+from riskframe.sources.tables import fact_table
 
 _TOP_SQL = "[" + ", ".join(f"'{x}'" for x in rp.TOP_FEATURES) + "]"
 
@@ -203,7 +203,7 @@ def q_guard_pass_rates(spark, sf_dir):
     f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in PII_SQL) + " FROM documents"))
 def q_pii_scan_documents(spark, sf_dir):
     """Personal-data pattern counts over every whole document text."""
-    return gr.scan_text_pii(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return gr.scan_text_pii(fact_table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 # --- agreement over the evaluation cases -----------------------------------
