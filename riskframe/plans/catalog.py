@@ -34,7 +34,7 @@ def register(name: str, sql: str | None = None):
 def _load_all() -> None:
     # importing the modules registers their queries
     from riskframe.plans import (  # noqa: F401
-        q_cases, q_drift, q_encode, q_explain, q_fairness, q_features, q_guard, q_lookup, q_models, q_monitor, q_profile, q_ranking, q_ranking2, q_split,
+        q_cases, q_drift, q_encode, q_explain, q_fairness, q_features, q_guard, q_lookup, q_models, q_monitor, q_profile, q_ranking, q_ranking2, q_split, q_stream,
     )
 
 

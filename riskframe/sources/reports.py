@@ -30,7 +30,7 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def build_reports(t: DataFrame) -> DataFrame:
+def build_reports(t: DataFrame, keep: list[str] | None = None) -> DataFrame:
     d = F.pmod(F.col("txn_id"), F.lit(10))
     err = d == 0
     band = codes.risk_band(F.col("score"))
@@ -81,7 +81,7 @@ def build_reports(t: DataFrame) -> DataFrame:
         risk.alias("risk_assessment"), act.alias("recommended_action"), prio_raw.alias("priority_raw"),
         narrative.alias("sar_narrative"), rc.alias("reason_codes"), evidence.alias("evidence"),
         top.alias("top_features"), log.alias("tool_log"),
-        F.col("score"), F.col("is_fraud"))
+        F.col("score"), F.col("is_fraud"), *(keep or []))
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:

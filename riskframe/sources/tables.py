@@ -48,9 +48,17 @@ DT_EXPR = ("cast(unix_timestamp(ts) - unix_timestamp(timestamp_ntz'2024-01-01 00
            " as bigint)")
 
 
-def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored transaction table (11 columns)."""
-    ev = fact_table(spark, sf_dir, "events")
+EPOCH_2024 = 1704067200          # 2024-01-01 00:00:00 UTC in epoch seconds
+
+
+def identity_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "BUILDING")
+            .select("c_custkey", "c_nationkey"))
+
+
+def txn_from_events(ev: DataFrame, ident: DataFrame, event_time: bool = False) -> DataFrame:
+    """The binding over any events frame (batch or stream) and the identity side.
+    ``event_time`` adds an instant column for streaming windows and watermarks."""
     b = ev.select(
         F.col("event_id").alias("txn_id"),
         F.expr(DT_EXPR).alias("dt"),
@@ -73,15 +81,19 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dist1": F.when(F.col("k") % 5 < 3, F.lit(None).cast("double"))
                   .otherwise(F.col("amt") * F.lit(0.5)),
     })
-    ident = (table(spark, sf_dir, "customer")
-             .filter(F.col("c_mktsegment") == "BUILDING")
-             .select("c_custkey", "c_nationkey"))
     device: Column = (F.when(F.col("c_custkey").isNull(), F.lit(None).cast("string"))
                       .when(F.col("c_nationkey") % 2 == 0, F.lit("mobile"))
                       .otherwise(F.lit("desktop")))
-    return (b.join(ident, b.card_id == ident.c_custkey, "left")
-             .select("txn_id", "dt", "amt", "card_id", "product", "k", "u", "is_fraud",
-                     "score", "email", "dist1", device.alias("device")))
+    cols = ["txn_id", "dt", "amt", "card_id", "product", "k", "u", "is_fraud",
+            "score", "email", "dist1", device.alias("device")]
+    if event_time:
+        cols.append(F.timestamp_seconds(F.col("dt") + F.lit(EPOCH_2024)).alias("event_time"))
+    return b.join(ident, b.card_id == ident.c_custkey, "left").select(*cols)
+
+
+def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored transaction table (12 columns)."""
+    return txn_from_events(fact_table(spark, sf_dir, "events"), identity_side(spark, sf_dir))
 
 
 def lineitem_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
