@@ -153,3 +153,14 @@ def q_reason_code(spark, sf_dir):
         (F.col("k") % 40).cast("string"))
     names = ev.select(F.concat(pre, suf).alias("feature")).distinct()
     return names.select("feature", codes.reason_code(F.col("feature")).alias("reason_code"))
+
+
+@register("first_seen_dedupe", with_txn(*BASE, """tp6 AS (SELECT * FROM (
+    SELECT cl.*, row_number() OVER (PARTITION BY txn_id ORDER BY abs(c) DESC, idx) AS rank FROM cl) WHERE rank <= 6),
+fs6 AS (SELECT txn_id, """ + reason_code_sql("feature") + """ AS reason_code, min(rank) AS r FROM tp6
+        GROUP BY txn_id, """ + reason_code_sql("feature") + ")", body="""
+SELECT txn_id, string_agg(reason_code, ',' ORDER BY r) AS reason_codes FROM fs6 GROUP BY txn_id
+"""))
+def q_first_seen_dedupe(spark, sf_dir):
+    """Distinct codes of all ranked reasons (top six) in first-seen rank order."""
+    return ex.reason_codes_dedup(scored_val(spark, sf_dir), FEATURES, 6)
