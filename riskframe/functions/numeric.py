@@ -16,3 +16,22 @@ def rnd(col: Column | str, digits: int = 0) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     scale = F.lit(float(10 ** digits))
     return F.round(c.cast("double") * scale, 0) / scale
+
+
+
+SCALE = 10
+
+
+def mean_half_up(col: str, digits: int) -> Column:
+    """Aggregate: mean of ``col`` rounded half away from zero to ``digits``.
+
+    Inputs are taken to 10 decimals, summed exactly as decimals and divided with
+    integer division, so the result does not depend on partitioning or on the
+    order of summation (a double sum can land on either side of a decimal tie
+    such as 2866.88 / 64 = 44.795)."""
+    s = f"cast(sum(cast(`{col}` as decimal(38,{SCALE}))) * {10 ** SCALE} as decimal(38,0))"
+    n = f"cast(count(`{col}`) as decimal(38,0))"
+    return F.expr(
+        f"case when count(`{col}`) = 0 then cast(null as double) else "
+        f"cast(sign({s}) * ((abs({s}) * {2 * 10 ** digits} + {n} * {10 ** SCALE}) div "
+        f"({n} * {2 * 10 ** SCALE})) as double) / {float(10 ** digits)}D end")

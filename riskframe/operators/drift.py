@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.numeric import rnd
+from riskframe.functions.numeric import mean_half_up, rnd
 from riskframe.functions.codes import PSI_MODERATE, psi_label
 from riskframe.operators.prefix import running_sum
 from riskframe.operators.quantiles import exact_quantiles
@@ -83,7 +83,7 @@ def feature_psi_report(ref: DataFrame, cur: DataFrame, features: Sequence[str],
     def stats(df, pre):
         lg = to_long(df, features, keep_null=True)
         return lg.groupBy("feature").agg(
-            F.avg("v").alias(f"{pre}_mean"),
+            F.avg("v").alias(f"{pre}_mean"), mean_half_up("v", 4).alias(f"{pre}_mean4"),
             F.avg(F.col("v").isNull().cast("double")).alias(f"{pre}_miss"))
     s = stats(ref, "ref").join(stats(cur, "cur"), "feature")
     shift = (F.col("cur_mean") - F.col("ref_mean")) / (F.abs(F.col("ref_mean")) + F.lit(1e-8)) * 100
@@ -91,8 +91,8 @@ def feature_psi_report(ref: DataFrame, cur: DataFrame, features: Sequence[str],
         "feature",
         rnd("psi", 5).alias("psi"),
         psi_label(F.col("psi")).alias("stability"),
-        rnd("ref_mean", 4).alias("ref_mean"),
-        rnd("cur_mean", 4).alias("cur_mean"),
+        F.col("ref_mean4").alias("ref_mean"),
+        F.col("cur_mean4").alias("cur_mean"),
         rnd(shift, 2).alias("mean_shift_pct"),
         rnd(F.col("ref_miss") * 100, 1).alias("ref_missing_pct"),
         rnd(F.col("cur_miss") * 100, 1).alias("cur_missing_pct"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions import codes
-from riskframe.functions.numeric import rnd
+from riskframe.functions.numeric import mean_half_up, rnd
 
 WEIGHT_DIGITS = 8
 
@@ -26,7 +26,7 @@ def scorecard_frame(ref: DataFrame, features: Sequence[str], label: str = "is_fr
     for f in features:
         x = F.col(f).cast("double")
         cols += [rnd(F.try_divide(F.corr(x, y), F.stddev_pop(x)), WEIGHT_DIGITS).alias(f"w_{f}"),
-                 rnd(F.avg(x), WEIGHT_DIGITS).alias(f"m_{f}")]
+                 mean_half_up(f, WEIGHT_DIGITS).alias(f"m_{f}")]
     base = F.avg(y)
     cols.append(rnd(F.log(base / (F.lit(1.0) - base)), WEIGHT_DIGITS).alias("b0"))
     return ref.agg(*cols)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.numeric import rnd
+from riskframe.functions.numeric import mean_half_up, rnd
 
 SECONDS_PER_DAY = 86400
 DETAIL_FIELDS = ["txn_id", "amt", "dt", "product", "card_id", "email", "dist1",
@@ -28,7 +28,7 @@ def _history_aggs(amt: str, product: str, email: str, hour: str):
     return [
         F.count(F.lit(1)).alias("n_transactions_in_window"),
         rnd(F.sum(amt), 2).alias("total_amount"),
-        rnd(F.avg(amt), 2).alias("mean_amount"),
+        mean_half_up(amt, 2).alias("mean_amount"),
         rnd(F.max(amt), 2).alias("max_amount"),
         rnd(F.min(amt), 2).alias("min_amount"),
         # distinct sets are bounded by the value domains (products, domains, 25 hours)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.numeric import rnd
+from riskframe.functions.numeric import mean_half_up, rnd
 from riskframe.operators.quantiles import exact_quantiles
 
 
@@ -48,9 +48,9 @@ def amount_by_class(df: DataFrame, amt: str = "amt", label: str = "is_fraud") ->
     wide = q.groupBy(label).agg(*[
         F.max(F.when(F.col("qi") == i, F.col("quantile"))).alias(n)
         for i, n in enumerate(["q1", "median", "q3", "p95"])])
-    means = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(amt).alias("mean"))
+    means = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), mean_half_up(amt, 4).alias("mean"))
     return means.join(wide, label).select(
-        label, "n", *[rnd(c, 4).alias(c) for c in ["mean", "median", "p95", "q1", "q3"]])
+        label, "n", "mean", *[rnd(c, 4).alias(c) for c in ["median", "p95", "q1", "q3"]])
 
 
 def amount_histogram(df: DataFrame, bins: int = 60, amt: str = "amt",

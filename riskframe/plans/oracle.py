@@ -57,3 +57,11 @@ def reason_text_sql(x: str) -> str:
     from riskframe.functions import codes
     parts = [f"WHEN {x} = '{k}' THEN '{v}'" for k, v in codes.REASON_CODES.items()]
     return "CASE " + " ".join(parts) + " END"
+
+
+def mean_half_up_sql(x: str, d: int) -> str:
+    """SQL form of functions.numeric.mean_half_up (exact decimal sum, integer division)."""
+    s = f"CAST(sum(CAST({x} AS DECIMAL(38,10))) * 10000000000 AS HUGEINT)"
+    n = f"CAST(count({x}) AS HUGEINT)"
+    return (f"(CASE WHEN count({x}) = 0 THEN NULL ELSE CAST(sign({s}) * ((abs({s}) * {2 * 10 ** d} + {n} * 10000000000)"
+            f" // ({n} * 20000000000)) AS DOUBLE) / {10 ** d} END)")

@@ -10,7 +10,7 @@ from riskframe.functions.codes import psi_label
 from riskframe.operators import drift as dr
 from riskframe.operators import split as sp
 from riskframe.plans.catalog import register
-from riskframe.plans.oracle import FEAT_CTE, with_txn
+from riskframe.plans.oracle import FEAT_CTE, mean_half_up_sql, with_txn
 from riskframe.sources.tables import txn
 
 FEATURES = ["amt", "amt_log", "dist1", "tx_hour", "tx_dayofweek", "card_id", "dt"]
@@ -142,13 +142,15 @@ def q_psi_label(spark, sf_dir):
 
 
 @register("feature_psi_report", with_txn(SPLITF_CTE, _psi_ctes(FEATURES), f"""rs AS (
-  SELECT feature, avg(v) AS ref_mean, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS ref_miss
+  SELECT feature, avg(v) AS ref_mean, {mean_half_up_sql('v', 4)} AS ref_mean4,
+         avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS ref_miss
   FROM ({_long_sql('tr', FEATURES, True)}) GROUP BY feature),
 cs AS (
-  SELECT feature, avg(v) AS cur_mean, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS cur_miss
+  SELECT feature, avg(v) AS cur_mean, {mean_half_up_sql('v', 4)} AS cur_mean4,
+         avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS cur_miss
   FROM ({_long_sql('va', FEATURES, True)}) GROUP BY feature)""", body=f"""
 SELECT rs.feature, round(p.psi, 5) AS psi, {_LABEL_SQL.format(x='p.psi')} AS stability,
-       round(ref_mean, 4) AS ref_mean, round(cur_mean, 4) AS cur_mean,
+       ref_mean4 AS ref_mean, cur_mean4 AS cur_mean,
        round((cur_mean - ref_mean) / (abs(ref_mean) + 1e-8) * 100, 2) AS mean_shift_pct,
        round(CAST(ref_miss AS DOUBLE) * 100, 1) AS ref_missing_pct,
        round(CAST(cur_miss AS DOUBLE) * 100, 1) AS cur_missing_pct

@@ -8,7 +8,7 @@ from riskframe.functions import codes
 from riskframe.functions.numeric import rnd
 from riskframe.operators import explain as ex
 from riskframe.plans.catalog import register
-from riskframe.plans.oracle import reason_code_sql, reason_text_sql, with_txn
+from riskframe.plans.oracle import mean_half_up_sql, reason_code_sql, reason_text_sql, with_txn
 from riskframe.plans.q_drift import SPLITF_CTE, splits
 from riskframe.sources.tables import table
 
@@ -17,7 +17,7 @@ NAMES = ex.source_names(FEATURES)
 
 _SC = "sc AS (SELECT " + ", ".join(
     f"round(corr(CAST({f} AS DOUBLE), CAST(is_fraud AS DOUBLE)) / stddev_pop(CAST({f} AS DOUBLE)), 8) AS w_{f}, "
-    f"round(avg(CAST({f} AS DOUBLE)), 8) AS m_{f}" for f in FEATURES
+    f"{mean_half_up_sql(f, 8)} AS m_{f}" for f in FEATURES
 ) + ", round(ln(avg(CAST(is_fraud AS DOUBLE)) / (1 - avg(CAST(is_fraud AS DOUBLE)))), 8) AS b0 FROM tr)"
 
 _CONTRIB = "ctb AS (SELECT va.txn_id, " + ", ".join(

@@ -9,7 +9,7 @@ from riskframe.functions import features as fx
 from riskframe.functions.numeric import rnd
 from riskframe.operators import history as hi
 from riskframe.plans.catalog import register
-from riskframe.plans.oracle import FEAT_CTE, with_txn
+from riskframe.plans.oracle import FEAT_CTE, mean_half_up_sql, with_txn
 from riskframe.plans.q_split import SPLIT_CTE, split_txn
 from riskframe.sources.tables import table, txn
 
@@ -19,7 +19,7 @@ def feat(spark, sf_dir):
 
 
 _HIST_AGG = """count(*) AS n_transactions_in_window,
-       round(sum(amt), 2) AS total_amount, round(avg(amt), 2) AS mean_amount,
+       round(sum(amt), 2) AS total_amount, """ + mean_half_up_sql("amt", 2) + """ AS mean_amount,
        round(max(amt), 2) AS max_amount, round(min(amt), 2) AS min_amount,
        array_to_string(list_sort(list_distinct(list(product))), ',') AS unique_products,
        array_to_string(list_slice(list_sort(list_distinct(list(email))), 1, 5), ',') AS unique_email_domains,

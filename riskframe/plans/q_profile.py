@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskframe.functions import features as fx
 from riskframe.operators import profile as pf
 from riskframe.plans.catalog import register
-from riskframe.plans.oracle import FEAT_CTE, with_txn
+from riskframe.plans.oracle import FEAT_CTE, mean_half_up_sql, with_txn
 from riskframe.sources.tables import txn
 
 
@@ -46,7 +46,7 @@ def q_split_day(spark, sf_dir):
 
 
 @register("amount_by_class", with_txn(body="""
-SELECT is_fraud, count(*) AS n, round(avg(amt), 4) AS mean,
+SELECT is_fraud, count(*) AS n, """ + mean_half_up_sql("amt", 4) + """ AS mean,
        round(quantile_cont(amt, 0.5), 4) AS median, round(quantile_cont(amt, 0.95), 4) AS p95,
        round(quantile_cont(amt, 0.25), 4) AS q1, round(quantile_cont(amt, 0.75), 4) AS q3
 FROM txn GROUP BY is_fraud
