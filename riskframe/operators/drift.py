@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.numeric import mean_half_up, rnd
 from riskframe.functions.codes import PSI_MODERATE, psi_label
+from riskframe.operators.combine import one_row
 from riskframe.operators.prefix import running_sum
 from riskframe.operators.quantiles import exact_quantiles
 
@@ -154,9 +155,7 @@ def score_drift_report(ref: DataFrame, cur: DataFrame, score: str = "score",
     rm, rq = stats(ref, "ref")
     cm, cq = stats(cur, "cur")
     # every input is a one-row aggregate; combine them by position
-    one = p
-    for extra in (ksr, rm, rq, cm, cq):
-        one = _zip1(one, extra)
+    one = one_row(p, ksr, rm, rq, cm, cq)
     drift = (F.col("ks_d") > 0.05) & (F.col("p") < 0.05)
     return one.select(
         F.lit(window).alias("window"),
@@ -172,11 +171,6 @@ def score_drift_report(ref: DataFrame, cur: DataFrame, score: str = "score",
         ((F.col("psi") >= PSI_MODERATE) | drift).alias("action_required"))
 
 
-def _zip1(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Combine two one-row aggregates into one row (equi-join on a constant key)."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
-
-
 def ks_test_raw(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
     """Unrounded D and p (columns d, p)."""
     d = ks_statistic(ref, cur, col)

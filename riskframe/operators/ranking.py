@@ -63,12 +63,21 @@ def top_k_caught(df: DataFrame, targets: DataFrame, score: str = "score",
     by = list(by)
     st = score_table(df, score, label, by)
     cum = running_sum(st, "score", ["n", "pos"], by=by, descending=True)
-    tg = targets.select(*[F.col(b).alias(f"_g_{b}") for b in by], "tid", "k")
     # boundary score of each target: the first score whose running count reaches k
-    cond = (F.col("n_cum") - F.col("n") < F.col("k")) & (F.col("n_cum") >= F.col("k"))
-    for b in by:
-        cond = cond & (F.col(b) == F.col(f"_g_{b}"))
-    hit = (cum.join(tg if by else F.broadcast(tg), cond)
+    if by:
+        tg = targets.select(*[F.col(b).alias(f"_g_{b}") for b in by], "tid", "k")
+        cond = (F.col("n_cum") - F.col("n") < F.col("k")) & (F.col("n_cum") >= F.col("k"))
+        for b in by:
+            cond = cond & (F.col(b) == F.col(f"_g_{b}"))
+        matched = cum.join(tg, cond)
+    else:
+        # targets are the caller's few review counts: matched inside each row, no join
+        lit_t = F.array(*[F.struct(F.lit(int(r["tid"])).alias("tid"), F.lit(int(r["k"])).cast("long").alias("k"))
+                          for r in targets.select("tid", "k").collect()])
+        inside = F.filter(lit_t, lambda t: (F.col("n_cum") - F.col("n") < t["k"]) & (F.col("n_cum") >= t["k"]))
+        matched = (cum.select("*", F.explode(inside).alias("_t"))
+                      .select("*", F.col("_t.tid").alias("tid"), F.col("_t.k").alias("k")).drop("_t"))
+    hit = (matched
               .select(*by, "tid", "k", F.col("score").alias("threshold"),
                       (F.col("pos_cum") - F.col("pos")).alias("pos_before"),
                       (F.col("k") - (F.col("n_cum") - F.col("n"))).alias("m"),

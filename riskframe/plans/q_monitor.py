@@ -10,6 +10,7 @@ from riskframe.functions import codes
 from riskframe.functions import features as fx
 from riskframe.functions.numeric import rnd
 from riskframe.operators import drift as dr
+from riskframe.operators.combine import one_row
 from riskframe.operators import explain as ex
 from riskframe.operators import fairness as fa
 from riskframe.operators import history as hi
@@ -191,8 +192,7 @@ def q_policy_severity(spark, sf_dir):
         F.coalesce(F.bool_or((F.col("importance_rank") <= 5) & (F.col("psi") >= 0.10)), F.lit(False)).alias("top5_drift"),
         F.coalesce(F.bool_or((F.col("importance_rank").isNull() | (F.col("importance_rank") > 5))
                              & (F.col("psi") >= 0.10)), F.lit(False)).alias("other_drift"))
-    one = score_psi.withColumn("_k", F.lit(1)).join(auc.withColumn("_k", F.lit(1)), "_k").join(
-        flags.withColumn("_k", F.lit(1)), "_k")
+    one = one_row(score_psi, auc, flags)
     sev = po.severity(F.col("score_psi"), F.col("auc"), F.col("top5_drift"), F.col("other_drift"))
     return one.select(rnd("score_psi", 5).alias("score_psi"), rnd("auc", 4).alias("auc"), "top5_drift",
                       "other_drift", sev.alias("severity"))
