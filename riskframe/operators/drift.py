@@ -30,9 +30,18 @@ def to_long(df: DataFrame, features: Sequence[str], keep_null: bool = False) ->
     return long if keep_null else long.filter(F.col("v").isNotNull())
 
 
-def reference_edges(ref_long: DataFrame, buckets: int = 10) -> DataFrame:
-    """Per feature: sorted distinct inner edges of the reference quantiles."""
+def reference_edges(ref_long: DataFrame, buckets: int = 10, approx: bool = False,
+                    accuracy: int = 100000) -> DataFrame:
+    """Per feature: sorted distinct inner edges of the reference quantiles.
+
+    Exact by default (the distinct (feature, value) pairs are shuffled once).
+    ``approx=True`` uses one mergeable quantile sketch per feature instead, so
+    the shuffle is a sketch per feature and task, for very wide or very large
+    references (rank error about 1 / accuracy)."""
     probs = [i / buckets for i in range(1, buckets)]
+    if approx:
+        q = ref_long.groupBy("feature").agg(F.percentile_approx("v", probs, accuracy).alias("_q"))
+        return q.select("feature", F.array_sort(F.array_distinct("_q")).alias("edges"))
     q = exact_quantiles(ref_long, "v", probs, by=["feature"])
     # at most buckets-1 values per feature
     return q.groupBy("feature").agg(
@@ -45,11 +54,11 @@ def bin_index(v: Column, edges: Column) -> Column:
 
 
 def psi_table(ref: DataFrame, cur: DataFrame, features: Sequence[str],
-              buckets: int = 10, eps: float = EPSILON) -> DataFrame:
+              buckets: int = 10, eps: float = EPSILON, approx: bool = False) -> DataFrame:
     """feature, psi (unrounded), n_ref, n_cur, n_bins."""
     ref_long = to_long(ref, features)
     cur_long = to_long(cur, features)
-    edges = reference_edges(ref_long, buckets)
+    edges = reference_edges(ref_long, buckets, approx)
     both = (ref_long.select("feature", "v", F.lit(1).alias("r"), F.lit(0).alias("c"))
             .unionByName(cur_long.select("feature", "v", F.lit(0).alias("r"), F.lit(1).alias("c"))))
     # one edge array per feature (the caller's feature list bounds it)

@@ -63,3 +63,22 @@ def ship_by_value(*modules) -> None:
     from pyspark import cloudpickle
     for m in modules:
         cloudpickle.register_pickle_by_value(m)
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a job reading ``input_bytes`` on ``total_cores``:
+    shuffle partitions so a partition is about ``target_partition_bytes``
+    (at least 2 per core; AQE coalesces the small ones and splits skewed ones),
+    scan splits of 256 MB, skew handling on."""
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }

@@ -59,3 +59,20 @@ def test_kappa_bounds(spark, pairs):
     assert -1.0 - 1e-9 <= k <= 1.0 + 1e-9
     if all(e == p for e, p in pairs):
         assert abs(k - 1.0) < 1e-9
+
+
+def test_approx_edges_close_to_exact(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=5000), "y": rng.exponential(size=5000)}))
+    long = dr.to_long(df, ["x", "y"])
+    ex = {r["feature"]: r["edges"] for r in dr.reference_edges(long).collect()}
+    ap = {r["feature"]: r["edges"] for r in dr.reference_edges(long, approx=True).collect()}
+    for f in ("x", "y"):
+        assert len(ex[f]) == len(ap[f])
+        vals = np.sort(df.select(f).toPandas()[f].to_numpy())
+        for a, b in zip(ex[f], ap[f]):
+            ra, rb = np.searchsorted(vals, a), np.searchsorted(vals, b)
+            assert abs(ra - rb) <= 5            # rank error of the sketch
+    p_ex = dr.psi_table(df, df, ["x", "y"]).collect()
+    p_ap = dr.psi_table(df, df, ["x", "y"], approx=True).collect()
+    assert all(abs(r["psi"]) < 1e-12 for r in p_ex + p_ap)
