@@ -157,14 +157,17 @@ def score_drift_report(ref: DataFrame, cur: DataFrame, score: str = "score",
     ks = ks_statistic(ref, cur, score)
     pv = kolmogorov_p(F.col("ks_d"), F.col("n_ref"), F.col("n_cur"))
     ksr = ks.select("ks_d", pv.alias("p"))
-    def stats(df, pre):
-        q = exact_quantiles(df, score, [0.95]).select(F.col("quantile").alias(f"{pre}_p95"))
-        m = df.agg(F.avg(score).alias(f"{pre}_mean"))
-        return m, q
-    rm, rq = stats(ref, "ref")
-    cm, cq = stats(cur, "cur")
-    # every input is a one-row aggregate; combine them by position
-    one = one_row(p, ksr, rm, rq, cm, cq)
+    # both sides' mean and p95 in one job keyed by a real side column
+    sides = (ref.select(F.lit("ref").alias("side"), F.col(score).alias("_s"))
+             .unionByName(cur.select(F.lit("cur").alias("side"), F.col(score).alias("_s"))))
+    p95 = exact_quantiles(sides, "_s", [0.95], by=["side"])
+    means = sides.groupBy("side").agg(F.avg("_s").alias("_m"))
+    st = p95.join(means, "side", "full").agg(
+        F.max(F.when(F.col("side") == "ref", F.col("_m"))).alias("ref_mean"),
+        F.max(F.when(F.col("side") == "cur", F.col("_m"))).alias("cur_mean"),
+        F.max(F.when(F.col("side") == "ref", F.col("quantile"))).alias("ref_p95"),
+        F.max(F.when(F.col("side") == "cur", F.col("quantile"))).alias("cur_p95"))
+    one = one_row(p, ksr, st)
     drift = (F.col("ks_d") > 0.05) & (F.col("p") < 0.05)
     return one.select(
         F.lit(window).alias("window"),

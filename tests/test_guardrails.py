@@ -46,3 +46,24 @@ def test_pii_patterns(spark):
     assert out[5]["account_number"] == 1 and out[5]["ssn"] == 1
     assert sum(out[6][k] for k in ("card_number", "ssn", "cvv", "email", "account_number")) == 0
     assert out[7]["card_number"] == 1                # decimals hit the card pattern (kept as is)
+
+
+def test_balanced_object_walk():
+    from riskframe.operators.extract import balanced_object
+    assert balanced_object('x {"a": "}{", "b": {"c": 1}} y') == '{"a": "}{", "b": {"c": 1}}'
+    assert balanced_object('{"a": "\\"}"} tail') == '{"a": "\\"}"}'
+    assert balanced_object("no braces") is None
+    assert balanced_object("{unclosed") is None
+    assert balanced_object(None) is None
+
+
+def test_extract_json_prefers_fence(spark):
+    from riskframe.operators.extract import extract_json_frame
+    rows = [(1, 'prose {"x": 1} ```json\n{"a": {"b": 2}}\n``` more'), (2, 'pre {"k": "v}"} post'),
+            (3, "nothing here"), (4, "{bad json}")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    out = {r["id"]: r for r in extract_json_frame(df, "text", ["id"]).collect()}
+    assert out[1]["method"] == "fence" and out[1]["json_text"] == '{"a": {"b": 2}}' and out[1]["is_valid"]
+    assert out[2]["method"] == "walk" and out[2]["json_text"] == '{"k": "v}"}' and out[2]["n_keys"] == 1
+    assert out[3]["method"] is None and not out[3]["is_valid"]
+    assert out[4]["method"] == "walk" and not out[4]["is_valid"]
