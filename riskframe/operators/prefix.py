@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,13 @@ def _grid(buckets: int) -> list[float]:
     return [i / buckets for i in range(1, buckets)]
 
 
-def default_buckets(df: DataFrame) -> int:
-    return max(2, shuffle_partitions(df.sparkSession))
+MAX_BUCKETS = 4096          # one global order: buckets found by binary search
+MAX_GROUP_BUCKETS = 1024    # per-group cut points: buckets found by a scan of the row's group cuts
+
+
+def default_buckets(df: DataFrame, grouped: bool = False) -> int:
+    cap = MAX_GROUP_BUCKETS if grouped else MAX_BUCKETS
+    return min(cap, max(2, shuffle_partitions(df.sparkSession)))
 
 
 def running_sum(df: DataFrame, key: str | Column, cols: Sequence[str],
@@ -43,7 +49,7 @@ def running_sum(df: DataFrame, key: str | Column, cols: Sequence[str],
     function of that order; it is used to cut buckets.
     """
     by = list(by)
-    buckets = buckets or default_buckets(df)
+    buckets = buckets or default_buckets(df, grouped=bool(by))
     key_col = F.col(key) if isinstance(key, str) else key
     ordered = df.withColumn(_ORD, (-key_col if descending else key_col).cast("double"))
     grid = _grid(buckets)
@@ -55,11 +61,16 @@ def running_sum(df: DataFrame, key: str | Column, cols: Sequence[str],
         bucket = F.size(F.filter(F.col(_BOUNDS), lambda b: b < F.col(_ORD)))
     else:
         row = ordered.agg(F.percentile_approx(_ORD, grid, 10000).alias(_BOUNDS)).first()
-        cuts = [float(x) for x in (row[_BOUNDS] or [])]
-        bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts
-                                 else F.array().cast("array<double>"),
-                                 lambda b: b < F.col(_ORD)))
+        cuts = sorted({float(x) for x in (row[_BOUNDS] or [])} - {float("inf"), float("-inf")})
+        # binary search over the cut points in the JVM; NULL keys sort first
+        splits = [float("-inf"), *cuts, float("inf")]
+        ordered = ordered.withColumn("_pfx_in", F.coalesce(F.col(_ORD), F.lit(float("-inf"))))
+        ordered = Bucketizer(splits=splits, inputCol="_pfx_in", outputCol="_pfx_b",
+                             handleInvalid="keep").transform(ordered).drop("_pfx_in")
+        bucket = F.col("_pfx_b").cast("int")
     ordered = ordered.withColumn(_BKT, bucket)
+    if not by:
+        ordered = ordered.drop("_pfx_b")
     if by:
         ordered = ordered.drop(_BOUNDS)
 
