@@ -90,12 +90,15 @@ def feature_psi_report(ref: DataFrame, cur: DataFrame, features: Sequence[str],
                        buckets: int = 10) -> DataFrame:
     """Per feature: psi(5), stability, means(4), mean shift %(2), missing %(1)."""
     p = psi_table(ref, cur, features, buckets)
-    def stats(df, pre):
-        lg = to_long(df, features, keep_null=True)
-        return lg.groupBy("feature").agg(
-            F.avg("v").alias(f"{pre}_mean"), mean_half_up("v", 4).alias(f"{pre}_mean4"),
-            F.avg(F.col("v").isNull().cast("double")).alias(f"{pre}_miss"))
-    s = stats(ref, "ref").join(stats(cur, "cur"), "feature")
+    # both sides' means and missing shares in one pass keyed by (feature, side)
+    lg = (to_long(ref, features, keep_null=True).withColumn("side", F.lit("ref"))
+          .unionByName(to_long(cur, features, keep_null=True).withColumn("side", F.lit("cur"))))
+    st = lg.groupBy("feature", "side").agg(
+        F.avg("v").alias("_mean"), mean_half_up("v", 4).alias("_mean4"),
+        F.avg(F.col("v").isNull().cast("double")).alias("_miss"))
+    s = st.groupBy("feature").agg(*[
+        F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side}{c}")
+        for side in ("ref", "cur") for c in ("_mean", "_mean4", "_miss")])
     shift = (F.col("cur_mean") - F.col("ref_mean")) / (F.abs(F.col("ref_mean")) + F.lit(1e-8)) * 100
     return s.join(p, "feature", "left").select(
         "feature",
