@@ -48,19 +48,49 @@ def snapshot_upsert(base: str, keys: Sequence[str]):
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch
-        try:
-            prev = latest_snapshot(spark, base)
+        prev_dir = _latest_version(spark, base)
+        target = f"{base}/v={epoch_id:010d}"
+        if prev_dir is not None and prev_dir != target:
+            prev = spark.read.parquet(prev_dir)
             rows = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        except Exception:  # noqa: BLE001 - no earlier version yet
-            pass
-        rows.write.mode("overwrite").parquet(f"{base}/v={epoch_id:010d}")
+        elif prev_dir == target:      # a replayed batch: rebuild from the version before it
+            older = _older_version(spark, base, epoch_id)
+            if older is not None:
+                prev = spark.read.parquet(older)
+                rows = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+        rows.write.mode("overwrite").parquet(target)
     return write
 
 
+def _latest_version(spark: SparkSession, base: str) -> str | None:
+    """Directory of the highest committed version (a listing, no data read)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    names = [st.getPath().getName() for st in fs.listStatus(path) if st.isDirectory()]
+    done = [n for n in names if n.startswith("v=")
+            and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS"))]
+    return f"{base}/{max(done)}" if done else None
+
+
+def _older_version(spark: SparkSession, base: str, epoch_id: int) -> str | None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(st.getPath().getName() for st in fs.listStatus(path) if st.isDirectory())
+    older = [n for n in names if n.startswith("v=") and n < f"v={epoch_id:010d}"
+             and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS"))]
+    return f"{base}/{older[-1]}" if older else None
+
+
 def latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    allv = spark.read.parquet(base)
-    top = allv.agg(F.max("v").alias("v")).first()["v"]
-    return allv.filter(F.col("v") == F.lit(top)).drop("v")
+    """The newest complete version (versions are zero-padded epoch ids)."""
+    v = _latest_version(spark, base)
+    if v is None:
+        raise FileNotFoundError(base)
+    return spark.read.parquet(v)
 
 
 def _run(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
