@@ -37,8 +37,9 @@ def champion(spark, sf_dir):
 
 @register("train_champion")
 def q_train_champion(spark, sf_dir):
-    """Boosted trees (depth 6, step .05, 80 % rows and features, positive weight
-    neg/pos, early stopping on a time-ordered slice): val probabilities."""
+    """Boosted trees (up to 20 rounds, depth 6, step .05, 80 % of rows per tree and
+    of features per node, positive weight neg/pos, early stopping on a time-ordered
+    slice of train): val probabilities."""
     model, vax, cols = champion(spark, sf_dir)
     return mo.score(model, vax, cols).select("txn_id", rnd("probability_1", 6).alias("probability"))
 
@@ -62,7 +63,7 @@ def q_train_challenger_lr(spark, sf_dir):
 @register("train_challenger_gbm")
 def q_train_challenger_gbm(spark, sf_dir):
     """Second boosted model on the columns at most 95 % missing in train
-    (depth 5, 70 % features): val probabilities."""
+    (up to 20 rounds, depth 5, 70 % of features per node): val probabilities."""
     tr, va = _train_valid(spark, sf_dir)
     kept = [r["column"] for r in en.sparse_columns(tr, NUMERIC, 0.95).filter("kept").collect()]
     trx, cols = mo.tree_inputs(tr, kept)

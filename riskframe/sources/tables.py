@@ -97,9 +97,9 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Larger binding for throughput runs: label = returned line, score = discount
-    rank mixed with price, id = a unique row key built from order key and line number
-    plus part key (the pair alone is not unique)."""
+    """Larger binding for throughput runs: label = returned line, score = a fixed
+    linear mix of discount, tax and quantity, id = a 64-bit hash of the line's key
+    columns (a tie-break key; the (order, line number) pair alone is not unique)."""
     li = fact_table(spark, sf_dir, "lineitem")
     return li.select(
         F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
