@@ -116,8 +116,9 @@ def action_ordinal(action: Column) -> Column:
 
 def reason_code(feature: Column) -> Column:
     """Feature name -> code: direct map, then ordered patterns, else the catch-all."""
-    expr = F.when(F.lit(False), F.lit(None).cast("string"))
-    for pat, code in FEATURE_PATTERNS:
+    (first_pat, first_code), *rest = FEATURE_PATTERNS
+    expr = F.when(feature.rlike(first_pat), F.lit(first_code))
+    for pat, code in rest:
         expr = expr.when(feature.rlike(pat), F.lit(code))
     expr = expr.otherwise(F.lit(FALLBACK_CODE))
     return F.coalesce(F.try_element_at(_map_literal(FEATURE_CODES), feature), expr)

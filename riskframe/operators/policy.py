@@ -75,8 +75,9 @@ def missing_shift_alerts(report: DataFrame, importance_rank: DataFrame) -> DataF
 
 def severity(score_psi: F.Column, auc: F.Column, top5_drift: F.Column, other_drift: F.Column) -> F.Column:
     """P1-P4 escalation level (NULL: none)."""
-    expr = F.when(F.lit(False), F.lit(None).cast("string"))
-    for label, psi_above, auc_below in SEVERITY:
+    (label0, psi0, auc0), *rest = SEVERITY
+    expr = F.when((score_psi > psi0) | (auc < auc0), F.lit(label0))
+    for label, psi_above, auc_below in rest:
         expr = expr.when((score_psi > psi_above) | (auc < auc_below), F.lit(label))
     return (expr.when((score_psi > P3_PSI) | top5_drift, F.lit("P3"))
                 .when(other_drift, F.lit("P4"))

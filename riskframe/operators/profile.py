@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.numeric import mean_half_up, rnd
@@ -105,13 +105,18 @@ def category_fraud_rate(df: DataFrame, col: str, label: str = "is_fraud",
                .select("value", rnd("fraud_rate", 6).alias("fraud_rate"), "n"))
 
 
-def label_correlation(df: DataFrame, cols: Sequence[str], label: str = "is_fraud") -> DataFrame:
-    """Pearson correlation of each column with the label (pairwise complete), one pass."""
+def label_correlation(df: DataFrame, cols: Sequence[str], label: str = "is_fraud",
+                      threshold: float = 0.05) -> DataFrame:
+    """Pearson correlation of each column with the label (pairwise complete), one
+    pass; rank by |corr| (ties by name) and whether |corr| exceeds the threshold."""
     y = F.col(label).cast("double")
     wide = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(c) for c in cols])
-    long = wide.unpivot([], list(cols), "feature", "corr")
-    return long.select("feature", rnd("corr", 6).alias("corr"),
-                       rnd(F.abs("corr"), 6).alias("abs_corr"))
+    long = wide.unpivot([], list(cols), "feature", "corr").select(
+        "feature", rnd("corr", 6).alias("corr"), rnd(F.abs("corr"), 6).alias("abs_corr"))
+    # one row per requested column
+    w = Window.orderBy(F.desc_nulls_last("abs_corr"), "feature")
+    return long.withColumn("abs_rank", F.row_number().over(w)).withColumn(
+        "above_threshold", F.coalesce(F.col("abs_corr") > threshold, F.lit(False)))
 
 
 def identity_match(df: DataFrame, ident: str = "device", label: str = "is_fraud") -> DataFrame:

@@ -106,11 +106,15 @@ def q_category_fraud_rate(spark, sf_dir):
 _CORR_COLS = ["amt", "dist1", "dt", "card_id", "u"]
 
 
-@register("label_correlation", with_txn(body="\nUNION ALL\n".join(
+@register("label_correlation", with_txn("lc AS (" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, round(corr({c}::DOUBLE, is_fraud::DOUBLE), 6) AS corr,"
-    f" round(abs(corr({c}::DOUBLE, is_fraud::DOUBLE)), 6) AS abs_corr FROM txn" for c in _CORR_COLS)))
+    f" round(abs(corr({c}::DOUBLE, is_fraud::DOUBLE)), 6) AS abs_corr FROM txn" for c in _CORR_COLS) + ")", body="""
+SELECT feature, corr, abs_corr,
+       CAST(row_number() OVER (ORDER BY abs_corr DESC NULLS LAST, feature) AS INTEGER) AS abs_rank,
+       coalesce(abs_corr > 0.05, false) AS above_threshold
+FROM lc"""))
 def q_label_correlation(spark, sf_dir):
-    """Pearson correlation of numeric columns with the label, one pass."""
+    """Pearson correlation of numeric columns with the label, one pass, ranked by |corr|."""
     return pf.label_correlation(txn(spark, sf_dir), _CORR_COLS)
 
 
