@@ -44,14 +44,21 @@ def customer_history_all(df: DataFrame, days: int = 30, card: str = "card_id",
                          hour: str = "tx_hour", order: str = "dt") -> DataFrame:
     """For every card: window statistics over the last ``days`` days of the table.
 
-    Cards with history but none inside the window get a zero-count row."""
-    window = lookback_filter(df, days, order)
-    agg = window.groupBy(card).agg(*_history_aggs(amt, product, email, hour))
-    cards = df.select(card).distinct()
-    return (cards.join(agg, card, "left")
-                 .withColumn("n_transactions_in_window",
-                             F.coalesce("n_transactions_in_window", F.lit(0).cast("long")))
-                 .withColumn("lookback_days", F.lit(days)))
+    One grouped pass over all rows: the inputs are masked to the window, so a
+    card with history but none inside the window gets a zero-count row without
+    a second scan or a join."""
+    max_dt = df.agg(F.max(order)).first()[0]
+    if max_dt is None:
+        return df.sparkSession.createDataFrame([], f"{card} long, n_transactions_in_window long")
+    inw = F.col(order) >= F.lit(max_dt - days * SECONDS_PER_DAY)
+    x = df.select(card, inw.alias("_in"), *[F.when(inw, F.col(c)).alias(f"_w_{c}") for c in (amt, product, email, hour)])
+    aggs = _history_aggs(f"_w_{amt}", f"_w_{product}", f"_w_{email}", f"_w_{hour}")
+    aggs[0] = F.count(F.when(F.col("_in"), 1)).alias("n_transactions_in_window")
+    agg = x.groupBy(card).agg(*aggs)
+    has = F.col("n_transactions_in_window") > 0
+    return agg.select(card, "n_transactions_in_window", *[
+        F.when(has, F.col(c)).alias(c) for c in agg.columns if c not in (card, "n_transactions_in_window")]
+    ).withColumn("lookback_days", F.lit(days))
 
 
 def customer_history(df: DataFrame, card_id: int, days: int = 30, **kw) -> DataFrame:

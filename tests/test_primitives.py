@@ -112,3 +112,29 @@ def test_target_encoding_out_of_fold(spark):
             lam = yv * len(yc) / (yv * len(yc) + yc.var())
             exp = lam * yc.mean() + (1 - lam) * ym
         assert abs(got[i] - exp) < 1e-12
+
+
+def test_card_history_with_empty_windows(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from riskframe.functions.features import build_features
+    from riskframe.operators import history as hi
+    from riskframe.sources.tables import txn
+    from conftest import SF0001
+    f = build_features(txn(spark, SF0001))
+    out = hi.customer_history_all(f, days=1).toPandas().set_index("card_id")
+    pdf = f.select("card_id", "dt", "amt", "product").toPandas()
+    cut = pdf.dt.max() - 86400
+    assert set(out.index) == set(pdf.card_id)
+    for card, g in pdf.groupby("card_id"):
+        w = g[g.dt >= cut]
+        row = out.loc[card]
+        assert row.n_transactions_in_window == len(w)
+        if len(w) == 0:
+            assert row.total_amount is None or np.isnan(row.total_amount)
+            assert row.unique_products is None
+        else:
+            exact = (sum(Decimal(repr(a)) for a in w.amt) / len(w)).quantize(Decimal("0.01"), ROUND_HALF_UP)
+            assert row.mean_amount == float(exact)
+            assert row.unique_products == ",".join(sorted(set(w["product"])))
+    assert (out.n_transactions_in_window == 0).any()
