@@ -20,6 +20,7 @@ from riskframe.operators.prefix import running_sum
 from riskframe.operators.quantiles import exact_quantiles
 
 EPSILON = 1e-4
+MAX_BROADCAST_FEATURES = 10000   # edge table rows = features; above this, no forced broadcast
 INNER_PROBS = [i / 10 for i in range(1, 10)]   # deciles; the ends become +-inf
 
 
@@ -61,8 +62,9 @@ def psi_table(ref: DataFrame, cur: DataFrame, features: Sequence[str],
     edges = reference_edges(ref_long, buckets, approx)
     both = (ref_long.select("feature", "v", F.lit(1).alias("r"), F.lit(0).alias("c"))
             .unionByName(cur_long.select("feature", "v", F.lit(0).alias("r"), F.lit(1).alias("c"))))
-    # one edge array per feature (the caller's feature list bounds it)
-    binned = both.join(F.broadcast(edges), "feature").select(
+    # one edge array (<= buckets values) per feature: broadcast when the feature list is bounded
+    edges_side = F.broadcast(edges) if len(features) <= MAX_BROADCAST_FEATURES else edges
+    binned = both.join(edges_side, "feature").select(
         "feature", bin_index(F.col("v"), F.col("edges")).alias("bin"), "r", "c")
     counts = binned.groupBy("feature", "bin").agg(
         F.sum("r").cast("double").alias("rc"), F.sum("c").cast("double").alias("cc"))

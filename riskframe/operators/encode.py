@@ -45,6 +45,19 @@ def apply_ordinal(df: DataFrame, dictionary: DataFrame, cols: Sequence[str],
     return out
 
 
+def unseen_counts(encoded: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
+    """(column, n_rows, n_missing, n_unseen) for encoded rows, all columns in one pass."""
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    for c in cols:
+        aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"m_{c}"),
+                 F.count(F.when(F.col(c).isNotNull() & F.col(f"{c}{suffix}").isNull(), 1)).alias(f"u_{c}")]
+    wide = encoded.agg(*aggs)
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m_{c}").alias("n_missing"),
+                                           F.col(f"u_{c}").alias("n_unseen")) for c in cols]))
+    return wide.select("n_rows", stacked.alias("s")).select(
+        "s.column", "n_rows", "s.n_missing", "s.n_unseen")
+
+
 def _cat(c: str):
     return F.coalesce(F.col(c).cast("string"), F.lit(NULL_KEY))
 
@@ -52,31 +65,33 @@ def _cat(c: str):
 def target_encode(train: DataFrame, other: DataFrame | None, cols: Sequence[str],
                   label: str = "is_fraud", fold: str = "fold", suffix: str = "_te"):
     """Cross-fitted encoding of ``train`` (by its ``fold`` column) and full-train
-    encoding of ``other``. Returns (train_encoded, other_encoded)."""
+    encoding of ``other``. Returns (train_encoded, other_encoded).
+
+    The per-(column, fold, category) label sums of all columns come from one
+    aggregation over the unpivoted train rows; out-of-fold sums are total minus fold."""
+    cols = list(cols)
     y = F.col(label).cast("double")
-    # label statistics per fold and overall (5 rows)
+    # label statistics per fold and overall (one row per fold)
     fstat = train.groupBy(fold).agg(F.count(F.lit(1)).alias("fn"), F.sum(y).alias("fs"))
     tot = fstat.agg(F.sum("fn").alias("N"), F.sum("fs").alias("S")).first()
     N, S = float(tot["N"]), float(tot["S"] or 0.0)
-    folds = fstat.select(fold, (F.lit(N) - F.col("fn")).alias("on_"), (F.lit(S) - F.col("fs")).alias("os_"))
-    tr_out = train
-    ot_out = other
+    folds = fstat.select(fold, (F.lit(N) - F.col("fn")).alias("yn"), (F.lit(S) - F.col("fs")).alias("ys"))
+    long = (train.select(fold, y.alias("_y"), *[_cat(c).alias(c) for c in cols])
+                 .unpivot([fold, "_y"], cols, "_col", "_k"))
+    per = long.groupBy("_col", fold, "_k").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s"))
+    allc = per.groupBy("_col", "_k").agg(F.sum("n").alias("Nc"), F.sum("s").alias("Sc"))
+    # one row per fold: bounded by the fold column
+    oof = (per.join(allc, ["_col", "_k"]).join(F.broadcast(folds), fold)
+              .select("_col", fold, "_k", _smoothed(F.col("Nc") - F.col("n"), F.col("Sc") - F.col("s"),
+                                                    F.col("yn"), F.col("ys")).alias("_e")))
+    full = allc.select("_col", "_k", _smoothed(F.col("Nc"), F.col("Sc"), F.lit(N), F.lit(S)).alias("_e"))
+    y_mean = S / N if N else None
+    tr_out, ot_out = train, other
     for c in cols:
-        per = (train.select(fold, _cat(c).alias("_k"), y.alias("_y"))
-                    .groupBy(fold, "_k").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s")))
-        allc = per.groupBy("_k").agg(F.sum("n").alias("Nc"), F.sum("s").alias("Sc"))
-        # out-of-fold: every (fold, category) pair with train rows in the fold
-        oof = (per.join(allc, "_k").join(F.broadcast(folds), fold)
-                  .select(fold, "_k", (F.col("Nc") - F.col("n")).alias("n"),
-                          (F.col("Sc") - F.col("s")).alias("s"), F.col("on_").alias("yn"),
-                          F.col("os_").alias("ys")))
-        enc_oof = oof.select(fold, "_k", _smoothed(F.col("n"), F.col("s"), F.col("yn"), F.col("ys"))
-                             .alias(f"{c}{suffix}"))
-        tr_out = (tr_out.withColumn("_k", _cat(c)).join(enc_oof, [fold, "_k"], "left").drop("_k"))
+        enc_oof = oof.filter(F.col("_col") == c).select(fold, "_k", F.col("_e").alias(f"{c}{suffix}"))
+        tr_out = tr_out.withColumn("_k", _cat(c)).join(enc_oof, [fold, "_k"], "left").drop("_k")
         if ot_out is not None:
-            enc_all = allc.select("_k", _smoothed(F.col("Nc"), F.col("Sc"), F.lit(N), F.lit(S))
-                                  .alias(f"{c}{suffix}"))
-            y_mean = S / N if N else None
+            enc_all = full.filter(F.col("_col") == c).select("_k", F.col("_e").alias(f"{c}{suffix}"))
             ot_out = (ot_out.withColumn("_k", _cat(c)).join(enc_all, "_k", "left").drop("_k")
                             .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), F.lit(y_mean))))
     return tr_out, ot_out

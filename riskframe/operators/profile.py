@@ -65,13 +65,14 @@ def amount_histogram(df: DataFrame, bins: int = 60, amt: str = "amt",
     rng = x.groupBy("cls").agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
                                F.count(F.lit(1)).alias("n_cls"))
     w = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    # one row per class: small by construction
+    # one row per class value; joined without a forced broadcast (AQE broadcasts it
+    # at run time when its measured size is small)
     b = F.least(F.floor((F.col("x") - F.col("lo")) / w), F.lit(bins - 1)).cast("int")
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(b)
-    counted = (x.join(F.broadcast(rng), "cls")
+    counted = (x.join(rng, "cls")
                 .groupBy("cls", b.alias("bin"))
                 .agg(F.count(F.lit(1)).alias("n")))
-    return counted.join(F.broadcast(rng), "cls").select(
+    return counted.join(rng, "cls").select(
         "cls", "bin",
         rnd(F.col("lo") + F.col("bin") * w, 6).alias("bin_lo"),
         "n",

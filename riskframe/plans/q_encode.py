@@ -48,14 +48,7 @@ def q_join_dictionary(spark, sf_dir):
     """Val rows through the train dictionaries: rows, missing and unseen counts per column."""
     tr, va = splits(spark, sf_dir)
     enc = en.apply_ordinal(va, en.ordinal_dictionary(tr, CATS), CATS)
-    parts = None
-    for c in CATS:
-        p = enc.agg(F.count(F.lit(1)).alias("n_rows"),
-                    F.count(F.when(F.col(c).isNull(), 1)).alias("n_missing"),
-                    F.count(F.when(F.col(c).isNotNull() & F.col(f"{c}_code").isNull(), 1)).alias("n_unseen")
-                    ).select(F.lit(c).alias("column"), "*")
-        parts = p if parts is None else parts.unionByName(p)
-    return parts
+    return en.unseen_counts(enc, CATS)
 
 
 def _te_sql_expr(n, s, yn, ys):
