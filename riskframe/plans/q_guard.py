@@ -62,7 +62,7 @@ PII_SQL = [(n, _CVV_SQL if n == "cvv" else p) for n, p in gr.PII_PATTERNS]
 
 
 def _pii_sql(text: str) -> list[str]:
-    return [f"len(regexp_extract_all({text}, '{p}')) AS pii_{n}" for n, p in PII_SQL]
+    return [f"CAST(len(regexp_extract_all({text}, '{p}')) AS INTEGER) AS pii_{n}" for n, p in PII_SQL]
 
 
 GUARD_CTE = REPORTS_CTE + f""",
@@ -77,7 +77,7 @@ g1 AS (
           AND TRY_CAST(priority_raw AS DECIMAL(38,0)) BETWEEN 1 AND 10, false))::INT
     + CASE WHEN evidence IS NOT NULL THEN coalesce(list_sum(list_transform(evidence, lambda e:
           (e.claim IS NULL)::INT + (e.source IS NULL)::INT + (e.value IS NULL)::INT)), 0) ELSE 0 END
-    + (sar_narrative IS NOT NULL AND length(sar_narrative) < 20)::INT AS schema_issues,
+    + (sar_narrative IS NOT NULL AND length(sar_narrative) < 20)::INT AS schema_issues_raw,
     list_filter(coalesce(evidence, []), lambda e: contains(lower(coalesce(e.source, '')), 'shap')) AS shap_ev
   FROM rep),
 g2 AS (
@@ -96,9 +96,10 @@ g3 AS (
   FROM g2),
 g AS (
   SELECT g3.*,
-    schema_issues = 0 AS schema_passed,
-    CASE WHEN tool_ok THEN len(cited) ELSE 0 END AS n_cited,
-    CASE WHEN tool_ok THEN len(halluc) ELSE 0 END AS n_hallucinated,
+    CAST(schema_issues_raw AS INTEGER) AS schema_issues,
+    schema_issues_raw = 0 AS schema_passed,
+    CAST(CASE WHEN tool_ok THEN len(cited) ELSE 0 END AS INTEGER) AS n_cited,
+    CAST(CASE WHEN tool_ok THEN len(halluc) ELSE 0 END AS INTEGER) AS n_hallucinated,
     coalesce(tool_ok AND shap_sourced AND len(halluc) = 0, false) AS grounding_passed,
     ({" + ".join(f"(pii_{n} > 0)::INT" for n, _ in PII_SQL)}) AS pii_types_found,
     NOT (coalesce(recommended_action, '') = 'auto_decline' AND coalesce(len(reason_codes), 0) = 0) AS action_passed,
@@ -200,7 +201,7 @@ def q_guard_pass_rates(spark, sf_dir):
 
 
 @register("pii_scan_documents", with_txn(body="SELECT doc_id, " + ", ".join(
-    f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in PII_SQL) + " FROM documents"))
+    f"CAST(len(regexp_extract_all(text, '{p}')) AS INTEGER) AS {n}" for n, p in PII_SQL) + " FROM documents"))
 def q_pii_scan_documents(spark, sf_dir):
     """Personal-data pattern counts over every whole document text."""
     return gr.scan_text_pii(fact_table(spark, sf_dir, "documents"), "text", "doc_id")

@@ -41,7 +41,7 @@ wc AS (SELECT window_start, score, pos, n, n - pos AS neg,
          sum(pos) OVER (PARTITION BY window_start ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pos_cum,
          sum(n) OVER (PARTITION BY window_start ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_cum
        FROM wst),
-waa AS (SELECT window_start, sum(n) AS n_rows, sum(pos) AS n_pos,
+waa AS (SELECT window_start, CAST(sum(n) AS BIGINT) AS n_rows, sum(pos) AS n_pos,
                sum(pos * (neg_cum - neg + neg / CAST(2 AS DOUBLE))) / (sum(pos) * sum(neg)) AS auc,
                sum(CASE WHEN pos > 0 THEN pos * (CAST(pos_cum AS DOUBLE) / n_cum) ELSE 0 END) / sum(pos) AS ap
         FROM wc GROUP BY window_start),
@@ -131,7 +131,7 @@ def _importance_rank_sql() -> str:
     names = ex.source_names(EXPLAIN_FEATURES)
     back = " ".join(f"WHEN '{n}' THEN '{f}'" for f, n in zip(EXPLAIN_FEATURES, names))
     return f"""gi AS (SELECT CASE feature {back} END AS feature, avg(abs(c)) AS m FROM cl GROUP BY feature),
-ir AS (SELECT feature, row_number() OVER (ORDER BY m DESC, feature) AS importance_rank FROM gi)"""
+ir AS (SELECT feature, CAST(row_number() OVER (ORDER BY m DESC, feature) AS INTEGER) AS importance_rank FROM gi)"""
 
 
 def _importance_rank(scored):

@@ -118,7 +118,7 @@ mc AS (SELECT model, score, pos, n, n - pos AS neg,
        FROM mst),
 maa AS (SELECT model, sum(pos * (neg_cum - neg + neg / CAST(2 AS DOUBLE))) / (sum(pos) * sum(neg)) AS auc,
                sum(CASE WHEN pos > 0 THEN pos * (CAST(pos_cum AS DOUBLE) / n_cum) ELSE 0 END) / sum(pos) AS ap,
-               sum(n) AS n_rows
+               CAST(sum(n) AS BIGINT) AS n_rows
         FROM mc GROUP BY model),
 mrk AS (SELECT model, is_fraud, row_number() OVER (PARTITION BY model ORDER BY score DESC, txn_id) AS rn,
                count(*) OVER (PARTITION BY model) AS n_all, sum(is_fraud) OVER (PARTITION BY model) AS p_all FROM ml),

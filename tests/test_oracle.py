@@ -23,6 +23,9 @@ def con():
     return c
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def _norm(v):
     if isinstance(v, float) and math.isnan(v):
         return "nan"
@@ -40,10 +43,12 @@ def _rows(cols, rows):
 def test_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF0001)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
-    cur = con.execute(SQL[name])
-    cols = [d[0] for d in cur.description]
+    rel = con.sql(SQL[name])
+    cols, types = rel.columns, [str(t) for t in rel.types]
     assert sorted(cols) == sorted(df.columns)
-    assert got == _rows(cols, cur.fetchall())
+    spark_types = dict(df.dtypes)
+    assert [_TYPES.get(spark_types[c], spark_types[c]) for c in cols] == types
+    assert got == _rows(cols, rel.fetchall())
 
 
 def test_entry_runs(spark):
