@@ -42,18 +42,3 @@ def q_stream_guard_rates(spark, sf_dir):
     """Streamed reports: weekly guardrail pass counts with a watermark."""
     return mon.guard_rates_stream(spark, sf_dir)
 
-
-@register("extract_json")
-def q_extract_json(spark, sf_dir):
-    """First JSON object (fenced block, else balanced-brace walk) of every conversation
-    turn, page and document text, whole texts; validity by parsing."""
-    from riskframe.operators.extract import extract_json_frame
-    from riskframe.sources.tables import fact_table
-    conv = fact_table(spark, sf_dir, "conversations").select(
-        F.lit("conversations").alias("source_table"), F.concat_ws(":", "conv_id", "turn").alias("id"),
-        F.col("text"))
-    pages = fact_table(spark, sf_dir, "pages").select(
-        F.lit("pages").alias("source_table"), F.col("page_id").cast("string").alias("id"), F.col("html").alias("text"))
-    docs = fact_table(spark, sf_dir, "documents").select(
-        F.lit("documents").alias("source_table"), F.col("doc_id").cast("string").alias("id"), F.col("text"))
-    return extract_json_frame(conv.unionByName(pages).unionByName(docs), "text", ["source_table", "id"])
