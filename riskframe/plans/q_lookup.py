@@ -139,16 +139,15 @@ def q_join_labels_groups(spark, sf_dir):
 
 
 @register("lookup_txn", with_txn(SPLIT_CTE, """req AS (
-  SELECT txn_id FROM txn WHERE score >= 0.999 UNION ALL SELECT card_id FROM txn WHERE score >= 0.999)""", body="""
+  SELECT txn_id FROM txn UNION ALL SELECT card_id FROM txn)""", body="""
 SELECT r.txn_id, v.amt, v.score, v.txn_id IS NOT NULL AS found
 FROM req r LEFT JOIN (SELECT * FROM splitted WHERE split = 'val') v ON r.txn_id = v.txn_id
 """))
 def q_lookup_txn(spark, sf_dir):
-    """Batch lookup in the val split of the ids of the top-scored rows, and of their card
-    numbers read as ids (mostly not found): found flag plus fields."""
+    """Batch lookup in the val split of every transaction id and of every card number
+    read as an id (ids outside val are not found): found flag plus fields."""
     t = txn(spark, sf_dir)
-    top = t.filter(F.col("score") >= 0.999)
-    req = top.select("txn_id").unionByName(top.select(F.col("card_id").alias("txn_id")))
+    req = t.select("txn_id").unionByName(t.select(F.col("card_id").alias("txn_id")))
     val = split_txn(spark, sf_dir).filter(F.col("split") == "val").select("txn_id", "amt", "score")
     return hi.lookup_txn(req, val).select("txn_id", "amt", "score", "found")
 
