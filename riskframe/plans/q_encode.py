@@ -154,3 +154,17 @@ def q_drop_sparse_columns(spark, sf_dir):
     tr, _ = splits(spark, sf_dir)
     s = en.sparse_columns(tr, _SPARSE_COLS, 0.95)
     return s.select("column", rnd("missing_share", 6).alias("missing_share"), "kept")
+
+
+@register("prepare_tables", with_txn(SPLITF_CTE, _DICTS, body="""
+SELECT x.txn_id, round(x.amt_log, 6) AS amt_log, x.tx_dayofweek, """ + ", ".join(f"{c}_code" for c in CATS) + """
+FROM (""" + _codes_select("sf") + """) c JOIN sf x ON c.txn_id = x.txn_id
+WHERE c.split = 'val'
+"""))
+def q_prepare_tables(spark, sf_dir):
+    """Features, time split and train-fitted codes written once as parquet partitioned
+    by split (shared folder), then the val partition read back."""
+    from riskframe.plans.prepare import prepare
+    t = prepare(spark, sf_dir, force=True)
+    return t.filter(F.col("split") == "val").select(
+        "txn_id", rnd("amt_log", 6).alias("amt_log"), "tx_dayofweek", *[f"{c}_code" for c in CATS])
