@@ -35,3 +35,10 @@ def mean_half_up(col: str, digits: int) -> Column:
         f"case when count(`{col}`) = 0 then cast(null as double) else "
         f"cast(sign({s}) * ((abs({s}) * {2 * 10 ** digits} + {n} * {10 ** SCALE}) div "
         f"({n} * {2 * 10 ** SCALE})) as double) / {float(10 ** digits)}D end")
+
+
+def nan_to_null(col: Column | str) -> Column:
+    """NaN becomes NULL, so that NULL is the only missing marker (Spark orders
+    NaN above every number, which would distort ranks and quantiles)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.numeric import mean_half_up, rnd
+from riskframe.functions.numeric import mean_half_up, nan_to_null, rnd
 from riskframe.functions.codes import PSI_MODERATE, psi_label
 from riskframe.operators.combine import one_row
 from riskframe.operators.prefix import running_sum
@@ -26,7 +26,7 @@ INNER_PROBS = [i / 10 for i in range(1, 10)]   # deciles; the ends become +-inf
 
 def to_long(df: DataFrame, features: Sequence[str], keep_null: bool = False) -> DataFrame:
     """(feature, v double) rows; NULL values dropped unless ``keep_null``."""
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in features])
+    wide = df.select(*[nan_to_null(c).alias(c) for c in features])
     long = wide.unpivot([], list(features), "feature", "v")
     return long if keep_null else long.filter(F.col("v").isNotNull())
 

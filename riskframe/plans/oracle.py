@@ -6,7 +6,7 @@ from __future__ import annotations
 TXN_CTE = """txn_b AS (
   SELECT event_id AS txn_id,
          CAST(floor(epoch(ts) - epoch(TIMESTAMP '2024-01-01 00:00:00')) AS BIGINT) AS dt,
-         value AS amt, user_id AS card_id, event_type AS product,
+         CASE WHEN isnan(value) THEN NULL ELSE value END AS amt, user_id AS card_id, event_type AS product,
          CAST(json_extract(props, '$.k') AS INTEGER) AS k
   FROM events),
 txn_u AS (

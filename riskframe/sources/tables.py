@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.functions.numeric import nan_to_null
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -62,7 +64,7 @@ def txn_from_events(ev: DataFrame, ident: DataFrame, event_time: bool = False) -
     b = ev.select(
         F.col("event_id").alias("txn_id"),
         F.expr(DT_EXPR).alias("dt"),
-        F.col("value").alias("amt"),
+        nan_to_null("value").alias("amt"),
         F.col("user_id").alias("card_id"),
         F.col("event_type").alias("product"),
         F.expr(K_EXPR).alias("k"),

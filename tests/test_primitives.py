@@ -138,3 +138,10 @@ def test_card_history_with_empty_windows(spark):
             assert row.mean_amount == float(exact)
             assert row.unique_products == ",".join(sorted(set(w["product"])))
     assert (out.n_transactions_in_window == 0).any()
+
+
+def test_nan_is_missing_in_quantiles(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,), (3.0,)], "v double")
+    q = quantiles.exact_quantiles(df, "v", [0.0, 0.5, 1.0]).toPandas().sort_values("qi")
+    assert list(q["quantile"]) == [1.0, 2.0, 3.0]
+    assert int(q["n"].iloc[0]) == 3
