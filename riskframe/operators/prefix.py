@@ -27,6 +27,7 @@ def _grid(buckets: int) -> list[float]:
 
 
 MAX_BUCKETS = 4096          # one global order: buckets found by binary search
+ROWS_PER_BUCKET = 2_000_000  # global order: more buckets as the distinct keys grow
 MAX_GROUP_BUCKETS = 1024    # per-group cut points: buckets found by a scan of the row's group cuts
 
 
@@ -49,6 +50,7 @@ def running_sum(df: DataFrame, key: str | Column, cols: Sequence[str],
     function of that order; it is used to cut buckets.
     """
     by = list(by)
+    explicit = buckets
     buckets = buckets or default_buckets(df, grouped=bool(by))
     key_col = F.col(key) if isinstance(key, str) else key
     ordered = df.withColumn(_ORD, (-key_col if descending else key_col).cast("double"))
@@ -60,8 +62,17 @@ def running_sum(df: DataFrame, key: str | Column, cols: Sequence[str],
         ordered = ordered.join(bounds, by, "left")
         bucket = F.size(F.filter(F.col(_BOUNDS), lambda b: b < F.col(_ORD)))
     else:
-        row = ordered.agg(F.percentile_approx(_ORD, grid, 10000).alias(_BOUNDS)).first()
-        cuts = sorted({float(x) for x in (row[_BOUNDS] or [])} - {float("inf"), float("-inf")})
+        # one pass: the key count and the cut points for the configured parallelism;
+        # only when the distinct keys need more buckets (large data) a second pass
+        # computes a finer grid
+        buckets = min(MAX_BUCKETS, buckets)
+        row = ordered.agg(F.count(F.lit(1)).alias("_n"),
+                          F.percentile_approx(_ORD, _grid(buckets), 10000).alias(_BOUNDS)).first()
+        want = min(MAX_BUCKETS, max(buckets, -(-int(row["_n"]) // ROWS_PER_BUCKET)))
+        raw = row[_BOUNDS] or []
+        if want > buckets and explicit is None:
+            raw = ordered.agg(F.percentile_approx(_ORD, _grid(want), 10000).alias(_BOUNDS)).first()[_BOUNDS] or []
+        cuts = sorted({float(x) for x in raw if x is not None} - {float("inf"), float("-inf")})
         # binary search over the cut points in the JVM; NULL keys sort first
         splits = [float("-inf"), *cuts, float("inf")]
         ordered = ordered.withColumn("_pfx_in", F.coalesce(F.col(_ORD), F.lit(float("-inf"))))
