@@ -67,3 +67,22 @@ def test_stream_guard_rates_equal_batch(spark):
     cols = batch.columns
     assert sorted(tuple(r) for r in streamed.select(*cols).collect()) == \
         sorted(tuple(r) for r in batch.collect())
+
+
+def test_no_cartesian_or_nested_loop_joins(spark):
+    import __spark_entry__ as se
+    skip = {"train_champion", "train_challenger_lr", "train_challenger_gbm", "contrib_tree", "tree_top_reasons",
+            "score_throughput", "stream_score_bins", "stream_window_psi", "stream_guard_rates", "guard_recheck",
+            "prepare_tables"}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        bad = []
+        for name, fn in sorted(se.queries().items()):
+            if name in skip:
+                continue
+            plan = _plan(fn(spark, SF0001))
+            if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+                bad.append(name)
+        assert bad == []
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
