@@ -33,9 +33,18 @@ def score_table(df: DataFrame, score: str = "score", label: str = "is_fraud",
 def auc_ap(df: DataFrame, score: str = "score", label: str = "is_fraud",
            by: Sequence[str] = ()) -> DataFrame:
     """Unrounded ROC-AUC (ties count one half) and average precision per group."""
+    by = list(by)
     st = score_table(df, score, label, by)
-    up = running_sum(st, "score", ["neg"], by=by)                     # neg_cum: neg with score <= s
-    down = running_sum(up, "score", ["pos", "n"], by=by, descending=True)  # counts with score >= s
+    up = running_sum(st, "score", ["neg", "pos", "n"], by=by)        # sums over score <= s
+    # sums over score >= s = group total - sum over score <= s + this score's counts (exact integers)
+    if by:
+        tot = st.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("n").alias("_N"))
+        up = up.join(tot, by)
+    else:
+        t = st.agg(F.sum("pos").alias("_P"), F.sum("n").alias("_N")).first()
+        up = up.withColumns({"_P": F.lit(int(t["_P"] or 0)), "_N": F.lit(int(t["_N"] or 0))})
+    down = up.withColumns({"pos_cum": F.col("_P") - F.col("pos_cum") + F.col("pos"),
+                           "n_cum": F.col("_N") - F.col("n_cum") + F.col("n")})
     p = F.sum("pos")
     n = F.sum("neg")
     auc_num = F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") + F.col("neg") / F.lit(2.0)))
