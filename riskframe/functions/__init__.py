@@ -1,0 +1 @@
+"""Column helpers: features, fixed lookup values, numeric rounding."""

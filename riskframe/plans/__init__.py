@@ -1,0 +1 @@
+"""Registered queries (Spark callables with their DuckDB SQL) and the prepared table."""

@@ -1,0 +1 @@
+"""Sources and sinks: test tables and bindings, report table, files."""

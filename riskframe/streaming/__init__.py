@@ -1,0 +1 @@
+"""Structured Streaming monitors."""
