@@ -73,11 +73,14 @@ def running_sum(df: DataFrame, key: str | Column, cols: Sequence[str],
         if want > buckets and explicit is None:
             raw = ordered.agg(F.percentile_approx(_ORD, _grid(want), 10000).alias(_BOUNDS)).first()[_BOUNDS] or []
         cuts = sorted({float(x) for x in raw if x is not None} - {float("inf"), float("-inf")})
-        # binary search over the cut points in the JVM; NULL keys sort first
-        splits = [float("-inf"), *cuts, float("inf")]
-        ordered = ordered.withColumn("_pfx_in", F.coalesce(F.col(_ORD), F.lit(float("-inf"))))
-        ordered = Bucketizer(splits=splits, inputCol="_pfx_in", outputCol="_pfx_b",
-                             handleInvalid="keep").transform(ordered).drop("_pfx_in")
+        if cuts:
+            # binary search over the cut points in the JVM; NULL keys sort first
+            splits = [float("-inf"), *cuts, float("inf")]
+            ordered = ordered.withColumn("_pfx_in", F.coalesce(F.col(_ORD), F.lit(float("-inf"))))
+            ordered = Bucketizer(splits=splits, inputCol="_pfx_in", outputCol="_pfx_b",
+                                 handleInvalid="keep").transform(ordered).drop("_pfx_in")
+        else:                       # no rows or a single key: one bucket
+            ordered = ordered.withColumn("_pfx_b", F.lit(0.0))
         bucket = F.col("_pfx_b").cast("int")
     ordered = ordered.withColumn(_BKT, bucket)
     if not by:

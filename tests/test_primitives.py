@@ -145,3 +145,35 @@ def test_nan_is_missing_in_quantiles(spark):
     q = quantiles.exact_quantiles(df, "v", [0.0, 0.5, 1.0]).toPandas().sort_values("qi")
     assert list(q["quantile"]) == [1.0, 2.0, 3.0]
     assert int(q["n"].iloc[0]) == 3
+
+
+def test_empty_inputs(spark):
+    from riskframe.operators import drift as dr
+    from riskframe.operators import fairness as fa
+    empty = spark.createDataFrame([], "txn_id long, score double, is_fraud int, dt long, product string")
+    assert ranking.threshold_table(empty).count() == 0
+    r = ranking.auc_ap(empty).collect()
+    assert r == [] or r[0]["roc_auc"] is None
+    assert sp.time_split(empty).count() == 0
+    assert quantiles.exact_quantiles(empty, "score", [0.5]).count() == 0
+    some = spark.createDataFrame([(1, 0.5, 0, 10, "a"), (2, 0.7, 0, 20, "b")],
+                                 "txn_id long, score double, is_fraud int, dt long, product string")
+    p = dr.psi_table(some, empty, ["score"]).collect()
+    assert all(row["psi"] is None for row in p)
+    m = fa.fairness_suite(some, ["product"], 0.6).collect()   # no positives: tpr NULL
+    assert all(row["tpr"] is None for row in m)
+    assert ranking.auc_ap(some).first()["roc_auc"] is None
+
+
+def test_all_rows_share_one_score(spark):
+    rng = np.random.default_rng(11)
+    n = 2000
+    pdf = pd.DataFrame({"txn_id": rng.permutation(n).astype("int64"), "score": 0.42,
+                        "is_fraud": (rng.random(n) < 0.1).astype("int32")})
+    df = spark.createDataFrame(pdf)
+    order = pdf.sort_values("txn_id")
+    for k in (1, 60, 1999):
+        r = ranking.top_k_caught(df, spark.createDataFrame([(0, k)], "tid int, k long")).first()
+        assert r["caught"] == int(order.head(k)["is_fraud"].sum())
+    r = ranking.auc_ap(df).first()
+    assert r["roc_auc"] == 0.5
