@@ -54,8 +54,9 @@ def cohen_kappa(t: DataFrame, n_classes: int = 3) -> DataFrame:
                  F.count(F.when(F.col("predicted") == k, 1)).alias(f"p{k}")]
     a = t.agg(*aggs)
     n = F.col("n").cast("double")
-    po = F.col("agree") / n
-    pe = sum((F.col(f"e{k}") / n) * (F.col(f"p{k}") / n) for k in range(n_classes))
+    po = F.try_divide(F.col("agree").cast("double"), n)
+    pe = sum(F.try_divide(F.col(f"e{k}").cast("double"), n) * F.try_divide(F.col(f"p{k}").cast("double"), n)
+             for k in range(n_classes))
     kappa = (F.when(F.col("n") == 0, F.lit(0.0)).when(pe == 1.0, F.lit(1.0))
               .otherwise((po - pe) / (F.lit(1.0) - pe)))
     return a.select(rnd(po, 6).alias("observed_agreement"), rnd(pe, 6).alias("expected_agreement"),

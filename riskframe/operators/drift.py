@@ -131,14 +131,15 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, col: str, by: Sequence[str] = (
     cum = running_sum(counts, "v", ["rc", "cc"], by=by)
     tot = counts.groupBy(*by).agg(F.sum("rc").alias("n_ref"), F.sum("cc").alias("n_cur"))
     j = cum.join(tot, by, "inner")
-    gap = F.abs(F.col("rc_cum") / F.col("n_ref") - F.col("cc_cum") / F.col("n_cur"))
+    gap = F.abs(F.try_divide(F.col("rc_cum").cast("double"), F.col("n_ref"))
+                - F.try_divide(F.col("cc_cum").cast("double"), F.col("n_cur")))
     out = j.groupBy(*by, "n_ref", "n_cur").agg(F.max(gap).alias("ks_d"))
     return out if grouped else out.drop("_ks_g")
 
 
 def kolmogorov_p(d: Column, n_ref: Column, n_cur: Column, terms: int = 100) -> Column:
     """Asymptotic two-sided p-value: Q(sqrt(n m / (n + m)) * D), Kolmogorov series."""
-    en = n_ref.cast("double") * n_cur.cast("double") / (n_ref + n_cur).cast("double")
+    en = F.try_divide(n_ref.cast("double") * n_cur.cast("double"), (n_ref + n_cur).cast("double"))
     z = F.sqrt(en) * d
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),

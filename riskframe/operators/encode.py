@@ -101,7 +101,7 @@ def _smoothed(n, s, yn, ys):
     """lambda * mean_c + (1 - lambda) * mean_y with lambda = v_y n / (v_y n + v_c)
     (population variances of a binary label); the overall mean when n = 0 or
     lambda is undefined."""
-    y_mean = ys / yn
+    y_mean = F.try_divide(ys, yn)
     y_var = y_mean - y_mean * y_mean
     mean_c = s / n
     var_c = mean_c - mean_c * mean_c

@@ -22,7 +22,7 @@ def class_balance(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     agg = df.agg(F.count(F.lit(1)).alias("n_total"), F.sum(y).alias("n_fraud"))
     return agg.select(
         "n_total", "n_fraud", (F.col("n_total") - F.col("n_fraud")).alias("n_legit"),
-        rnd(F.col("n_fraud") / F.col("n_total"), 6).alias("fraud_rate"),
+        rnd(F.try_divide(F.col("n_fraud").cast("double"), F.col("n_total")), 6).alias("fraud_rate"),
         rnd(F.try_divide((F.col("n_total") - F.col("n_fraud")).cast("double"),
                              F.col("n_fraud")), 4).alias("legit_per_fraud"))
 

@@ -177,3 +177,22 @@ def test_all_rows_share_one_score(spark):
         assert r["caught"] == int(order.head(k)["is_fraud"].sum())
     r = ranking.auc_ap(df).first()
     assert r["roc_auc"] == 0.5
+
+
+def test_ks_with_an_empty_side(spark):
+    from riskframe.operators import drift as dr
+    a = spark.createDataFrame([(1.0,), (2.0,)], "x double")
+    e = spark.createDataFrame([], "x double")
+    r = dr.ks_test_raw(a, e, "x").collect()
+    assert r == [] or (r[0]["d"] is None)
+
+
+def test_degenerate_aggregates(spark):
+    from riskframe.operators import agreement as ag
+    from riskframe.operators import profile as pf
+    empty = spark.createDataFrame([], "is_fraud int, expected int, predicted int")
+    assert pf.class_balance(empty).first()["fraud_rate"] is None
+    assert ag.cohen_kappa(empty).first()["cohen_kappa"] == 0.0
+    one_fold = spark.createDataFrame([(1, "a", 1, 0), (2, "b", 0, 0)], "txn_id long, cat string, is_fraud int, fold int")
+    tr, _ = en.target_encode(one_fold, None, ["cat"])
+    assert tr.count() == 2
