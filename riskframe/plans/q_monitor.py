@@ -318,3 +318,34 @@ def q_ordering_check(spark, sf_dir):
     t = txn(spark, sf_dir)
     s = od.sorted_by_range(t, ["dt", "txn_id"], shuffle_partitions(spark))
     return od.order_violations(s, "dt")
+
+
+def dossier_nested(spark, sf_dir):
+    tr, va = splits(spark, sf_dir)
+    t, _ = ranking.review_threshold(va, 0.03)
+    flagged = va.filter(F.col("score") >= F.lit(t))
+    card = ex.fit_scorecard(tr, EXPLAIN_FEATURES)
+    scored = ex.contributions(flagged, card, EXPLAIN_FEATURES)
+    # at most four reasons and four codes per transaction
+    reasons = ex.top_reasons(scored, EXPLAIN_FEATURES, 4).groupBy("txn_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "feature", "feature_value", "contribution", "direction",
+                                             "reason_code", "reason_text"))).alias("top_reasons"))
+    codes_ = ex.adverse_codes(scored, EXPLAIN_FEATURES, 4).groupBy("txn_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "code", "description", "driven_by_feature")))
+        .alias("adverse_codes"))
+    hist = hi.customer_history_all(tr.unionByName(va), 30)
+    hist = hist.select("card_id", F.struct(*[c for c in hist.columns if c != "card_id"]).alias("card_history"))
+    details = hi.txn_details(flagged)
+    det = details.select("txn_id", F.struct(*details.columns).alias("details"))
+    return (flagged.select("txn_id", "card_id").join(det, "txn_id").join(reasons, "txn_id")
+            .join(codes_, "txn_id", "left").join(hist, "card_id", "left")
+            .select("txn_id", "details", "top_reasons", "card_history",
+                    F.coalesce("adverse_codes", F.array().cast(codes_.schema["adverse_codes"].dataType))
+                    .alias("adverse_codes")))
+
+
+@register("evidence_dossier_nested")
+def q_evidence_dossier_nested(spark, sf_dir):
+    """The four lookups for every flagged val row as one nested row: details, ranked
+    reasons, the card's 30-day history and the adverse-action codes."""
+    return dossier_nested(spark, sf_dir)

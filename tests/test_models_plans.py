@@ -86,3 +86,18 @@ def test_no_cartesian_or_nested_loop_joins(spark):
         assert bad == []
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_nested_dossier_agrees_with_flat(spark):
+    import __spark_entry__ as se
+    from conftest import SF001
+    q = se.queries()
+    flat = {r["txn_id"]: r for r in q["evidence_dossier"](spark, SF001).collect()}
+    nested = {r["txn_id"]: r for r in q["evidence_dossier_nested"](spark, SF001).collect()}
+    assert set(flat) == set(nested) and flat
+    for tid, n in nested.items():
+        f = flat[tid]
+        assert ",".join(r["feature"] for r in n["top_reasons"]) == f["top_features"]
+        assert (",".join(c["code"] for c in n["adverse_codes"]) or None) == f["adverse_codes"]
+        assert n["card_history"]["n_transactions_in_window"] == f["card_txn_30d"]
+        assert n["details"]["fraud_score"] == f["fraud_score"]
