@@ -43,6 +43,7 @@ def scenarios(high_amount: float = 500.0, night_amount: float = 200.0,
               hour: str = "tx_hour") -> list[Scenario]:
     """The eight scenario pools in their fixed order; amount cut-offs are parameters."""
     s, y, a, h = F.col(score), F.col(label), F.col(amt), F.col(hour)
+    # Scenario names, predicates, draw sizes, seeds and expected outcomes.
     return [
         Scenario("clear_fraud", (y == 1) & (s > 0.95), 10, "hash", 42, "auto_decline", "high", False),
         Scenario("clear_legitimate", (y == 0) & (s < 0.05), 8, "hash", 42, "auto_approve", "low", False),

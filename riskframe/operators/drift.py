@@ -19,6 +19,7 @@ from riskframe.operators.combine import one_row
 from riskframe.operators.prefix import running_sum
 from riskframe.operators.quantiles import exact_quantiles
 
+# Smoothing added to bin counts; reference deciles.
 EPSILON = 1e-4
 MAX_BROADCAST_FEATURES = 10000   # edge table rows = features; above this, no forced broadcast
 INNER_PROBS = [i / 10 for i in range(1, 10)]   # deciles; the ends become +-inf

@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.codes import risk_band
 
+# Fixed values of the re-scoring rule.
+AMOUNT_UP, AMOUNT_DOWN = 0.2, -0.2            # relative change that counts
+UP_CAP, UP_RATE = 0.05, 0.03                  # amount up: + min(cap, change * rate)
+DOWN_CAP, DOWN_RATE = 0.03, 0.02              # amount down: - min(cap, |change| * rate)
+NIGHT_BEFORE, EVENING_AFTER = 6, 18           # edited hour bands
+NIGHT_ADD, EVENING_ADD, DAY_ADD = 0.03, 0.02, -0.01
+
+# The edit grid (our choice): amount factors x edited hours, None = not edited.
 AMOUNT_FACTORS = [None, 0.5, 1.5, 3.0]
 HOURS = [None, 2, 12, 21]
 
@@ -35,12 +43,12 @@ def what_if_grid(details: DataFrame, grid: Sequence[tuple] | None = None, id_col
     new_amt = a * F.col("sc.factor")
     pct = F.when(a > 0, (new_amt - a) / a).otherwise(F.lit(0.0))
     d_amt = (F.when(F.col("sc.factor").isNull(), F.lit(0.0))
-              .when(pct > 0.2, F.least(F.lit(0.05), pct * 0.03))
-              .when(pct < -0.2, -F.least(F.lit(0.03), F.abs(pct) * 0.02))
+              .when(pct > AMOUNT_UP, F.least(F.lit(UP_CAP), pct * UP_RATE))
+              .when(pct < AMOUNT_DOWN, -F.least(F.lit(DOWN_CAP), F.abs(pct) * DOWN_RATE))
               .otherwise(F.lit(0.0)))
     h = F.col("sc.hour")
-    d_hour = (F.when(h.isNull(), F.lit(0.0)).when(h < 6, F.lit(0.03)).when(h > 18, F.lit(0.02))
-               .otherwise(F.lit(-0.01)))
+    d_hour = (F.when(h.isNull(), F.lit(0.0)).when(h < NIGHT_BEFORE, F.lit(NIGHT_ADD))
+               .when(h > EVENING_AFTER, F.lit(EVENING_ADD)).otherwise(F.lit(DAY_ADD)))
     new = F.greatest(F.lit(0.0), F.least(F.lit(1.0), orig + (d_amt + d_hour)))
     return x.select(id_col, F.col("sc.sid").alias("scenario_id"), new.alias("new_score"),
                     (risk_band(new) != risk_band(orig)).alias("band_flip"))
