@@ -101,3 +101,21 @@ def test_nested_dossier_agrees_with_flat(spark):
         assert (",".join(c["code"] for c in n["adverse_codes"]) or None) == f["adverse_codes"]
         assert n["card_history"]["n_transactions_in_window"] == f["card_txn_30d"]
         assert n["details"]["fraud_score"] == f["fraud_score"]
+
+
+def test_results_do_not_depend_on_partitioning(spark):
+    import __spark_entry__ as se
+    names = ["threshold_table", "headline_metrics", "time_split", "split_day", "feature_psi_report",
+             "ks_two_sample", "ordinal_encode", "target_encode", "customer_history_all", "fairness_suite",
+             "rolling_30d_metrics", "amount_by_class"]
+    q = se.queries()
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    results = {}
+    try:
+        for parts in ("3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            results[parts] = {n: sorted(tuple(r) for r in q[n](spark, SF0001).collect()) for n in names}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    for n in names:
+        assert results["3"][n] == results["17"][n], n
