@@ -94,3 +94,34 @@ def lookup_txn(requests: DataFrame, table: DataFrame, id_col: str = "txn_id") ->
 
 def score_range(df: DataFrame, lo: float, hi: float, score: str = "score") -> DataFrame:
     return df.filter(F.col(score).between(lo, hi))
+
+
+def card_history_point_in_time(df: DataFrame, days: int = 30, card: str = "card_id", order: str = "dt",
+                               amt: str = "amt", id_col: str = "txn_id") -> DataFrame:
+    """For every transaction: count and amount sum of the same card's rows in
+    [t - days, t - 1 second] (the point-in-time form of the card history).
+
+    Rows are reduced to (card, second) totals; a probe row is added at each
+    window start t - days, sorted before data rows of the same second; one
+    distributed running sum per card (bucketed, so a hot card is split over many
+    tasks) gives, at a data row, the total before t and, at its probe, the total
+    before t - days. The window is their difference; no range join."""
+    from riskframe.operators.prefix import running_sum
+    span = days * SECONDS_PER_DAY
+    per = df.groupBy(card, order).agg(F.count(F.lit(1)).alias("_c"), F.sum(amt).alias("_s"))
+    data = per.select(card, F.col(order).alias("_t"), F.lit(1).alias("_kind"), F.col(order).alias("_for"),
+                      "_c", "_s")
+    probes = per.select(card, (F.col(order) - F.lit(span)).alias("_t"), F.lit(0).alias("_kind"),
+                        F.col(order).alias("_for"), F.lit(0).cast("long").alias("_c"),
+                        F.lit(0.0).alias("_s"))
+    run = running_sum(data.unionByName(probes), "_t", ["_c", "_s"], by=[card],
+                      order=[F.col("_t"), F.col("_kind")])
+    before_t = run.filter(F.col("_kind") == 1).select(
+        card, F.col("_for").alias(order), (F.col("_c_cum") - F.col("_c")).alias("_cb"),
+        (F.col("_s_cum") - F.col("_s")).alias("_sb"))
+    before_start = run.filter(F.col("_kind") == 0).select(
+        card, F.col("_for").alias(order), F.col("_c_cum").alias("_cp"), F.col("_s_cum").alias("_sp"))
+    win = before_t.join(before_start, [card, order]).select(
+        card, order, (F.col("_cb") - F.col("_cp")).alias("n_prior"), (F.col("_sb") - F.col("_sp")).alias("_sum"))
+    return df.select(id_col, card, order).join(win, [card, order]).select(
+        id_col, "n_prior", F.when(F.col("n_prior") > 0, rnd("_sum", 2)).alias("amount_prior"))

@@ -181,3 +181,15 @@ def q_join_scores(spark, sf_dir):
     val = split_txn(spark, sf_dir).filter(F.col("split") == "val").select("txn_id", "score")
     raw = txn(spark, sf_dir).select("txn_id", "amt", "product")
     return val.join(raw, "txn_id").select("txn_id", rnd("score", 4).alias("score"), "amt", "product")
+
+
+@register("card_history_point_in_time", with_txn(body="""
+SELECT txn_id, count(*) OVER w AS n_prior,
+       CASE WHEN count(*) OVER w > 0 THEN round(sum(amt) OVER w, 2) END AS amount_prior
+FROM txn
+WINDOW w AS (PARTITION BY card_id ORDER BY dt RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING)
+"""))
+def q_card_history_point_in_time(spark, sf_dir):
+    """For every transaction: the card's count and amount in the 30 days before it
+    (excluding its own second), via running sums with window-start probes."""
+    return hi.card_history_point_in_time(txn(spark, sf_dir), 30)

@@ -196,3 +196,19 @@ def test_degenerate_aggregates(spark):
     one_fold = spark.createDataFrame([(1, "a", 1, 0), (2, "b", 0, 0)], "txn_id long, cat string, is_fraud int, fold int")
     tr, _ = en.target_encode(one_fold, None, ["cat"])
     assert tr.count() == 2
+
+
+def test_point_in_time_history_one_day(spark):
+    from riskframe.operators import history as hi
+    from riskframe.sources.tables import txn
+    from conftest import SF0001
+    t = txn(spark, SF0001)
+    got = hi.card_history_point_in_time(t, days=1).toPandas().set_index("txn_id")
+    pdf = t.select("txn_id", "card_id", "dt", "amt").toPandas()
+    for card, g in pdf.groupby("card_id"):
+        dts, amts = g["dt"].to_numpy(), g["amt"].to_numpy()
+        for tid, d in zip(g["txn_id"], dts):
+            m = (dts >= d - 86400) & (dts <= d - 1)
+            assert got.loc[tid, "n_prior"] == m.sum()
+            if m.sum():
+                assert abs(got.loc[tid, "amount_prior"] - round(amts[m].sum(), 2)) < 1e-9
