@@ -119,3 +119,12 @@ def test_results_do_not_depend_on_partitioning(spark):
         spark.conf.set("spark.sql.shuffle.partitions", prev)
     for n in names:
         assert results["3"][n] == results["17"][n], n
+
+
+def test_prepared_table_prunes_partitions(spark):
+    from riskframe.plans.prepare import prepare
+    t = prepare(spark, SF0001, force=True)
+    plan = _plan(t.filter(F.col("split") == "val").select("txn_id"))
+    assert "PartitionFilters: [isnotnull(split" in plan and "= val)" in plan
+    assert t.filter(F.col("split") == "val").count() == int(t.count() * 0.2 + 0.5) or \
+        abs(t.filter(F.col("split") == "val").count() - t.count() * 0.2) <= 1
