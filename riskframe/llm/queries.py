@@ -5,11 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riskframe.llm import bpe
 from riskframe.llm.common import table
 from riskframe.llm.minhash_dedup import near_duplicates
 
 
+def word_bpe_file() -> str:
+    """The public vocabulary that the encoding query uses by default."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Ids of every whole document text and the text they decode to, as digests."""
+    out = bpe.encode(table(spark, sf_dir, "documents"), tokenizer or word_bpe_file(), with_text=True)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -17,6 +34,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bpe_round_trip": op2_bpe_round_trip,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
     }
 
