@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe
+from riskframe.llm import bpe, language_id
 from riskframe.llm.common import table
 from riskframe.llm.minhash_dedup import near_duplicates
 
@@ -27,6 +27,16 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str | None =
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: doc_id, language, declared, posterior, kept."""
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page, with markup, address suffix and host as evidence."""
+    return language_id.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -35,6 +45,8 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op4_language_id": op4_language_id,
+        "language_id_pages": language_id_pages,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
     }
 
