@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, language_id
+from riskframe.llm import bpe, language_id, secrets
 from riskframe.llm.common import table
 from riskframe.llm.minhash_dedup import near_duplicates
 
@@ -42,12 +42,20 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; a source owns its documents, its languages are its repositories."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.by_document(*secrets.scan(
+        docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op4_language_id": op4_language_id,
         "language_id_pages": language_id_pages,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op9_secret_scan": op9_secret_scan,
     }
 
 
