@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, language_id, secrets
+from riskframe.llm import bpe, language_id, mixing, secrets
 from riskframe.llm.common import table
 from riskframe.llm.minhash_dedup import near_duplicates
 
@@ -37,6 +37,15 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_pages(table(spark, sf_dir, "pages"))
 
 
+MIX_SHARE = 1.0         # of all tokens
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is read under the target weights: doc_id, its leaf, n_tokens, copies."""
+    rows = mixing.documents_of(table(spark, sf_dir, "documents"), mixing.PRODUCTION)
+    return mixing.mix(rows, MIX_SHARE)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -49,15 +58,73 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over the documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op4_language_id": op4_language_id,
         "language_id_pages": language_id_pages,
+        "op5_mix_sources": op5_mix_sources,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op9_secret_scan": op9_secret_scan,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mix_sources": mixing_sql()}
+
+
+def _case(column: str, values: dict[str, int], default: int) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {default} END" \
+        if values else str(default)
+
+
+def mixing_sql(share: float = MIX_SHARE, targets: mixing.Targets = mixing.PRODUCTION,
+               max_epochs: int = mixing.MAX_EPOCHS, seed: int = 7) -> str:
+    """The mix of the documents table in SQL: the same closed form, with a plain window over each leaf."""
+    domain = "CASE " + " ".join(
+        "WHEN source IN (" + ", ".join(f"'{x}'" for x in xs) + f") THEN '{d}'"
+        for d, xs in targets.sources_of.items()) + " ELSE 'other' END"
+    weight = {"domain": _case("domain", targets.domains, targets.default),
+              "language": _case("language", targets.languages, targets.default),
+              "source": _case("source", targets.sources, targets.default)}
+    sql = f"""
+WITH docs AS (
+  SELECT doc_id, {domain} AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS source,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens
+  FROM documents),
+leaves AS (SELECT domain, language, source, sum(n_tokens) AS tokens FROM docs GROUP BY ALL),
+l0 AS (SELECT CAST(floor(sum(tokens) * {share}) AS BIGINT) AS budget FROM leaves)"""
+    keys: list[str] = []
+    for depth, name in enumerate(mixing.LEVELS):
+        above, keys = list(keys), [*keys, name]
+        part = f"PARTITION BY {', '.join(above)}" if above else ""
+        using = f"JOIN l{depth} USING ({', '.join(above)})" if above else "CROSS JOIN l0"
+        order = f"{part} ORDER BY cap / weight, {name}"
+        sql += f""",
+n{depth} AS (SELECT {', '.join(keys)}, sum(tokens) * {max_epochs} AS cap, {weight[name]} AS weight
+  FROM leaves WHERE tokens > 0 GROUP BY {', '.join(keys)}),
+s{depth} AS (SELECT {', '.join('n' + str(depth) + '.' + k for k in keys)}, cap, weight,
+    row_number() OVER ({order}) AS pos,
+    budget - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remains,
+    sum(weight) OVER ({part}) - coalesce(sum(weight) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weights
+  FROM n{depth} {using}),
+t{depth} AS (SELECT *, min(CASE WHEN remains >= 0 AND cap::HUGEINT * weights::HUGEINT <= remains::HUGEINT * weight
+    THEN NULL ELSE pos END) OVER ({part}) AS stop FROM s{depth}),
+l{depth + 1} AS (SELECT {', '.join(keys)}, CAST(CASE WHEN stop IS NULL OR pos < stop THEN cap ELSE
+    (max(CASE WHEN pos = stop THEN remains END) OVER ({part}))::HUGEINT * weight
+    // (max(CASE WHEN pos = stop THEN weights END) OVER ({part}))::HUGEINT END AS BIGINT) AS budget FROM t{depth})"""
+    return sql + f""",
+placed AS (SELECT docs.*, budget // tokens AS whole, budget % tokens AS rest
+  FROM docs LEFT JOIN leaves USING (domain, language, source) LEFT JOIN l3 USING (domain, language, source)),
+runs AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, source
+    ORDER BY md5(concat('{seed}:', whole + 1, ':', doc_id)), doc_id) AS run FROM placed)
+SELECT doc_id, domain, language, source, CAST(n_tokens AS BIGINT) AS n_tokens,
+  CAST(CASE WHEN n_tokens > 0 THEN coalesce(whole + CASE WHEN run <= rest THEN 1 ELSE 0 END, 0) ELSE 0 END AS BIGINT) AS copies
+FROM runs"""
