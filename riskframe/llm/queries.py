@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, language_id, mixing, secrets
+from riskframe.llm import bpe, language_id, mixing, quality_rules, secrets
 from riskframe.llm.common import table
 from riskframe.llm.minhash_dedup import near_duplicates
 
@@ -58,6 +58,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang")))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weakly supervised quality verdict of every document."""
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "posterior")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over the documents."""
     import corpus_pipeline
@@ -72,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": op5_mix_sources,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op9_secret_scan": op9_secret_scan,
+        "op10_quality_rules": op10_quality_rules,
         "pipeline": pipeline,
     }
 
