@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, language_id, mixing, quality_rules, secrets
+from riskframe.llm import bpe, language_id, mixing, quality_rules, secrets, url_filter
 from riskframe.llm.common import table
 from riskframe.llm.minhash_dedup import near_duplicates
 
@@ -18,6 +18,11 @@ def word_bpe_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the address of every page: the longest rule's, else the language models'."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Ids of every whole document text and the text they decode to, as digests."""
     out = bpe.encode(table(spark, sf_dir, "documents"), tokenizer or word_bpe_file(), with_text=True)
@@ -73,6 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op4_language_id": op4_language_id,
         "language_id_pages": language_id_pages,
