@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, language_id, mixing, quality_rules, secrets, url_filter
+from riskframe.llm import bpe, fingerprint, language_id, mixing, quality_rules, secrets, url_filter
 from riskframe.llm.common import table
 from riskframe.llm.minhash_dedup import near_duplicates
 
@@ -56,6 +56,13 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    rows = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                       "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; a source owns its documents, its languages are its repositories."""
     docs = table(spark, sf_dir, "documents")
@@ -84,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "language_id_pages": language_id_pages,
         "op5_mix_sources": op5_mix_sources,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op7_fingerprints": op7_fingerprints,
         "op9_secret_scan": op9_secret_scan,
         "op10_quality_rules": op10_quality_rules,
         "pipeline": pipeline,
