@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, fingerprint, language_id, mixing, quality_rules, secrets, url_filter
+from riskframe.llm import bpe, fingerprint, language_id, mixing, quality_rules, secrets, substring_dedup, url_filter
 from riskframe.llm.common import table
 from riskframe.llm.minhash_dedup import near_duplicates
 
@@ -63,6 +63,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "edited_fingerprint", "near_edited", "near_next")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that a document with a smaller id has."""
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; a source owns its documents, its languages are its repositories."""
     docs = table(spark, sf_dir, "documents")
@@ -92,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": op5_mix_sources,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_fingerprints": op7_fingerprints,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_quality_rules": op10_quality_rules,
         "pipeline": pipeline,
