@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, fingerprint, language_id, mixing, quality_rules, secrets, substring_dedup, url_filter
+from riskframe.llm import bpe, cotraining, fingerprint, language_id, mixing, quality_rules, secrets, substring_dedup, url_filter
 from riskframe.llm.common import table
 from riskframe.llm.minhash_dedup import near_duplicates
 
@@ -32,6 +32,11 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str | None =
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by two co-trained views: doc_id, scores, kept."""
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document: doc_id, language, declared, posterior, kept."""
     return language_id.identify_documents(table(spark, sf_dir, "documents"))
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_language_id": op4_language_id,
         "language_id_pages": language_id_pages,
         "op5_mix_sources": op5_mix_sources,
