@@ -19,22 +19,30 @@ def rnd(col: Column | str, digits: int = 0) -> Column:
 
 
 
-SCALE = 10
+SCALE = 14              # decimals of an input that count
+LARGEST = 9e21          # above this a double's own step is far wider than any rounding asked for
 
 
 def mean_half_up(col: str, digits: int) -> Column:
     """Aggregate: mean of ``col`` rounded half away from zero to ``digits``.
 
-    Inputs are taken to 10 decimals, summed exactly as decimals and divided with
-    integer division, so the result does not depend on partitioning or on the
-    order of summation (a double sum can land on either side of a decimal tie
-    such as 2866.88 / 64 = 44.795)."""
-    s = f"cast(sum(cast(`{col}` as decimal(38,{SCALE}))) * {10 ** SCALE} as decimal(38,0))"
-    n = f"cast(count(`{col}`) as decimal(38,0))"
+    Inputs are taken to 14 decimals and summed exactly as decimals, so the result
+    does not depend on partitioning or on the order of summation (a double sum can
+    land on either side of a decimal tie such as 2866.88 / 64 = 44.795). The quotient
+    is taken as a decimal without its remainder, so it neither wraps nor rounds twice.
+    Where count times the largest magnitude passes LARGEST the plain double mean is
+    returned: nothing is left to round there."""
+    s = f"cast(try_sum(try_cast(`{col}` as decimal(38,{SCALE}))) as decimal(36,{SCALE}))"
+    n = f"cast(count(`{col}`) as decimal(19,0))"
+    unit = f"cast({10 ** -digits:.{digits}f} as decimal({digits + 1},{digits}))"
+    step = f"cast({n} * {unit} as decimal(36,{SCALE}))"
+    twice = f"cast({step} + {step} as decimal(36,{SCALE}))"
+    top = f"cast(abs({s}) + abs({s}) as decimal(36,{SCALE})) + {step}"
+    whole = f"cast(cast({top} - cast({top} as decimal(37,{SCALE})) % {twice} as decimal(36,{SCALE})) / {twice} as double)"
     return F.expr(
-        f"case when count(`{col}`) = 0 then cast(null as double) else "
-        f"cast(sign({s}) * ((abs({s}) * {2 * 10 ** digits} + {n} * {10 ** SCALE}) div "
-        f"({n} * {2 * 10 ** SCALE})) as double) / {float(10 ** digits)}D end")
+        f"case when count(`{col}`) = 0 then cast(null as double) "
+        f"when max(abs(`{col}`)) * count(`{col}`) >= {LARGEST}D then avg(`{col}`) "
+        f"else sign({s}) * {whole} / {float(10 ** digits)}D end")
 
 
 def nan_to_null(col: Column | str) -> Column:

@@ -120,9 +120,6 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, col: str, by: Sequence[str] = (
     Distinct values are counted per side and running counts are taken over the
     value order (distributed running sums)."""
     by = list(by)
-    grouped = bool(by)
-    if not grouped:                      # one group: a constant key column
-        ref, cur, by = ref.withColumn("_ks_g", F.lit(0)), cur.withColumn("_ks_g", F.lit(0)), ["_ks_g"]
     r = ref.filter(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("v"),
                                                   F.lit(1).alias("r"), F.lit(0).alias("c"))
     c = cur.filter(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("v"),
@@ -130,12 +127,16 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, col: str, by: Sequence[str] = (
     counts = r.unionByName(c).groupBy(*by, "v").agg(
         F.sum("r").cast("long").alias("rc"), F.sum("c").cast("long").alias("cc"))
     cum = running_sum(counts, "v", ["rc", "cc"], by=by)
-    tot = counts.groupBy(*by).agg(F.sum("rc").alias("n_ref"), F.sum("cc").alias("n_cur"))
-    j = cum.join(tot, by, "inner")
+    if by:
+        tot = counts.groupBy(*by).agg(F.sum("rc").alias("n_ref"), F.sum("cc").alias("n_cur"))
+        j = cum.join(tot, by, "inner")
+    else:                                # one group: the totals are two scalars
+        t = counts.agg(F.sum("rc").alias("r"), F.sum("cc").alias("c")).first()
+        j = cum.withColumns({"n_ref": F.lit(int(t["r"] or 0)).cast("long"),
+                             "n_cur": F.lit(int(t["c"] or 0)).cast("long")})
     gap = F.abs(F.try_divide(F.col("rc_cum").cast("double"), F.col("n_ref"))
                 - F.try_divide(F.col("cc_cum").cast("double"), F.col("n_cur")))
-    out = j.groupBy(*by, "n_ref", "n_cur").agg(F.max(gap).alias("ks_d"))
-    return out if grouped else out.drop("_ks_g")
+    return j.groupBy(*by, "n_ref", "n_cur").agg(F.max(gap).alias("ks_d"))
 
 
 def kolmogorov_p(d: Column, n_ref: Column, n_cur: Column, terms: int = 100) -> Column:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.prefix import running_sum, string_order_key
+from riskframe.operators.prefix import running_sum
 from riskframe.operators.quantiles import exact_quantiles
 
 NULL_KEY = "__missing__"   # stands for a missing category in target encoding
@@ -29,8 +29,7 @@ def ordinal_dictionary(train: DataFrame, cols: Sequence[str]) -> DataFrame:
                  .unpivot([], list(cols), "column", "value")
                  .filter(F.col("value").isNotNull())
                  .groupBy("column", "value").agg(F.lit(1).cast("long").alias("_one")))
-    ranked = running_sum(long, string_order_key(F.col("value")), ["_one"], by=["column"],
-                         order=[F.col("value")])
+    ranked = running_sum(long, "value", ["_one"], by=["column"])
     return ranked.select("column", "value", (F.col("_one_cum") - 1).cast("double").alias("code"))
 
 

@@ -37,13 +37,15 @@ def collapse_small_groups(long: DataFrame, min_size: int = MIN_GROUP) -> DataFra
     return j.withColumn("group", g).drop("_gn")
 
 
-def group_metrics(long: DataFrame, threshold: float, score: str = "score",
-                  label: str = "is_fraud") -> DataFrame:
-    """Per (proxy, group): n, fraud, rates at flag = score >= threshold (4 dp,
-    NULL where a denominator is zero)."""
+_COUNTS = ["n_total", "n_fraud", "_flag", "_tp", "_fp", "_fn", "_tn"]
+
+
+def confusion_counts(long: DataFrame, threshold: float, score: str = "score",
+                     label: str = "is_fraud") -> DataFrame:
+    """Per raw (proxy, group): row, label, flag and confusion counts (one aggregation)."""
     flag = (F.col(score) >= F.lit(threshold)).cast("long")
     y = F.col(label).cast("long")
-    agg = long.groupBy("proxy", "group").agg(
+    return long.groupBy("proxy", "group").agg(
         F.count(F.lit(1)).alias("n_total"),
         F.sum(y).alias("n_fraud"),
         F.sum(flag).alias("_flag"),
@@ -51,8 +53,21 @@ def group_metrics(long: DataFrame, threshold: float, score: str = "score",
         F.sum(flag * (1 - y)).alias("_fp"),
         F.sum((1 - flag) * y).alias("_fn"),
         F.sum((1 - flag) * (1 - y)).alias("_tn"))
+
+
+def fold_small_groups(counts: DataFrame, min_size: int = MIN_GROUP) -> DataFrame:
+    """``collapse_small_groups`` on counts per raw value: the counts add up, so no row
+    is joined with its group's size."""
+    g = (F.when(F.col("group").isNull(), F.lit("missing"))
+          .when(F.col("n_total") < min_size, F.lit("other"))
+          .otherwise(F.col("group")))
+    return counts.withColumn("group", g).groupBy("proxy", "group").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def rates(counts: DataFrame) -> DataFrame:
+    """Group metrics from counts (4 dp, NULL where a denominator is zero)."""
     d = F.try_divide
-    return agg.select(
+    return counts.select(
         "proxy", "group", "n_total", "n_fraud",
         rnd(d(F.col("n_fraud").cast("double"), F.col("n_total")), 4).alias("fraud_rate"),
         rnd(d(F.col("_flag").cast("double"), F.col("n_total")), 4).alias("flag_rate"),
@@ -61,6 +76,12 @@ def group_metrics(long: DataFrame, threshold: float, score: str = "score",
         rnd(d(F.col("_tp").cast("double"), F.col("_tp") + F.col("_fp")), 4).alias("precision"))
 
 
+def group_metrics(long: DataFrame, threshold: float, score: str = "score",
+                  label: str = "is_fraud") -> DataFrame:
+    """Per (proxy, group): n, fraud, rates at flag = score >= threshold."""
+    return rates(confusion_counts(long, threshold, score, label))
+
+
 def _extremes(metrics: DataFrame, col: str) -> DataFrame:
     """Per proxy: min and max of ``col`` over groups with a value, the group
     holding each (ties: smallest group name), and the number of groups."""
@@ -111,7 +132,7 @@ def fairness_suite(df: DataFrame, proxies: Sequence[str], threshold: float,
     """Group metrics for every present proxy column in one job."""
     present = [p for p in proxies if p in df.columns]
     long = proxies_long(df, present, [score, label])
-    return group_metrics(collapse_small_groups(long, min_size), threshold, score, label)
+    return rates(fold_small_groups(confusion_counts(long, threshold, score, label), min_size))
 
 
 def fairness_report(metrics: DataFrame, threshold: float) -> DataFrame:

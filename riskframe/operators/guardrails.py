@@ -48,10 +48,12 @@ def schema_check(r: DataFrame) -> DataFrame:
     is_int = F.col("priority_raw").rlike(r"^-?[0-9]+$")
     pr = F.when(is_int, F.col("priority_raw").cast("decimal(38,0)"))
     bad_prio = (_present("priority_raw") & ~(is_int & (pr >= 1) & (pr <= 10))).cast("int")
-    ev_missing = F.when(_present("evidence"), F.aggregate(
+    ev_absent = F.when(_present("evidence"), F.aggregate(
         "evidence", F.lit(0),
         lambda acc, e: acc + e["claim"].isNull().cast("int") + e["source"].isNull().cast("int")
         + e["value"].isNull().cast("int"))).otherwise(F.lit(0))
+    # reports read from JSON bring the number of keys that are not there; a null value is not a missing key
+    ev_missing = F.coalesce("evidence_missing", ev_absent) if "evidence_missing" in r.columns else ev_absent
     short = (_present("sar_narrative") & (F.length("sar_narrative") < MIN_NARRATIVE)).cast("int")
     # missing keys are reported as one issue
     n = (F.when(missing > 0, 1).otherwise(0) + bad_risk + bad_action + bad_prio + ev_missing + short)

@@ -60,8 +60,11 @@ def reason_text_sql(x: str) -> str:
 
 
 def mean_half_up_sql(x: str, d: int) -> str:
-    """SQL form of functions.numeric.mean_half_up (exact decimal sum, integer division)."""
-    s = f"CAST(sum(CAST({x} AS DECIMAL(38,10))) * 10000000000 AS HUGEINT)"
-    n = f"CAST(count({x}) AS HUGEINT)"
-    return (f"(CASE WHEN count({x}) = 0 THEN NULL ELSE CAST(sign({s}) * ((abs({s}) * {2 * 10 ** d} + {n} * 10000000000)"
-            f" // ({n} * 20000000000)) AS DOUBLE) / {10 ** d} END)")
+    """SQL form of functions.numeric.mean_half_up: exact decimal sum in units of 1e-14
+    (the text of a double has the same digits in both engines), integer division."""
+    s = f"sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,14)))"
+    units = (f"(CAST(trunc({s}) AS HUGEINT) * 100000000000000"
+             f" + CAST(({s} - trunc({s})) * 100000000000000 AS HUGEINT))")
+    n = f"(CAST(count({x}) AS HUGEINT) * {10 ** (14 - d)})"
+    return (f"(CASE WHEN count({x}) = 0 THEN NULL ELSE sign({s}) * CAST((abs({units}) * 2 + {n}) // ({n} * 2) AS DOUBLE)"
+            f" / {10 ** d} END)")

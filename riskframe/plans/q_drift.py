@@ -13,7 +13,7 @@ from riskframe.plans.catalog import register
 from riskframe.plans.oracle import FEAT_CTE, mean_half_up_sql, with_txn
 from riskframe.sources.tables import txn
 
-FEATURES = ["amt", "amt_log", "dist1", "tx_hour", "tx_dayofweek", "card_id", "dt"]
+FEATURES = ["amt", "amt_log", "dist1", "tx_hour", "tx_dayofweek", "card_id"]
 PROBS_SQL = "[" + ", ".join(f"CAST({i / 10} AS DOUBLE)" for i in range(1, 10)) + "]"
 
 SPLITF_CTE = FEAT_CTE + """,

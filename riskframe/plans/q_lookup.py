@@ -163,13 +163,14 @@ def q_select_features(spark, sf_dir):
 
 
 @register("select_available", with_txn(body="""
-SELECT amt, dist1, device FROM txn
+SELECT amt, dist1, device, 'dist2,V258' AS missing_features FROM txn
 """))
 def q_select_available(spark, sf_dir):
-    """Requested feature list intersected with the table's columns (missing ones reported)."""
+    """Requested feature list intersected with the table's columns; the missing ones are
+    reported in request order."""
     t = txn(spark, sf_dir)
-    present, _missing = fx.select_available(t, ["amt", "dist2", "dist1", "V258", "device"])
-    return t.select(*present)
+    present, missing = fx.select_available(t, ["amt", "dist2", "dist1", "V258", "device"])
+    return t.select(*present, F.lit(",".join(missing)).alias("missing_features"))
 
 
 @register("join_scores", with_txn(SPLIT_CTE, body="""

@@ -37,8 +37,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named in ``spark.checkpoint.dir`` is used as is. Only when the
-    session has none (local tests) is a fresh scratch folder created.
+    The folder named in ``spark.checkpoint.dir`` is used as is. Only a local
+    session (one machine, as in tests) that names none gets a fresh scratch folder;
+    on a cluster a machine-local folder would lose data, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = (spark.conf.get("spark.checkpoint.dir", None)
                   or sc.getConf().get("spark.checkpoint.dir", None))
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="riskframe-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

@@ -31,10 +31,14 @@ EPSILON = 1e-4
 
 
 def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events parquet as a file stream (schema taken from the table)."""
-    schema = table(spark, sf_dir, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+    """The events table (one file or a directory of part files) as a file stream. A file
+    stream's path has to be a directory: a single file is picked by name from its folder."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_trigger)
+    first = events.select("_metadata.file_path").first()
+    if first and first[0].rsplit("/", 1)[-1] == "events.parquet":
+        return stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
 
 def txn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +63,24 @@ def snapshot_upsert(base: str, keys: Sequence[str]):
                 prev = spark.read.parquet(older)
                 rows = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
         rows.write.mode("overwrite").parquet(target)
+        _drop_before(spark, base, prev_dir if prev_dir != target else target)
     return write
 
 
+def _drop_before(spark: SparkSession, base: str, keep: str | None) -> None:
+    """Remove the versions older than ``keep``; a replay needs the one before its own only."""
+    if keep is None:
+        return
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last = keep.rsplit("/", 1)[1]
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if name.startswith("v=") and name < last:
+            fs.delete(st.getPath(), True)
+
+
 def _latest_version(spark: SparkSession, base: str) -> str | None:
     """Directory of the highest committed version (a listing, no data read)."""
     jvm = spark.sparkContext._jvm

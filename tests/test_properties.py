@@ -1,4 +1,4 @@
-"""The reference's five preprocessing properties, on its synthetic fixture."""
+"""Preprocessing properties on rows with hot ties, NULLs and 64-bit ids."""
 
 from pyspark.sql import functions as F
 
