@@ -188,11 +188,13 @@ def headline_metrics(df: DataFrame, score: str = "score", label: str = "is_fraud
 
 def review_threshold_frame(df: DataFrame, rate: float, score: str = "score",
                            label: str = "is_fraud", id_col: str = "txn_id") -> DataFrame:
-    """One row: the score of the n-th highest row, n = max(1, int(N * rate)), and n."""
+    """One row: the score of the n-th highest row, n = max(1, int(N * rate)), and n.
+    Only the score table is needed; ties at the threshold are not ranked."""
     n_rows, _ = _totals(df, label)
     k = review_counts(n_rows, [rate])[0]
-    tg = _targets(df.sparkSession, [k], [rate]).select("tid", "k")
-    return top_k_caught(df, tg, score, label, id_col).select("threshold", "k", "caught")
+    cum = running_sum(score_table(df, score, label), "score", ["n"], descending=True)
+    return cum.filter((F.col("n_cum") - F.col("n") < k) & (F.col("n_cum") >= k)).select(
+        F.col("score").alias("threshold"), F.lit(k).cast("long").alias("k"))
 
 
 def review_threshold(df: DataFrame, rate: float, score: str = "score",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from riskframe.functions import codes
@@ -160,7 +162,7 @@ def q_guard_all(spark, sf_dir):
 @register("guard_recheck", with_txn(GUARD_CTE, body=f"SELECT {_ALL_COLS} FROM ga"))
 def q_guard_recheck(spark, sf_dir):
     """Reports written to the shared checkpoint folder, read back and checked again."""
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/reports_" + str(abs(hash(sf_dir)))
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/reports_" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
     rp.reports(spark, sf_dir).write.mode("overwrite").parquet(path)
     stored = spark.read.parquet(path)
     return gr.guard_all(stored).select(*[c.strip() for c in _ALL_COLS.split(",")])
