@@ -10,44 +10,50 @@ from riskframe.functions.numeric import rnd
 from riskframe.operators import encode as en
 from riskframe.operators import explain as ex
 from riskframe.operators import models as mo
+from riskframe.operators import ranking
 from riskframe.operators import split as sp
 from riskframe.plans.catalog import register
+from riskframe.plans.prepare import CATEGORICALS, prepare
 from riskframe.plans.q_drift import splits
 
 NUMERIC = ["amt", "amt_log", "dist1", "tx_hour", "tx_dayofweek", "card_id"]
-LR_NUMERIC = ["amt_log", "dist1", "tx_hour", "tx_dayofweek"]
-LR_CATS = ["product", "email", "device"]
-ITER = 20
+LR_NUMERIC = ["amt", "amt_log", "dist1", "tx_hour", "tx_dayofweek", "card_id"]
+LR_CATS = CATEGORICALS
+MAX_ROUNDS = 2000       # early stopping ends the training long before
 
 
 def _train_valid(spark, sf_dir):
-    tr, va = splits(spark, sf_dir)
-    tr = sp.time_split(tr.drop("split"), val_frac=0.1, col="_part").withColumn(
+    """The prepared table (features, ordinal codes, split): train with its last 10 % by
+    time marked for early stopping, and val."""
+    rows = prepare(spark, sf_dir)
+    tr, va = (rows.filter(F.col("split") == side).drop("split") for side in ("train", "val"))
+    tr = sp.time_split(tr, val_frac=0.1, col="_part").withColumn(
         "is_valid", F.col("_part") == "val").drop("_part")
     return tr, va
 
 
-def champion(spark, sf_dir):
+def _tree_columns() -> list[str]:
+    return NUMERIC + [f"{c}_code" for c in CATEGORICALS]
+
+
+def champion(spark, sf_dir, rounds: int = MAX_ROUNDS, early_stop: bool = True):
     tr, va = _train_valid(spark, sf_dir)
-    trx, cols = mo.tree_inputs(tr, NUMERIC)
-    vax, _ = mo.tree_inputs(va, NUMERIC)
-    model = mo.train_boosted(trx, cols, valid_col="is_valid", max_iter=ITER, max_depth=6)
+    trx, cols = mo.tree_inputs(tr, _tree_columns())
+    vax, _ = mo.tree_inputs(va, _tree_columns())
+    model = mo.train_boosted(trx, cols, valid_col="is_valid" if early_stop else None, max_iter=rounds, max_depth=6)
     return model, vax, cols
 
 
-@register("train_champion")
-def q_train_champion(spark, sf_dir):
-    """Boosted trees (up to 20 rounds, depth 6, step .05, 80 % of rows per tree and
-    of features per node, positive weight neg/pos, early stopping on a time-ordered
-    slice of train): val probabilities."""
-    model, vax, cols = champion(spark, sf_dir)
-    return mo.score(model, vax, cols).select("txn_id", rnd("probability_1", 6).alias("probability"))
+def challenger_gbm(spark, sf_dir, rounds: int = MAX_ROUNDS):
+    tr, va = _train_valid(spark, sf_dir)
+    kept = [r["column"] for r in en.sparse_columns(tr, _tree_columns(), 0.95).filter("kept").collect()]
+    trx, cols = mo.tree_inputs(tr, kept)
+    vax, _ = mo.tree_inputs(va, kept)
+    model = mo.train_boosted(trx, cols, valid_col="is_valid", max_iter=rounds, max_depth=5, feature_subset="0.7")
+    return model, vax, cols
 
 
-@register("train_challenger_lr")
-def q_train_challenger_lr(spark, sf_dir):
-    """Median imputation, population scaling, cross-fitted target encoding, then
-    balanced logistic regression (C = 0.1): val probabilities."""
+def challenger_lr(spark, sf_dir):
     tr, va = splits(spark, sf_dir)
     med = {r["column"]: r["median"] for r in en.medians(tr, LR_NUMERIC).collect()}
     tri, vai = en.impute_median(tr, med, LR_NUMERIC), en.impute_median(va, med, LR_NUMERIC)
@@ -56,23 +62,48 @@ def q_train_challenger_lr(spark, sf_dir):
     tri = tri.withColumn("fold", F.pmod(F.col("txn_id"), F.lit(5)))
     te_tr, te_va = en.target_encode(tri, vai, LR_CATS)
     cols = [f"{c}_scaled" for c in LR_NUMERIC] + [f"{c}_te" for c in LR_CATS]
-    model = mo.train_linear(te_tr, cols)
+    return mo.train_linear(te_tr, cols), te_va, cols
+
+
+@register("train_champion")
+def q_train_champion(spark, sf_dir):
+    """Boosted trees on all numeric columns and ordinal codes (depth 6, step .05, 80 % of
+    rows per tree and of features per node, positive weight neg/pos, early stopping on a
+    time-ordered slice of train): val probabilities."""
+    model, vax, cols = champion(spark, sf_dir)
+    return mo.score(model, vax, cols).select("txn_id", rnd("probability_1", 6).alias("probability"))
+
+
+@register("train_challenger_lr")
+def q_train_challenger_lr(spark, sf_dir):
+    """Median imputation, population scaling, cross-fitted target encoding, then
+    balanced logistic regression (C = 0.1): val probabilities."""
+    model, te_va, cols = challenger_lr(spark, sf_dir)
     return mo.score(model, te_va, cols).select("txn_id", rnd("probability_1", 6).alias("probability"))
 
 
 @register("train_challenger_gbm")
 def q_train_challenger_gbm(spark, sf_dir):
     """Second boosted model on the columns at most 95 % missing in train
-    (up to 20 rounds, depth 5, 70 % of features per node): val probabilities."""
-    tr, va = _train_valid(spark, sf_dir)
-    kept = [r["column"] for r in en.sparse_columns(tr, NUMERIC, 0.95).filter("kept").collect()]
-    trx, cols = mo.tree_inputs(tr, kept)
-    vax, _ = mo.tree_inputs(va, kept)
-    model = mo.train_boosted(trx, cols, valid_col="is_valid", max_iter=ITER, max_depth=5,
-                             feature_subset="0.7")
+    (depth 5, 70 % of features per node, early stopping): val probabilities."""
+    model, vax, cols = challenger_gbm(spark, sf_dir)
     return mo.score(model, vax, cols).select("txn_id", rnd("probability_1", 6).alias("probability"))
 
 
+@register("trained_model_comparison")
+def q_trained_model_comparison(spark, sf_dir):
+    """The three trained models on val: feature and tree counts and headline metrics."""
+    out = None
+    for name, fit in (("champion", champion), ("challenger_lr", challenger_lr), ("challenger_gbm", challenger_gbm)):
+        model, va, cols = fit(spark, sf_dir)
+        scored = mo.score(model, va, cols).select("txn_id", "is_fraud", F.col("probability_1").alias("score"))
+        trees = getattr(model, "getNumTrees", 0)
+        row = ranking.headline_metrics(scored).select(
+            F.lit(name).alias("model"), F.lit(len(cols)).alias("n_features"), F.lit(int(trees)).alias("n_trees"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register("contrib_tree")
 def q_contrib_tree(spark, sf_dir):
     """Exact path-dependent tree contributions (log-odds) of the champion for every
@@ -101,10 +132,9 @@ def q_tree_top_reasons(spark, sf_dir):
 @register("score_throughput")
 def q_score_throughput(spark, sf_dir):
     """Rows per second of scoring all transactions with the champion into the no-op sink."""
-    from riskframe.functions import features as fx
-    from riskframe.sources.tables import txn
     model, _, cols = champion(spark, sf_dir)
-    allx, _ = mo.tree_inputs(fx.build_features(txn(spark, sf_dir)), NUMERIC)
+    allx, _ = mo.tree_inputs(prepare(spark, sf_dir), _tree_columns())
     r = mo.score_throughput(model, allx, cols)
     return allx.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        "n_rows", F.lit(r["seconds"]).alias("seconds"), F.lit(r["rows_per_sec"]).alias("rows_per_sec"))
+        "n_rows", F.lit(r["seconds"]).alias("seconds"), F.lit(r["rows_per_sec"]).alias("rows_per_sec"),
+        F.lit(int(model.getNumTrees)).alias("n_trees"), F.lit(len(cols)).alias("n_features"))

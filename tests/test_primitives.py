@@ -212,3 +212,70 @@ def test_point_in_time_history_one_day(spark):
             assert got.loc[tid, "n_prior"] == m.sum()
             if m.sum():
                 assert abs(got.loc[tid, "amount_prior"] - round(amts[m].sum(), 2)) < 1e-9
+
+
+def test_running_sum_keeps_64_bit_ids_and_strings(spark):
+    ids = spark.range(3000).select((F.col("id") + F.lit(1 << 60)).alias("k"), F.lit(1).cast("long").alias("n"))
+    for target in (1, 1500, 3000):
+        assert prefix.key_at_count(ids, "k", target).first()["k"] == (1 << 60) + target - 1
+    names = spark.range(20000).select(F.format_string("customer_%08d", "id").alias("k"), F.lit(1).cast("long").alias("n"))
+    out = prefix.running_sum(names, "k", ["n"], buckets=16)
+    assert out.filter(F.col("n_cum") != F.substring("k", 10, 8).cast("long") + 1).count() == 0
+    down = prefix.running_sum(names, "k", ["n"], buckets=5, descending=True)
+    assert down.filter(F.col("n_cum") != 20000 - F.substring("k", 10, 8).cast("long")).count() == 0
+
+
+def test_running_sum_hot_group_small_groups_and_null_group(spark):
+    g = F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 3 == 1, F.col("id") % 5000)
+    rows = spark.range(60000).select(g.alias("g"), F.col("id").alias("k"), (F.col("id") % 7).alias("n")).repartition(5)
+    out = prefix.running_sum(rows, "k", ["n"], by=["g"], buckets=40).toPandas()
+    out["g"] = out["g"].fillna(-9)
+    out = out.sort_values(["g", "k"])
+    assert (out.groupby("g")["n"].cumsum() == out["n_cum"]).all()
+    few = spark.createDataFrame([(None, None, 2), (None, "a", 1), ("x", "b", 5)], "g string, k string, n long")
+    assert sorted(r["n_cum"] for r in prefix.running_sum(few, "k", ["n"], by=["g"]).collect()) == [2, 3, 5]
+
+
+def test_mean_half_up_at_the_ends(spark):
+    from riskframe.functions.numeric import mean_half_up
+    for value, n, digits, expected in ((1e12, 1000, 8, 1e12), (3e-11, 10, 12, 3e-11), (1e18, 1000, 4, 1e18),
+                                       (-2.5, 3, 0, -3.0), (44.795, 64, 2, 44.8), (1e30, 2, 4, 1e30)):
+        df = spark.createDataFrame([(value,)] * n, "v double")
+        assert df.agg(mean_half_up("v", digits).alias("m")).first()["m"] == expected
+    assert spark.createDataFrame([(None,)], "v double").agg(mean_half_up("v", 2).alias("m")).first()["m"] is None
+
+
+def test_target_and_ordinal_codes_with_mostly_null_keys(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("c"), (F.col("id") % 35).cast("string"))).alias("c"))
+    d = en.ordinal_dictionary(rows, ["c"])
+    out = en.apply_ordinal(rows, d, ["c"])
+    assert out.count() == 5000 and out.filter("c is null and c_code is not null").count() == 0
+    assert out.filter("c is not null and c_code is null").count() == 0
+
+
+def test_stream_reads_directory_tables(spark, tmp_path):
+    from conftest import SF0001
+    from riskframe.streaming import monitors as mon
+    for t in ("events", "customer"):
+        spark.read.parquet(f"{SF0001}/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    a, b = ({tuple(r) for r in mon.score_bins_stream(spark, p, [0.1, 0.5]).collect()} for p in (SF0001, str(tmp_path)))
+    assert a == b and sum(r[2] for r in a) > 0
+
+
+def test_checkpoint_folder_is_shared_or_refused():
+    import pytest
+    from riskframe.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext, conf = Context, Conf()
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session)
