@@ -124,13 +124,13 @@ def _cut(batches):
 
     for batch in batches:
         buf, offsets = text_buffer(batch.column("text"))
-        ids, lists = batch.column("doc_id").to_pylist(), batch.column("segments").to_pylist()
-        rows = []
+        ids = batch.column("doc_id").to_pylist()
         for first, h, counts in doc_words(buf, offsets, lower=False):
-            ends = np.cumsum(counts)
+            rows, ends = [], np.cumsum(counts)
+            lists = batch.column("segments").slice(first, len(counts)).to_pylist()
             for d in range(len(counts)):
                 words = h[ends[d] - counts[d]:ends[d]]
-                for s in lists[first + d] or ():
+                for s in lists[d] or ():
                     part = words[s["start"]:s["start"] + s["n"] + WINDOW - 1]
                     if s["hot"]:
                         at = np.arange(s["n"])
@@ -139,9 +139,7 @@ def _cut(batches):
                             at, wa.view(np.int64).tolist(), wb.view(np.int64).tolist())]
                     else:
                         rows.append((ids[first + d], s["anchor"], s["a"], s["b"], None, part.tobytes(), None, None))
-            # groups of documents of about a MB: rows stay few
-            yield _cut_batch(pa, rows)
-            rows = []
+            yield _cut_batch(pa, rows)              # groups of documents of about a MB
 
 
 def _cut_batch(pa, rows):
