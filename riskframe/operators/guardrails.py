@@ -115,11 +115,53 @@ def action_check(r: DataFrame) -> DataFrame:
     return r.withColumns({"action_passed": ~violation, "action_warnings": warnings})
 
 
-def guard_all(r: DataFrame) -> DataFrame:
-    """All four checks and the overall flag (an errored run fails overall)."""
+def guard_all(r: DataFrame, strict: bool = False) -> DataFrame:
+    """All four checks and the overall flag (an errored run fails overall; with
+    ``strict`` a warning of the action check does too)."""
     g = action_check(pii_check(grounding_check(schema_check(r))))
-    return g.withColumn("all_passed", F.col("schema_passed") & F.col("grounding_passed")
-                        & F.col("pii_passed") & F.col("action_passed") & F.col("error").isNull())
+    passed = (F.col("schema_passed") & F.col("grounding_passed")
+              & F.col("pii_passed") & F.col("action_passed") & F.col("error").isNull())
+    return g.withColumn("all_passed", passed & (F.col("action_warnings") == 0) if strict else passed)
+
+
+def findings(r: DataFrame) -> DataFrame:
+    """Why a report fails: per check the list of what was found.
+
+    schema_issues_found (``missing:<key>``, ``invalid:<key>``, ``missing:evidence.<key>``),
+    cited_features, invented_features, pii_types, violations, warnings. The lists
+    explain the flags of ``guard_all``, which stay as they are."""
+    def some(*pairs):
+        return F.filter(F.array(*[F.when(c, F.lit(t)) for t, c in pairs]), lambda x: x.isNotNull())
+    prio_int = F.col("priority_raw").rlike(r"^-?[0-9]+$")
+    prio = F.when(prio_int, F.col("priority_raw").cast("decimal(38,0)"))
+    schema = some(
+        *[(f"missing:{key}", ~_present(c)) for key, c in REQUIRED_FIELDS.items()],
+        ("invalid:risk_assessment", _present("risk_assessment") & ~F.col("risk_assessment").isin(VALID_RISK)),
+        ("invalid:recommended_action", _present("recommended_action") & ~F.col("recommended_action").isin(VALID_ACTION)),
+        ("invalid:priority_score", _present("priority_raw") & ~F.coalesce(prio_int & prio.between(1, 10), F.lit(False))),
+        ("invalid:sar_narrative", _present("sar_narrative") & (F.length("sar_narrative") < MIN_NARRATIVE)))
+    evidence = F.coalesce(F.col("evidence"), F.array().cast("array<struct<claim:string,source:string,value:string>>"))
+    if "evidence_missing" in r.columns:
+        gaps = some(("missing:evidence_keys", F.coalesce(F.col("evidence_missing"), F.lit(0)) > 0))
+    else:
+        def lacks(k):
+            return F.exists(evidence, lambda e: e[k].isNull())
+        gaps = some(*[(f"missing:evidence.{k}", lacks(k)) for k in ("claim", "source", "value")])
+    ev = F.filter(evidence, lambda e: F.lower(F.coalesce(e["source"], F.lit(""))).contains("shap"))
+    text = F.lower(F.array_join(F.transform(ev, lambda e: F.concat_ws(" ", e["claim"], e["value"])), " "))
+    top = F.transform(F.coalesce("top_features", F.array().cast("array<string>")), lambda x: F.lower(x))
+    action, risk = F.coalesce("recommended_action", F.lit("")), F.coalesce("risk_assessment", F.lit(""))
+    n_codes = F.coalesce(F.size("reason_codes"), F.lit(0))
+    return r.withColumns({
+        "schema_issues_found": F.concat(schema, gaps),
+        "cited_features": F.filter(top, lambda x: text.contains(x)),
+        "invented_features": F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(FEATURE_MENTION), 1),
+                                                       lambda x: ~F.array_contains(top, x))),
+        "pii_types": some(*[(name, c > 0) for name, c in pii_counts(report_text(r), "").items()]),
+        "violations": some(("decline_without_codes", (action == "auto_decline") & (n_codes <= 0))),
+        "warnings": some(("approve_with_codes", (action == "auto_approve") & (n_codes > 0)),
+                         ("approve_high_risk", (risk == "high") & (action == "auto_approve")),
+                         ("decline_low_risk", (risk == "low") & (action == "auto_decline")))})
 
 
 def tool_output(r: DataFrame, tool: str) -> Column:

@@ -159,6 +159,14 @@ def q_guard_all(spark, sf_dir):
     return guarded(spark, sf_dir).select(*[c.strip() for c in _ALL_COLS.split(",")])
 
 
+@register("guard_findings")
+def q_guard_findings(spark, sf_dir):
+    """What each check found in each report, as lists (the reasons behind the flags)."""
+    f = gr.findings(rp.reports(spark, sf_dir))
+    lists = ["schema_issues_found", "cited_features", "invented_features", "pii_types", "violations", "warnings"]
+    return f.select("txn_id", *[F.array_join(c, ",").alias(c) for c in lists])
+
+
 @register("guard_recheck", with_txn(GUARD_CTE, body=f"SELECT {_ALL_COLS} FROM ga"))
 def q_guard_recheck(spark, sf_dir):
     """Reports written to the shared checkpoint folder, read back and checked again."""

@@ -67,3 +67,18 @@ def test_extract_json_prefers_fence(spark):
     assert out[2]["method"] == "walk" and out[2]["json_text"] == '{"k": "v}"}' and out[2]["n_keys"] == 1
     assert out[3]["method"] is None and not out[3]["is_valid"]
     assert out[4]["method"] == "walk" and not out[4]["is_valid"]
+
+
+def test_findings_explain_the_flags(spark):
+    from riskframe.sources import reports as rp
+    g = gr.findings(gr.guard_all(rp.reports(spark, SF0001))).collect()
+    strict = {r["txn_id"]: r["all_passed"] for r in gr.guard_all(rp.reports(spark, SF0001), strict=True).collect()}
+    assert len(g) > 0 and any(r["schema_issues_found"] for r in g) and any(r["pii_types"] for r in g)
+    for r in g:
+        assert r["schema_passed"] == (not r["schema_issues_found"])
+        assert r["pii_passed"] == (not r["pii_types"]) and len(r["pii_types"]) == r["pii_types_found"]
+        assert r["action_passed"] == (not r["violations"]) and len(r["warnings"]) == r["action_warnings"]
+        if r["top_features"]:
+            assert len(r["cited_features"]) == r["n_cited"]
+            assert bool(r["invented_features"]) == (r["n_hallucinated"] > 0)
+        assert strict[r["txn_id"]] == (r["all_passed"] and not r["warnings"])
