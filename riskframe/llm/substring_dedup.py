@@ -4,12 +4,12 @@ document with a smaller id are removed. Found with an FM-index per shard.
 1. One pass over the texts cuts each document into segments: runs of windows (at most
    RUN of them) with the same anchor, the least hash of all GRAM-word sequences in
    the window. Equal windows have equal anchors, so a window can only recur in a segment with its anchor.
-   A segment is kept as anchor, 128-bit digest of its words, place; no text moves.
+   A segment is kept as anchor, digest of its words (64 bits each) and place; no text moves.
 2. Anchors that occur in one document only are dropped. Equal segments collapse to one
    with the smallest id that has it (a partial minimum before the shuffle), so a passage
    copied into a third of all documents is one row.
-3. The words of the distinct segments are cut from their documents and dealt by anchor to
-   shards. A shard's index (SHARD_WORDS words, at anchor borders) is a wavelet matrix of the segments' Burrows-Wheeler
+3. Where an anchor has more than one distinct segment, their words are cut from their
+   documents and dealt by anchor to shards. A shard's index (SHARD_WORDS words, at anchor borders) is a wavelet matrix of the segments' Burrows-Wheeler
    transform; the shard's segments are streamed through it by backward search, one step
    a place, and each place whose WINDOW words also start in a segment of a smaller id
    is reported, as intervals.
@@ -79,10 +79,10 @@ def segments_of(h: np.ndarray):
     return anchor[start], start, end - start
 
 
-def _digests(h: np.ndarray, start: np.ndarray, words: np.ndarray):
-    """Two 64-bit digests of the word runs."""
+def _digests(h: np.ndarray, start: np.ndarray, words: np.ndarray, which=_Q):
+    """A 64-bit digest of the word runs for each of the multipliers."""
     out = []
-    for q in _Q:
+    for q in which:
         up = np.full(len(h) + 1, q, dtype=np.uint64)
         up[0] = 1
         up = np.multiply.accumulate(up)
@@ -104,18 +104,18 @@ def _segments(batches):
     for batch in batches:
         ids, keys = (np.array(batch.column(k), dtype=np.int64) for k in (0, 1))
         buf, offsets = text_buffer(batch.column(2))
-        out = {k: [] for k in ("doc_id", "text_key", "anchor", "a", "b", "start", "n")}
+        out = {k: [] for k in ("doc_id", "text_key", "anchor", "a", "start", "n")}
         for first, h, counts in doc_words(buf, offsets, lower=False):
             ends = np.cumsum(counts)
             for d in np.flatnonzero(counts >= WINDOW):
                 words = h[ends[d] - counts[d]:ends[d]]
                 anchor, start, n = segments_of(words)
-                a, b = _digests(words, start, n + WINDOW - 1)
+                a, = _digests(words, start, n + WINDOW - 1, _Q[1:])
                 for k, v in zip(out, (np.full(len(n), ids[first + d]), np.full(len(n), keys[first + d]),
-                                      anchor, a, b, start, n)):
+                                      anchor, a, start, n)):
                     out[k].append(v)
         yield pa.RecordBatch.from_arrays(
-            [column(v, "h" if k in ("anchor", "a", "b") else "") for k, v in out.items()], names=list(out))
+            [column(v, "h" if k in ("anchor", "a") else "") for k, v in out.items()], names=list(out))
 
 
 def _cut(batches):
@@ -135,29 +135,43 @@ def _cut(batches):
                     if s["hot"]:
                         at = np.arange(s["n"])
                         wa, wb = _digests(part, at, np.full(len(at), WINDOW))
-                        rows += [(ids[first + d], s["anchor"], s["a"], s["b"], int(i), None, x, y) for i, x, y in zip(
+                        rows += [(ids[first + d], s["anchor"], s["a"], int(i), None, x, y) for i, x, y in zip(
                             at, wa.view(np.int64).tolist(), wb.view(np.int64).tolist())]
                     else:
-                        rows.append((ids[first + d], s["anchor"], s["a"], s["b"], None, part.tobytes(), None, None))
+                        rows.append((ids[first + d], s["anchor"], s["a"], None, _packed(part), None, None))
             yield _cut_batch(pa, rows)              # groups of documents of about a MB
 
 
+def _packed(words: np.ndarray) -> bytes:
+    """48 bits of each word's hash; 50 of them make a window."""
+    return words.view(np.uint16).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 4), dtype=np.uint16)
+    out[:, :3] = np.frombuffer(data, np.uint16).reshape(-1, 3)
+    return out.view(np.uint64).ravel()
+
+
 def _cut_batch(pa, rows):
-    kinds = (("least", pa.int64()), ("anchor", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("at", pa.int64()),
+    kinds = (("least", pa.int64()), ("anchor", pa.int64()), ("a", pa.int64()), ("at", pa.int64()),
              ("words", pa.binary()), ("wa", pa.int64()), ("wb", pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)],
                                       names=[n for n, _ in kinds])
 
 
 def _search(batches):
-    """Rows come in order of anchor; shards end at anchor borders."""
+    """Rows come in order of anchor; shards end at anchor borders. Gives the intervals
+    found; single windows (hot anchors) go through as they are."""
     import pyarrow as pa
 
-    def found(rows):
-        out = []
-        if rows:
-            least = np.array([r[3] for r in rows], dtype=np.int64)
-            index = FMIndex([np.frombuffer(r[4], np.uint64) for r in rows], WINDOW)
+    names = ("least", "anchor", "a", "from", "to", "wa", "wb")
+
+    def found(rows, single):
+        out = list(single)
+        if len(rows) > 1:
+            least = np.array([r[0] for r in rows], dtype=np.int64)
+            index = FMIndex([_unpacked(r[4]) for r in rows], WINDOW)
             smallest = index.least(least)
             hits = [(which[m], place[m]) for which, place, group in index.matches()
                     if (m := smallest[group] < least[which]).any()]
@@ -167,20 +181,25 @@ def _search(batches):
                 who, place = who[order], place[order]
                 cut = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (place[1:] != place[:-1] + 1)]))
                 last = np.append(cut[1:], len(who)) - 1
-                out = [(*rows[w][:3], int(x), int(y) + 1) for w, x, y in zip(who[cut], place[cut], place[last])]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)],
-                                          names=["anchor", "a", "b", "from", "to"])
+                out += [(*rows[w][:3], int(x), int(y) + 1, None, None) for w, x, y in zip(who[cut], place[cut], place[last])]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(7)], names=names)
 
-    rows, size, anchor = [], 0, None
+    rows, size, anchor, single = [], 0, None, []
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in ("anchor", "a", "b", "least", "words"))):
-            if row[0] != anchor and size >= SHARD_WORDS:
-                yield found(rows)
+        for row in zip(*(batch.column(k).to_pylist() for k in ("least", "anchor", "a", "at", "words", "wa", "wb"))):
+            if row[4] is None:
+                single.append((*row[:4], row[3] + 1, *row[5:]))
+                continue
+            if row[1] != anchor and size >= SHARD_WORDS:
+                yield found(rows, [])
                 rows, size = [], 0
-            anchor = row[0]
+            anchor = row[1]
             rows.append(row)
-            size += len(row[4]) // 8
-    yield found(rows)
+            size += len(row[4]) // 6
+        if single:
+            yield found([], single)
+            single = []
+    yield found(rows, [])
 
 
 def _apply(batches):
@@ -215,26 +234,27 @@ def repeated_windows(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """rows: doc_id, text_key, text. doc_id, text_key, spans: intervals (from, to) of windows
     that also start in a document with a smaller id; only rows that have some."""
     segments = materialize(rows.filter("doc_id is not null").select("doc_id", "text_key", "text").mapInArrow(
-        _segments, "doc_id bigint, text_key bigint, anchor bigint, a bigint, b bigint, start bigint, n bigint"), "segments")
+        _segments, "doc_id bigint, text_key bigint, anchor bigint, a bigint, start bigint, n bigint"), "segments")
     shared = segments.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")) \
         .filter("x < y").select("anchor")
     segments = materialize(segments.join(shared, "anchor"), "shared")
-    key = ["anchor", "a", "b"]
+    key = ["anchor", "a"]           # a: digest of the segment's words, beside that of its anchor
     distinct = segments.groupBy(*key).agg(F.min(F.struct("doc_id", "text_key", "start", "n")).alias("first"))
-    heavy = distinct.groupBy("anchor").agg((F.count("*") > hot).alias("hot"))
-    distinct = materialize(distinct.join(heavy, "anchor").select(*key, "first.*", "hot"), "distinct")
-    listed = distinct.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*key, "start", "n", "hot")).alias("segments"))
-    cut = materialize(rows.join(listed, ["doc_id", "text_key"]).select("doc_id", "text", "segments").mapInArrow(
-        _cut, "least bigint, anchor bigint, a bigint, b bigint, at bigint, words binary, wa bigint, wb bigint"), "words")
-    parts = cut.filter("words is not null").select(*key, "least", "words")
-    found = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        _search, "anchor bigint, a bigint, b bigint, from bigint, to bigint")
+    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    distinct = materialize(distinct.join(kinds, "anchor").select(*key, "first.*", "kinds"), "distinct")
+    # where all segments of an anchor are equal none of its windows stands in another one
+    listed = distinct.filter("kinds > 1").groupBy("doc_id", "text_key").agg(
+        F.collect_list(F.struct(*key, "start", "n", (F.col("kinds") > hot).alias("hot"))).alias("segments"))
+    cut = rows.join(listed, ["doc_id", "text_key"]).select("doc_id", "text", "segments").mapInArrow(
+        _cut, "least bigint, anchor bigint, a bigint, at bigint, words binary, wa bigint, wb bigint")
+    # whole segments meet by anchor, single windows are spread by place as well
+    found = materialize(cut.repartition("anchor", "at").sortWithinPartitions("anchor").mapInArrow(
+        _search, "least bigint, anchor bigint, a bigint, from bigint, to bigint, wa bigint, wb bigint"), "found")
     # hot anchors: the smallest id of each window
-    single = cut.filter("words is null").select(*key, "least", "at", "wa", "wb")
+    single = found.filter("wa is not null")
     smallest = single.groupBy("wa", "wb").agg(F.min("least").alias("smallest"))
-    by_window = single.join(smallest, ["wa", "wb"]).filter("smallest < least") \
-        .select(*key, F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
-    inside = materialize(found.unionByName(by_window), "found").groupBy(*key).agg(
+    by_window = single.join(smallest, ["wa", "wb"]).filter("smallest < least").select(*key, "from", "to")
+    inside = found.filter("wa is null").select(*key, "from", "to").unionByName(by_window).groupBy(*key).agg(
         F.collect_list(F.struct("from", "to")).alias("inside"))
     owners = distinct.select(*key, F.col("doc_id").alias("least")).join(inside, key, "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n").alias("to")))
