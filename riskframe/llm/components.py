@@ -28,23 +28,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node has one link, to a node without links of its own."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(
+        edges.select("v", F.lit(0), F.lit(1)))
+    at = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return at.filter((F.col("out") > 1) | (F.col("out") > 0) & (F.col("into") > 0)).limit(1).count() == 0
+
+
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(id, component) for every id in ``edges`` (columns u, v; direction and repeats
     don't matter; self-links and nulls are ignored), component = smallest id reachable.
-    Each round writes its edges to the shared folder; a round whose edges
-    are those of the round before ends the loop. An empty input gives no rows."""
-    now = materialize(edges.select("u", "v").filter("u is not null and v is not null and u != v").distinct(),
-                      f"{label}-0")
-    ids = now.select(F.col("u").alias("id")).unionAll(now.select(F.col("v").alias("id"))).distinct()
-    mark, k = None, 0
-    while True:
+    Each round writes its edges to the shared folder, until all of them form stars
+    around the smallest ids. An empty input gives no rows."""
+    now = materialize(edges.select("u", "v").filter("u is not null and v is not null and u != v")
+                      .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{label}-0")
+    k = 0
+    while not _is_stars(now):
         k += 1
         now = materialize(_small_star(_large_star(now)), f"{label}-{k}")
-        # order-free digest of the edge set: two sums of independent hashes and the count
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-                      F.sum(F.hash("v", "u", "u").cast("long"))).first()
-        if tuple(new) == mark or new[0] == 0:
-            break
-        mark = tuple(new)
-    return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("m")), "id", "left") \
-        .select("id", F.coalesce("m", "id").alias("component"))
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
+        now.select("v", "v").distinct())

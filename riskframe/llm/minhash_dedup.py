@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = slots.select(F.col("hub").alias("id"), F.lit("r").alias("side"), F.col("hub").alias("c"),
                         _each(F.col("slots")).alias("x"), F.lit(0).cast("long").alias("y"))
     first = materialize(_compare_blocks(mine.unionAll(hubs), sets, threshold), "links-1")
-    groups = connected_components(first, "groups")
+    groups = materialize(connected_components(first, "groups"), "groups")
 
     # documents outside their cluster's largest group against the whole cluster, in blocks
     state = need.select("cluster", "id", "n_shingles").join(groups, "id", "left") \
@@ -269,8 +269,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = placed.select("id", F.lit("r").alias("side"), F.col("cluster").alias("c"),
                           _each(F.col("n_l")).alias("x"), F.col("br").alias("y"))
     second = _compare_blocks(left.unionAll(right), sets, threshold)
-    links = first.unionAll(materialize(second, "links-2"))
-    final = connected_components(links, "final")
+    # links between groups join them; a group's name is its smallest id already
+    second = materialize(second, "links-2")
+    name = groups.select(F.col("id").alias("node"), "component")
+    between = second
+    for end in ("u", "v"):
+        between = between.join(name, F.col(end) == F.col("node"), "left") \
+            .withColumn(end, F.coalesce("component", end)).select("u", "v")
+    joined = connected_components(between, "final").select(F.col("id").alias("group"), F.col("component").alias("whole"))
+    final = materialize(
+        groups.unionAll(second.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+                        .join(groups, "id", "left_anti").select("id", F.col("id").alias("component")))
+        .join(joined, F.col("component") == F.col("group"), "left")
+        .select("id", F.coalesce("whole", "component").alias("component")), "final")
 
     of_class = classes.select("set_a", "set_b", "n_shingles", F.col("rep.doc_id").alias("id")) \
         .join(final, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("c"))
