@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from riskframe.llm import bpe, language_id, minhash_dedup, mixing, secrets
 from riskframe.llm.common import materialize, table
-from riskframe.llm.queries import word_bpe_file
 
 BUDGET_SHARE = 0.7
 
@@ -50,7 +49,7 @@ def stage_mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def stage_bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe.encode(docs, word_bpe_file(), with_text=True)
+    out = bpe.encode(docs, bpe.word_bpe_file(), with_text=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 

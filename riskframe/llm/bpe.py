@@ -45,6 +45,12 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPACES = "[\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
 
 
+def word_bpe_file() -> str:
+    """The public vocabulary used by default."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def byte_characters() -> dict[int, str]:
     """The printable character that stands for each byte."""
     out = {b: chr(b) for b in _PLAIN}

@@ -12,12 +12,6 @@ from riskframe.llm.common import table
 from riskframe.llm.minhash_dedup import near_duplicates
 
 
-def word_bpe_file() -> str:
-    """The public vocabulary that the encoding query uses by default."""
-    import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the address of every page: the longest rule's, else the language models'."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
@@ -25,7 +19,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Ids of every whole document text and the text they decode to, as digests."""
-    out = bpe.encode(table(spark, sf_dir, "documents"), tokenizer or word_bpe_file(), with_text=True)
+    out = bpe.encode(table(spark, sf_dir, "documents"), tokenizer or bpe.word_bpe_file(), with_text=True)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -11,7 +11,7 @@ from riskframe.llm import (
     bpe, cotraining, fingerprint, language_id, minhash_dedup, mixing, quality_rules, secrets, substring_dedup, url_filter,
 )
 from riskframe.llm.components import connected_components
-from riskframe.llm.queries import word_bpe_file
+from riskframe.llm.bpe import word_bpe_file
 
 
 # ---- URL filter

@@ -52,7 +52,7 @@ def test_contract_columns(spark, docs):
 
 
 def test_round_trip_digests(spark, docs):
-    from riskframe.llm.queries import word_bpe_file
+    from riskframe.llm.bpe import word_bpe_file
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(word_bpe_file())
     got, n = rows_of(spark, "op2_bpe_round_trip")
@@ -69,7 +69,8 @@ def test_pipeline(spark, docs):
 
     import corpus_pipeline as cp
     from riskframe.llm import mixing
-    from riskframe.llm.queries import mixing_sql, word_bpe_file
+    from riskframe.llm.bpe import word_bpe_file
+    from riskframe.llm.queries import mixing_sql
     assert cp.ORACLE_SQL is None and len(cp.STAGES) == 5
     # every document of the tables has letters and a language
     near = brute.near_groups([(d.doc_id, d.text) for d in docs])
