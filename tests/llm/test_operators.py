@@ -109,6 +109,23 @@ def test_cotraining_finds_junk(spark, none, doubled):
     assert {x.score for x in cotraining.classify(doubled, marks.limit(0)).collect()} == {0.5}
 
 
+def test_cotraining_learns_from_every_unlabelled_document(spark):
+    """A kind of junk among the 1,000 of 21,000 unlabelled documents with the largest hashes of their ids."""
+    last = {x.id for x in spark.range(1000, 22000).orderBy(F.xxhash64("id", F.lit(1)).desc()).limit(1000).collect()}
+    rows, labels = [], []
+    for k in range(22000):
+        rare, bad = k in last and k % 5 == 0, k % 3 == 0
+        text = f"plain word{k % 7} text" if not bad else f"$$$ {k % 9} ###"
+        rows.append((k, "zorp zorp zorp" if rare else text, "en", "farm" if rare or bad else f"s{k % 5}", 300))
+        if k < 1000:
+            labels.append((k, 0 if bad else 1))
+    rows += [(30000, "zorp", "en", "s1", 300), (30001, "blen", "en", "s1", 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {x.doc_id: x for x in cotraining.classify(docs, marks).filter("doc_id >= 30000").collect()}
+    assert got[30000].text_score < got[30001].text_score
+
+
 # ---- language identification
 
 SENTENCES = {"en": "the house and the garden are with that of this", "de": "der garten und das haus sind mit einer die ich",
