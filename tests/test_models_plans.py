@@ -24,6 +24,25 @@ def test_tree_contributions_are_additive(spark):
     assert np.max(np.abs(total - np.log(p / (1 - p)))) < 1e-9
 
 
+def test_early_stopping_waits_for_a_better_round(spark):
+    """A model that still improves is not ended by a flat round, and the best prefix is kept."""
+    assert mo.best_round([5, 4, 4, 4, 3, 3.5, 3.5, 3.5], 3) == (4, True)
+    assert mo.best_round([5, 4, 4, 4, 4, 3], 3) == (1, True)
+    assert mo.best_round([5, 4, 3], 3) == (2, False)
+    h = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000 for k in range(4)]
+    rows = spark.range(1500).select(h[0].alias("x"), h[1].alias("y"), (F.col("id") >= 1200).alias("is_valid"),
+                                    (h[0] + h[1] + 0.6 * h[2] > 1.5).cast("int").alias("is_fraud"))
+    m = mo.train_boosted(rows, ["x", "y"], valid_col="is_valid", max_iter=70, max_depth=2)
+    w = mo.positive_weight(rows.filter(~F.col("is_valid")))
+    valid = mo.assemble(rows.filter("is_valid"), ["x", "y"]).select(
+        "features", F.col("is_fraud").cast("double").alias("_label"),
+        F.when(F.col("is_fraud") == 1, w).otherwise(1.0).alias("_w"))
+    errors = m.evaluateEachIteration(valid)
+    assert len(errors) == m.getNumTrees == len(m.treeWeights) > 20
+    assert errors[-1] == min(errors)
+    assert m.transform(valid).count() == 300
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
