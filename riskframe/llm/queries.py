@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, cotraining, fingerprint, language_id, mixing, quality_rules, secrets, substring_dedup, url_filter
-from riskframe.llm.common import table
+from riskframe.llm import (
+    bpe, centroids, cotraining, decontamination, fingerprint, language_id, mixing, periodic_runs, quality_rules, secrets,
+    substring_dedup, url_filter,
+)
+from riskframe.llm.common import materialize, table, words
 from riskframe.llm.minhash_dedup import near_duplicates
 
 
@@ -82,6 +85,47 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "posterior")
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a benchmark phrase, and the items the phrases come from."""
+    rows = decontamination.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id, text: a tenth of the documents repeat a stretch of words up to their end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    w, n, g = F.col("w"), F.size("w"), F.floor(F.col("h") / 10)
+    split = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words(F.col("text"))).alias("w"))
+    cut = split.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn(
+        "p", F.when(n > 0, 1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice(w, F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    again = F.concat_ws(" ", F.concat(F.slice(w, F.lit(1), F.col("a")), F.slice(tail, F.lit(1), n - F.col("a"))))
+    return cut.select("doc_id", F.when(n > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, after ``looped``."""
+    rows = periodic_runs.periodic_runs(looped(table(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding, its squared distance, the inertias and the centroid's digest."""
+    assigned, final = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    assigned = materialize(assigned, "assigned")
+    sums = {r["cluster"]: r["s"] for r in assigned.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
+    by_number = F.array(*[F.struct(F.lit(sums.get(c, 0)).cast("long").alias("s"), F.lit(centroids.centroid_digest(v)).alias("d"))
+                          for c, v in enumerate(final)]) if len(final) else F.lit(None).cast("array<struct<s:bigint,d:string>>")
+    own = F.get(by_number, F.col("cluster"))
+    return assigned.select("vec_id", "cluster", "distance", own["s"].alias("cluster_inertia"),
+                           F.lit(sum(sums.values())).cast("long").alias("inertia"), own["d"].alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over the documents."""
     import corpus_pipeline
@@ -101,12 +145,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_quality_rules": op10_quality_rules,
+        "op11_benchmark_decontamination": op11_benchmark_decontamination,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_centroid_clusters": op13_centroid_clusters,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing_sql()}
+    return {"op5_mix_sources": mixing_sql(), "op11_benchmark_decontamination": DECONTAMINATION_SQL,
+            "op13_centroid_clusters": clusters_sql()}
 
 
 def _case(column: str, values: dict[str, int], default: int) -> str:
@@ -157,3 +205,50 @@ runs AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, source
 SELECT doc_id, domain, language, source, CAST(n_tokens AS BIGINT) AS n_tokens,
   CAST(CASE WHEN n_tokens > 0 THEN coalesce(whole + CASE WHEN run <= rest THEN 1 ELSE 0 END, 0) ELSE 0 END AS BIGINT) AS copies
 FROM runs"""
+
+
+DECONTAMINATION_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+phrases AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS phrase
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM phrases),
+windows AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n)),
+found AS (SELECT r, i, p.n, p.item FROM windows v JOIN phrases p ON v.n = p.n AND v.phrase = p.phrase),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit
+  FROM (SELECT r, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+listed AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)"""
+
+
+def clusters_sql(clusters: int = 40, rounds: int = 5, size: int = 64, seed: int = 2) -> str:
+    """Lloyd's rounds in SQL: every distance, every round."""
+    sql = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, v, sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS h FROM (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS cv FROM kept WHERE vec_id IS NOT NULL
+  ORDER BY h, v LIMIT {clusters})"""
+    for t in range(rounds + 1):
+        sql += f""",
+d{t} AS (SELECT r, vec_id, v, c, list_sum(list_transform(list_zip(v, cv), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM kept CROSS JOIN c{t}),
+a{t} AS MATERIALIZED (SELECT r, vec_id, v, c, d FROM d{t} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+        if t < rounds:
+            sql += f""",
+m{t} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT c, unnest(range(1, {size + 1})) AS i, unnest(v) AS x FROM a{t}) GROUP BY c, i),
+c{t + 1} AS MATERIALIZED (SELECT c{t}.c, coalesce(nv, cv) AS cv FROM c{t} LEFT JOIN (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS nv FROM m{t} GROUP BY c) x ON x.c = c{t}.c)"""
+    return sql + f"""
+SELECT vec_id, CAST(a{rounds}.c AS INTEGER) AS cluster, d AS distance,
+  CAST(sum(d) OVER (PARTITION BY a{rounds}.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(cv, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c"""
