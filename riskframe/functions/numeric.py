@@ -32,16 +32,31 @@ def mean_half_up(col: str, digits: int) -> Column:
     is taken as a decimal without its remainder, so it neither wraps nor rounds twice.
     Where count times the largest magnitude passes LARGEST the plain double mean is
     returned: nothing is left to round there."""
-    s = f"cast(try_sum(try_cast(`{col}` as decimal(38,{SCALE}))) as decimal(36,{SCALE}))"
-    n = f"cast(count(`{col}`) as decimal(19,0))"
+    return _half_up(exact_sum_sql(col), f"count(`{col}`)", f"max(abs(`{col}`))", f"avg(`{col}`)", digits)
+
+
+def exact_sum_sql(col: str) -> str:
+    """Aggregate: exact decimal sum of a double column taken to 14 decimals."""
+    return f"try_sum(try_cast(`{col}` as decimal(38,{SCALE})))"
+
+
+def mean_half_up_of_parts(total: str, count: str, largest: str, plain: str, digits: int) -> Column:
+    """``mean_half_up`` from columns of partial results: exact sums, counts, largest magnitudes
+    and double sums."""
+    return _half_up(f"try_sum(`{total}`)", f"sum(`{count}`)", f"max(`{largest}`)", f"(sum(`{plain}`) / sum(`{count}`))", digits)
+
+
+def _half_up(total: str, count: str, largest: str, plain: str, digits: int) -> Column:
+    s = f"cast({total} as decimal(36,{SCALE}))"
+    n = f"cast({count} as decimal(19,0))"
     unit = f"cast({10 ** -digits:.{digits}f} as decimal({digits + 1},{digits}))"
     step = f"cast({n} * {unit} as decimal(36,{SCALE}))"
     twice = f"cast({step} + {step} as decimal(36,{SCALE}))"
     top = f"cast(abs({s}) + abs({s}) as decimal(36,{SCALE})) + {step}"
     whole = f"cast(cast({top} - cast({top} as decimal(37,{SCALE})) % {twice} as decimal(36,{SCALE})) / {twice} as double)"
     return F.expr(
-        f"case when count(`{col}`) = 0 then cast(null as double) "
-        f"when max(abs(`{col}`)) * count(`{col}`) >= {LARGEST}D then avg(`{col}`) "
+        f"case when {count} = 0 then cast(null as double) "
+        f"when {largest} * {count} >= {LARGEST}D then {plain} "
         f"else sign({s}) * {whole} / {float(10 ** digits)}D end")
 
 

@@ -1,27 +1,28 @@
 """Distribution drift: PSI on reference-decile bins and the two-sample KS test.
 
-All features are handled in one job: the frames are unpivoted to
-(feature, value), reference edges come from the distributed exact quantiles,
-bins are assigned with the (small, per-feature) edge arrays and counted with
-one shuffle keyed by (feature, bin).
+All features are handled in one job: the frames are unpivoted to (feature, value), a sketch
+per feature brackets the reference deciles, and one counting pass gives a small value table
+from which exact edges, bin counts, means and missing shares are read (``brackets``). The
+score's PSI, KS, means and percentiles come from one table of distinct scores.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.numeric import mean_half_up, nan_to_null, rnd
+from riskframe.functions.numeric import exact_sum_sql, mean_half_up_of_parts, nan_to_null, rnd
 from riskframe.functions.codes import PSI_MODERATE, psi_label
-from riskframe.operators.combine import one_row
+from riskframe.operators import brackets
 from riskframe.operators.prefix import running_sum
 from riskframe.operators.quantiles import exact_quantiles
+from riskframe.session import written
 
 # Smoothing added to bin counts; reference deciles.
 EPSILON = 1e-4
-MAX_BROADCAST_FEATURES = 10000   # edge table rows = features; above this, no forced broadcast
 INNER_PROBS = [i / 10 for i in range(1, 10)]   # deciles; the ends become +-inf
 
 
@@ -55,63 +56,120 @@ def bin_index(v: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= v))
 
 
+def tag_sides(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Both frames as one, with _ref true for the reference rows."""
+    return (ref.select(*columns, F.lit(True).alias("_ref"))
+            .unionByName(cur.select(*columns, F.lit(False).alias("_ref"))))
+
+
+def _side_counts(both: DataFrame, features: Sequence[str], buckets: int) -> DataFrame:
+    """The value table of all features (``brackets``), with counts and means of both sides."""
+    wide = both.select("_ref", *[nan_to_null(c).alias(c) for c in features])
+    long = wide.unpivot(["_ref"], list(features), "feature", "v")
+    probs = [i / buckets for i in range(1, buckets)]
+    sides = {}
+    for p, here in (("r", F.col("_ref")), ("c", ~F.col("_ref"))):
+        own = F.when(here, F.col("v"))
+        long = long.withColumn(f"_{p}", own)
+        sides |= {f"{p}n": F.count(f"_{p}"), f"{p}_rows": F.count(F.when(here, 1)), f"{p}_sum": F.expr(exact_sum_sql(f"_{p}")),
+                  f"{p}_plain": F.sum(f"_{p}"), f"{p}_top": F.max(F.abs(F.col(f"_{p}")))}
+    counts = brackets.value_counts(long, "v", ["feature"], probs, F.col("_ref"), **sides)
+    if counts is None:
+        raise ValueError(f"more than {brackets.MAX_GROUPS} features at once")
+    return counts
+
+
+def _with_edges(counts: DataFrame, buckets: int) -> DataFrame:
+    """Adds edges (the distinct inner edges of the feature's reference quantiles) to every row."""
+    whole = Window.partitionBy("feature").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    run = brackets.with_running(counts, ["feature"])
+    q = [brackets.statistic(i / buckets, lambda x: F.max(x).over(whole)) for i in range(1, buckets)]
+    return run.withColumn("edges", F.when(F.col("_total") > 0, F.array_sort(F.array_distinct(F.array(*q)))))
+
+
+def feature_bins(both: DataFrame, features: Sequence[str], buckets: int = 10) -> DataFrame:
+    """One row per feature: edges, bins (array of struct rc, cc: counts of either side in every
+    bin, empty ones too) and both sides' rows, missing shares and means.
+
+    ``both`` carries _ref (``tag_sides``). One sketch pass and one counting pass over the rows;
+    everything after that works on the value table, dealt by feature once."""
+    t = _with_edges(_side_counts(both, features, buckets), buckets)
+    t = t.withColumn("_bin", F.when(F.col("_slot") >= 0, bin_index(F.col("_v"), F.col("edges"))))
+    parts = ["n", "_rows", "_sum", "_plain", "_top"]
+    sums = {f"{p}{x}": (F.max if x == "_top" else F.sum)(f"{p}{x}") for p in "rc" for x in parts}
+    by_bin = t.groupBy("feature", "_bin").agg(F.first("edges").alias("edges"), *[a.alias(c) for c, a in sums.items()])
+    # at most `buckets` bins and one row of missing values per feature
+    of_bin = F.map_from_entries(F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct(
+        "_bin", F.struct(F.col("rn").alias("rc"), F.col("cn").alias("cc"))))))
+    means = {}
+    for p, side in (("r", "ref"), ("c", "cur")):
+        means |= {f"n_{side}": F.sum(f"{p}n"), f"{side}_rows": F.sum(f"{p}_rows"),
+                  f"{side}_mean": F.try_divide(F.sum(f"{p}_plain"), F.sum(f"{p}n")),
+                  f"{side}_mean4": mean_half_up_of_parts(f"{p}_sum", f"{p}n", f"{p}_top", f"{p}_plain", 4)}
+    one = by_bin.groupBy("feature").agg(F.first("edges").alias("edges"), of_bin.alias("_m"),
+                                        *[a.alias(c) for c, a in means.items()])
+    none = F.struct(F.lit(0).cast("long").alias("rc"), F.lit(0).cast("long").alias("cc"))
+    bins = F.transform(F.sequence(F.lit(0), F.size("edges")), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), none))
+    return one.withColumn("bins", F.when(F.col("edges").isNotNull(), bins)).drop("_m")
+
+
+def _psi(eps: float) -> Column:
+    """PSI of a ``feature_bins`` row (NULL where either side is empty, 0 without variation)."""
+    n_bins = F.size("bins")
+
+    def term(b):
+        rp = (b["rc"].cast("double") + eps) / (F.col("n_ref") + eps * n_bins)
+        cp = (b["cc"].cast("double") + eps) / (F.col("n_cur") + eps * n_bins)
+        return (cp - rp) * F.log(cp / rp)
+    return (F.when((F.col("n_ref") == 0) | (F.col("n_cur") == 0), F.lit(None).cast("double"))
+             .when(n_bins + 1 < 3, F.lit(0.0))
+             .otherwise(F.aggregate("bins", F.lit(0.0), lambda acc, b: acc + term(b))))
+
+
+def psi_of(both: DataFrame, features: Sequence[str], buckets: int = 10, eps: float = EPSILON) -> DataFrame:
+    """feature, psi (unrounded), n_ref, n_cur, n_bins of features with reference values."""
+    return feature_bins(both, features, buckets).filter("n_ref > 0").select(
+        "feature", _psi(eps).alias("psi"), "n_ref", "n_cur", F.size("bins").alias("n_bins"))
+
+
 def psi_table(ref: DataFrame, cur: DataFrame, features: Sequence[str],
               buckets: int = 10, eps: float = EPSILON, approx: bool = False) -> DataFrame:
     """feature, psi (unrounded), n_ref, n_cur, n_bins."""
-    ref_long = to_long(ref, features)
-    cur_long = to_long(cur, features)
-    edges = reference_edges(ref_long, buckets, approx)
-    both = (ref_long.select("feature", "v", F.lit(1).alias("r"), F.lit(0).alias("c"))
-            .unionByName(cur_long.select("feature", "v", F.lit(0).alias("r"), F.lit(1).alias("c"))))
-    # one edge array (<= buckets values) per feature: broadcast when the feature list is bounded
-    edges_side = F.broadcast(edges) if len(features) <= MAX_BROADCAST_FEATURES else edges
-    binned = both.join(edges_side, "feature").select(
-        "feature", bin_index(F.col("v"), F.col("edges")).alias("bin"), "r", "c")
-    counts = binned.groupBy("feature", "bin").agg(
-        F.sum("r").cast("double").alias("rc"), F.sum("c").cast("double").alias("cc"))
-    all_bins = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"),
-                            (F.size("edges") + 1).alias("n_bins"))
-    full = (all_bins.join(counts, ["feature", "bin"], "left")
-                    .fillna(0.0, subset=["rc", "cc"]))
-    tot = full.groupBy("feature", "n_bins").agg(
+    both = tag_sides(ref, cur, features)
+    if not approx:
+        return psi_of(both, features, buckets, eps)
+    long = both.select("_ref", *[nan_to_null(c).alias(c) for c in features]) \
+        .unpivot(["_ref"], list(features), "feature", "v").filter("v IS NOT NULL")
+    edges = reference_edges(long.filter("_ref"), buckets, approx=True)
+    # one edge array (<= buckets values) per feature: broadcast while the features are as few as ever wanted
+    side = F.broadcast(edges) if len(features) <= brackets.MAX_GROUPS else edges
+    binned = long.join(side, "feature").groupBy("feature", "edges", bin_index(F.col("v"), F.col("edges")).alias("_bin")).agg(
+        F.count(F.when(F.col("_ref"), 1)).alias("rc"), F.count(F.when(~F.col("_ref"), 1)).alias("cc"))
+    one = binned.groupBy("feature", "edges").agg(
+        F.map_from_entries(F.collect_list(F.struct("_bin", F.struct("rc", "cc")))).alias("_m"),
         F.sum("rc").alias("n_ref"), F.sum("cc").alias("n_cur"))
-    j = full.join(tot, ["feature", "n_bins"])
-    rp = (F.col("rc") + eps) / (F.col("n_ref") + eps * F.col("n_bins"))
-    cp = (F.col("cc") + eps) / (F.col("n_cur") + eps * F.col("n_bins"))
-    res = j.groupBy("feature", "n_bins", "n_ref", "n_cur").agg(
-        F.sum((cp - rp) * F.log(cp / rp)).alias("psi_raw"))
-    psi = (F.when((F.col("n_ref") == 0) | (F.col("n_cur") == 0), F.lit(None).cast("double"))
-            .when(F.col("n_bins") + 1 < 3, F.lit(0.0))
-            .otherwise(F.col("psi_raw")))
-    # a feature with no reference values has no edges and no row here; the
-    # report keeps it with a NULL psi through a left join
-    return res.select("feature", psi.alias("psi"), F.col("n_ref").cast("long").alias("n_ref"),
-                      F.col("n_cur").cast("long").alias("n_cur"), "n_bins")
+    none = F.struct(F.lit(0).cast("long").alias("rc"), F.lit(0).cast("long").alias("cc"))
+    bins = F.transform(F.sequence(F.lit(0), F.size("edges")), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), none))
+    return one.withColumn("bins", bins).select("feature", _psi(eps).alias("psi"), "n_ref", "n_cur", F.size("bins").alias("n_bins"))
+
+
+def feature_report_of(both: DataFrame, features: Sequence[str], buckets: int = 10) -> DataFrame:
+    """Per feature: psi(5), stability, means(4), mean shift %(2), missing %(1), all from the one
+    value table. A feature without reference values has a NULL psi."""
+    t = feature_bins(both, features, buckets).withColumn("psi", F.when(F.col("n_ref") > 0, _psi(EPSILON)))
+    shift = (F.col("cur_mean") - F.col("ref_mean")) / (F.abs(F.col("ref_mean")) + F.lit(1e-8)) * 100
+
+    def missing(side):
+        return rnd(F.try_divide((F.col(f"{side}_rows") - F.col(f"n_{side}")).cast("double"), F.col(f"{side}_rows")) * 100, 1)
+    return t.select(
+        "feature", rnd("psi", 5).alias("psi"), psi_label(F.col("psi")).alias("stability"),
+        F.col("ref_mean4").alias("ref_mean"), F.col("cur_mean4").alias("cur_mean"), rnd(shift, 2).alias("mean_shift_pct"),
+        missing("ref").alias("ref_missing_pct"), missing("cur").alias("cur_missing_pct"))
 
 
 def feature_psi_report(ref: DataFrame, cur: DataFrame, features: Sequence[str],
                        buckets: int = 10) -> DataFrame:
-    """Per feature: psi(5), stability, means(4), mean shift %(2), missing %(1)."""
-    p = psi_table(ref, cur, features, buckets)
-    # both sides' means and missing shares in one pass keyed by (feature, side)
-    lg = (to_long(ref, features, keep_null=True).withColumn("side", F.lit("ref"))
-          .unionByName(to_long(cur, features, keep_null=True).withColumn("side", F.lit("cur"))))
-    st = lg.groupBy("feature", "side").agg(
-        F.avg("v").alias("_mean"), mean_half_up("v", 4).alias("_mean4"),
-        F.avg(F.col("v").isNull().cast("double")).alias("_miss"))
-    s = st.groupBy("feature").agg(*[
-        F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side}{c}")
-        for side in ("ref", "cur") for c in ("_mean", "_mean4", "_miss")])
-    shift = (F.col("cur_mean") - F.col("ref_mean")) / (F.abs(F.col("ref_mean")) + F.lit(1e-8)) * 100
-    return s.join(p, "feature", "left").select(
-        "feature",
-        rnd("psi", 5).alias("psi"),
-        psi_label(F.col("psi")).alias("stability"),
-        F.col("ref_mean4").alias("ref_mean"),
-        F.col("cur_mean4").alias("cur_mean"),
-        rnd(shift, 2).alias("mean_shift_pct"),
-        rnd(F.col("ref_miss") * 100, 1).alias("ref_missing_pct"),
-        rnd(F.col("cur_miss") * 100, 1).alias("cur_missing_pct"))
+    return feature_report_of(tag_sides(ref, cur, features), features, buckets)
 
 
 def ks_statistic(ref: DataFrame, cur: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -158,39 +216,63 @@ def ks_test(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
                     ((F.col("ks_d") > 0.05) & (p < 0.05)).alias("drift_detected"))
 
 
-def score_drift_report(ref: DataFrame, cur: DataFrame, score: str = "score",
-                       window: str = "current") -> DataFrame:
+def score_summary(both: DataFrame, score: str = "score", buckets: int = 10) -> dict:
+    """Scalars of both sides from one table of (score, counts): n, mean and p95 of either side, the
+    KS statistic and the inner edges of the reference quantiles. One aggregation by score and
+    one running sum over it give them all; ``both`` carries _ref."""
+    counts = both.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_v")).agg(
+        F.count(F.when(F.col("_ref"), 1)).alias("r"), F.count(F.when(~F.col("_ref"), 1)).alias("c"))
+    # the totals decide the ranks; they are read off the same counts, which are written once
+    counts = written(counts, "score-counts")
+    t = counts.agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.sum(F.col("_v") * F.col("r")).alias("rs"),
+                   F.sum(F.col("_v") * F.col("c")).alias("cs")).first()
+    n = {"r": int(t["r"] or 0), "c": int(t["c"] or 0)}
+    cum = running_sum(counts, "_v", ["r", "c"])
+    wanted = [("r", i / buckets) for i in range(1, buckets)] + [("r", 0.95), ("c", 0.95)]
+    picks, parts = [], []
+    for k, (side, q) in enumerate(wanted):
+        h = max(n[side] - 1, 0) * q
+        parts.append(h - math.floor(h))
+        for end, rank in (("lo", math.floor(h)), ("hi", math.ceil(h))):
+            here = (F.col(f"{side}_cum") - F.col(side) <= rank) & (F.lit(rank) < F.col(f"{side}_cum"))
+            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"{end}{k}"))
+    gap = F.abs(F.try_divide(F.col("r_cum").cast("double"), F.lit(n["r"]))
+                - F.try_divide(F.col("c_cum").cast("double"), F.lit(n["c"])))
+    row = cum.agg(F.max(gap).alias("d"), *picks).first()
+    at = [None if row[f"lo{k}"] is None else row[f"lo{k}"] + (row[f"hi{k}"] - row[f"lo{k}"]) * part
+          for k, part in enumerate(parts)]
+    return {"n_ref": n["r"], "n_cur": n["c"], "d": row["d"],
+            "ref_mean": t["rs"] / n["r"] if n["r"] else None, "cur_mean": t["cs"] / n["c"] if n["c"] else None,
+            "ref_p95": at[-2], "cur_p95": at[-1], "edges": sorted({x for x in at[:-2] if x is not None}), "counts": counts}
+
+
+def score_drift_of(both: DataFrame, score: str = "score", window: str = "current", buckets: int = 10) -> DataFrame:
     """One row: window, psi, label, KS statistic, p, drift flag, means, p95s, action."""
-    p = psi_table(ref, cur, [score]).select("psi")
-    ks = ks_statistic(ref, cur, score)
-    pv = kolmogorov_p(F.col("ks_d"), F.col("n_ref"), F.col("n_cur"))
-    ksr = ks.select("ks_d", pv.alias("p"))
-    # both sides' mean and p95 in one job keyed by a real side column
-    sides = (ref.select(F.lit("ref").alias("side"), F.col(score).alias("_s"))
-             .unionByName(cur.select(F.lit("cur").alias("side"), F.col(score).alias("_s"))))
-    p95 = exact_quantiles(sides, "_s", [0.95], by=["side"])
-    means = sides.groupBy("side").agg(F.avg("_s").alias("_m"))
-    st = p95.join(means, "side", "full").agg(
-        F.max(F.when(F.col("side") == "ref", F.col("_m"))).alias("ref_mean"),
-        F.max(F.when(F.col("side") == "cur", F.col("_m"))).alias("cur_mean"),
-        F.max(F.when(F.col("side") == "ref", F.col("quantile"))).alias("ref_p95"),
-        F.max(F.when(F.col("side") == "cur", F.col("quantile"))).alias("cur_p95"))
-    one = one_row(p, ksr, st)
-    drift = (F.col("ks_d") > 0.05) & (F.col("p") < 0.05)
+    s = score_summary(both, score, buckets)
+    n_bins = len(s["edges"]) + 1
+    edges = F.array(*[F.lit(e) for e in s["edges"]]).cast("array<double>")
+    bins = s["counts"].groupBy(bin_index(F.col("_v"), edges).alias("_bin")).agg(F.sum("r").alias("rc"), F.sum("c").alias("cc"))
+    bins = bins.agg(F.map_from_entries(F.collect_list(F.struct("_bin", F.struct("rc", "cc")))).alias("_m"))
+    none = F.struct(F.lit(0).cast("long").alias("rc"), F.lit(0).cast("long").alias("cc"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), none))
+    one = bins.select(filled.alias("bins"), *[F.lit(s[k]).cast(t).alias(k) for k, t in (
+        ("n_ref", "long"), ("n_cur", "long"), ("d", "double"), ("ref_mean", "double"), ("cur_mean", "double"),
+        ("ref_p95", "double"), ("cur_p95", "double"))])
+    one = one.withColumns({"psi": F.when(F.col("n_ref") > 0, _psi(EPSILON)),
+                           "p": kolmogorov_p(F.col("d"), F.col("n_ref"), F.col("n_cur"))})
+    drift = (F.col("d") > 0.05) & (F.col("p") < 0.05)
     return one.select(
-        F.lit(window).alias("window"),
-        rnd("psi", 5).alias("psi"),
-        psi_label(F.col("psi")).alias("psi_label"),
-        rnd("ks_d", 5).alias("ks_statistic"),
-        rnd("p", 6).alias("p_value"),
-        drift.alias("drift_detected"),
-        rnd("ref_mean", 5).alias("ref_mean_score"),
-        rnd("cur_mean", 5).alias("cur_mean_score"),
-        rnd("ref_p95", 5).alias("ref_p95_score"),
-        rnd("cur_p95", 5).alias("cur_p95_score"),
+        F.lit(window).alias("window"), rnd("psi", 5).alias("psi"), psi_label(F.col("psi")).alias("psi_label"),
+        rnd("d", 5).alias("ks_statistic"), rnd("p", 6).alias("p_value"), drift.alias("drift_detected"),
+        rnd("ref_mean", 5).alias("ref_mean_score"), rnd("cur_mean", 5).alias("cur_mean_score"),
+        rnd("ref_p95", 5).alias("ref_p95_score"), rnd("cur_p95", 5).alias("cur_p95_score"),
         ((F.col("psi") >= PSI_MODERATE) | drift).alias("action_required"))
 
 
+def score_drift_report(ref: DataFrame, cur: DataFrame, score: str = "score", window: str = "current") -> DataFrame:
+    return score_drift_of(tag_sides(ref, cur, [score]), score, window)
+
+
 def ks_test_raw(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
     """Unrounded D and p (columns d, p)."""
     d = ks_statistic(ref, cur, col)

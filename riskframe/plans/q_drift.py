@@ -86,8 +86,14 @@ FROM {p}psi ps, {p}ksp k, {p}st st"""
     return ctes, body
 
 
-def splits(spark, sf_dir):
+def split_rows(spark, sf_dir):
+    """All rows with their split and _ref (true for train): both sides in one scan."""
     s = sp.time_split(fx.build_features(txn(spark, sf_dir)), val_frac=0.2)
+    return s.withColumn("_ref", F.col("split") == "train")
+
+
+def splits(spark, sf_dir):
+    s = split_rows(spark, sf_dir).drop("_ref")
     return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "val")
 
 
@@ -97,8 +103,7 @@ FROM (SELECT feature, e, unnest(range(0, len(e))) AS i FROM edges)
 """))
 def q_quantile_edges(spark, sf_dir):
     """Reference decile edges per feature (exact, linear interpolation, de-duplicated)."""
-    tr, _ = splits(spark, sf_dir)
-    e = dr.reference_edges(dr.to_long(tr, FEATURES))
+    e = dr.feature_bins(split_rows(spark, sf_dir), FEATURES).filter("n_ref > 0")
     return e.select("feature", F.posexplode("edges").alias("edge_idx", "edge")).select(
         "feature", "edge_idx", rnd("edge", 6).alias("edge"))
 
@@ -109,18 +114,9 @@ FROM fullb
 """))
 def q_bin_counts(spark, sf_dir):
     """Reference and current counts in every reference-decile bin (empty bins included)."""
-    tr, va = splits(spark, sf_dir)
-    ref_long, cur_long = dr.to_long(tr, FEATURES), dr.to_long(va, FEATURES)
-    edges = dr.reference_edges(ref_long)
-    both = (ref_long.select("feature", "v", F.lit(1).alias("r"), F.lit(0).alias("c"))
-            .unionByName(cur_long.select("feature", "v", F.lit(0).alias("r"), F.lit(1).alias("c"))))
-    binned = both.join(F.broadcast(edges), "feature").select(
-        "feature", dr.bin_index(F.col("v"), F.col("edges")).alias("bin"), "r", "c")
-    counts = binned.groupBy("feature", "bin").agg(F.sum("r").alias("rc"), F.sum("c").alias("cc"))
-    allb = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
-    return allb.join(counts, ["feature", "bin"], "left").select(
-        "feature", "bin", F.coalesce("rc", F.lit(0)).cast("long").alias("ref_count"),
-        F.coalesce("cc", F.lit(0)).cast("long").alias("cur_count"))
+    t = dr.feature_bins(split_rows(spark, sf_dir), FEATURES).filter("n_ref > 0")
+    return t.select("feature", F.posexplode("bins").alias("bin", "_c")).select(
+        "feature", "bin", F.col("_c.rc").alias("ref_count"), F.col("_c.cc").alias("cur_count"))
 
 
 @register("psi", with_txn(SPLITF_CTE, _psi_ctes(FEATURES), body="""
@@ -128,8 +124,7 @@ SELECT feature, round(psi, 5) AS psi, n_ref, n_cur, CAST(n_bins AS INTEGER) AS n
 """))
 def q_psi(spark, sf_dir):
     """PSI per feature, train vs val, epsilon on counts."""
-    tr, va = splits(spark, sf_dir)
-    return dr.psi_table(tr, va, FEATURES).withColumn("psi", rnd("psi", 5))
+    return dr.psi_of(split_rows(spark, sf_dir), FEATURES).withColumn("psi", rnd("psi", 5))
 
 
 @register("psi_label", with_txn(SPLITF_CTE, _psi_ctes(FEATURES), body=f"""
@@ -137,29 +132,31 @@ SELECT feature, {_LABEL_SQL.format(x='psi')} AS stability FROM psi
 """))
 def q_psi_label(spark, sf_dir):
     """Stability label of each feature's PSI: stable, moderate_drift, significant_drift, unknown."""
-    tr, va = splits(spark, sf_dir)
-    return dr.psi_table(tr, va, FEATURES).select("feature", psi_label(F.col("psi")).alias("stability"))
+    return dr.psi_of(split_rows(spark, sf_dir), FEATURES).select("feature", psi_label(F.col("psi")).alias("stability"))
 
 
-@register("feature_psi_report", with_txn(SPLITF_CTE, _psi_ctes(FEATURES), f"""rs AS (
+_MEANS_CTE = f"""rs AS (
   SELECT feature, avg(v) AS ref_mean, {mean_half_up_sql('v', 4)} AS ref_mean4,
          avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS ref_miss
   FROM ({_long_sql('tr', FEATURES, True)}) GROUP BY feature),
 cs AS (
   SELECT feature, avg(v) AS cur_mean, {mean_half_up_sql('v', 4)} AS cur_mean4,
          avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS cur_miss
-  FROM ({_long_sql('va', FEATURES, True)}) GROUP BY feature)""", body=f"""
+  FROM ({_long_sql('va', FEATURES, True)}) GROUP BY feature)"""
+_FEATURE_BODY = f"""
 SELECT rs.feature, round(p.psi, 5) AS psi, {_LABEL_SQL.format(x='p.psi')} AS stability,
        ref_mean4 AS ref_mean, cur_mean4 AS cur_mean,
        round((cur_mean - ref_mean) / (abs(ref_mean) + 1e-8) * 100, 2) AS mean_shift_pct,
        round(CAST(ref_miss AS DOUBLE) * 100, 1) AS ref_missing_pct,
        round(CAST(cur_miss AS DOUBLE) * 100, 1) AS cur_missing_pct
 FROM rs JOIN cs ON rs.feature = cs.feature LEFT JOIN psi p ON rs.feature = p.feature
-"""))
+"""
+
+
+@register("feature_psi_report", with_txn(SPLITF_CTE, _psi_ctes(FEATURES), _MEANS_CTE, body=_FEATURE_BODY))
 def q_feature_psi_report(spark, sf_dir):
     """Per feature: psi, stability, means, mean shift %, missing % (train vs val)."""
-    tr, va = splits(spark, sf_dir)
-    return dr.feature_psi_report(tr, va, FEATURES)
+    return dr.feature_report_of(split_rows(spark, sf_dir), FEATURES)
 
 
 @register("ks_two_sample", with_txn(SPLITF_CTE, _ks_ctes("tr", "va", ""), body="""
@@ -177,8 +174,7 @@ _SR_CTES, _SR_BODY = _score_report_sql("tr", "va", "val (deployment)", "s_")
 @register("score_drift_report", with_txn(SPLITF_CTE, _SR_CTES, body=_SR_BODY))
 def q_score_drift_report(spark, sf_dir):
     """Score PSI, KS, means, p95s and action flag, train vs val."""
-    tr, va = splits(spark, sf_dir)
-    return dr.score_drift_report(tr, va, "score", "val (deployment)")
+    return dr.score_drift_of(split_rows(spark, sf_dir), "score", "val (deployment)")
 
 
 _HALF_CTE = """vh AS (SELECT va.*, row_number() OVER (ORDER BY dt, txn_id) AS rn_h, count(*) OVER () AS n_v FROM va),
@@ -187,15 +183,27 @@ late AS (SELECT * FROM vh WHERE rn_h > n_v // 2)"""
 _LR_CTES, _LR_BODY = _score_report_sql("early", "late", "late val", "l_")
 
 
-@register("deployment_drift", with_txn(SPLITF_CTE, _HALF_CTE, _SR_CTES, _LR_CTES,
-                                       body=_SR_BODY + "\nUNION ALL\n" + _LR_BODY))
+_SCORE_COLS = """SELECT "window", 'score' AS feature, psi, psi_label, ks_statistic, p_value, drift_detected,
+  ref_mean_score AS ref_mean, cur_mean_score AS cur_mean, ref_p95_score AS ref_p95, cur_p95_score AS cur_p95, action_required,
+  CAST(NULL AS DOUBLE) AS mean_shift_pct, CAST(NULL AS DOUBLE) AS ref_missing_pct, CAST(NULL AS DOUBLE) AS cur_missing_pct"""
+
+
+@register("deployment_drift", with_txn(
+    SPLITF_CTE, _HALF_CTE, _SR_CTES, _LR_CTES, _psi_ctes(FEATURES), _MEANS_CTE,
+    f"sc AS ({_SR_BODY} UNION ALL {_LR_BODY})", f"fr AS ({_FEATURE_BODY})", body=f"""{_SCORE_COLS} FROM sc
+UNION ALL SELECT 'val (deployment)', feature, psi, stability, NULL, NULL, NULL, ref_mean, cur_mean, NULL, NULL, NULL,
+  mean_shift_pct, ref_missing_pct, cur_missing_pct FROM fr"""))
 def q_deployment_drift(spark, sf_dir):
-    """Score drift train vs val and early vs late val (halves by time order)."""
-    tr, va = splits(spark, sf_dir)
-    h = sp.half_split(va)
-    early, late = h.filter(F.col("half") == "early"), h.filter(F.col("half") == "late")
-    return (dr.score_drift_report(tr, va, "score", "val (deployment)")
-            .unionByName(dr.score_drift_report(early, late, "score", "late val")))
+    """The deployment drift job: score drift train vs val and early vs late val (halves by time
+    order), and the feature report train vs val, one row each."""
+    rows = split_rows(spark, sf_dir)
+    h = sp.half_split(rows.filter("NOT _ref")).withColumn("_ref", F.col("half") == "early")
+    scores = (dr.score_drift_of(rows, "score", "val (deployment)")
+              .unionByName(dr.score_drift_of(h, "score", "late val")))
+    scores = scores.withColumnsRenamed({f"{side}_{x}_score": f"{side}_{x}" for side in ("ref", "cur") for x in ("mean", "p95")})
+    features = dr.feature_report_of(rows, FEATURES).withColumnRenamed("stability", "psi_label")
+    return scores.withColumn("feature", F.lit("score")).unionByName(
+        features.withColumn("window", F.lit("val (deployment)")), allowMissingColumns=True)
 
 
 @register("drift_summary", with_txn(SPLITF_CTE, _psi_ctes(FEATURES), """ranked_psi AS (
@@ -209,9 +217,7 @@ FROM psi
 """))
 def q_drift_summary(spark, sf_dir):
     """Number of significant / moderate features and the 10 highest-PSI features in order."""
-    tr, va = splits(spark, sf_dir)
-    p = dr.psi_table(tr, va, FEATURES)
-    return dr.drift_summary(p)
+    return dr.drift_summary(dr.psi_of(split_rows(spark, sf_dir), FEATURES))
 
 
 @register("policy_ks_level", with_txn(SPLITF_CTE, _ks_ctes("tr", "va", ""), body="""

@@ -22,7 +22,7 @@ from riskframe.operators import whatif as wi
 from riskframe.plans.catalog import register
 from riskframe.plans.oracle import FEAT_CTE, reason_code_sql, with_txn
 from riskframe.plans.q_drift import FEATURES as DRIFT_FEATURES
-from riskframe.plans.q_drift import SPLITF_CTE, _LABEL_SQL, _psi_ctes, _score_report_sql, splits
+from riskframe.plans.q_drift import SPLITF_CTE, _LABEL_SQL, _psi_ctes, _score_report_sql, split_rows, splits
 from riskframe.plans.q_explain import _TOP, BASE
 from riskframe.plans.q_explain import FEATURES as EXPLAIN_FEATURES
 from riskframe.plans.q_fairness import PROXIES
@@ -303,8 +303,7 @@ SELECT feature, round(psi, 5) AS psi, CAST(row_number() OVER (ORDER BY round(psi
 FROM psi"""))
 def q_sorted_reports(spark, sf_dir):
     """Feature drift report in PSI order (rank column; ties by name)."""
-    tr, va = splits(spark, sf_dir)
-    p = dr.psi_table(tr, va, DRIFT_FEATURES).select("feature", rnd("psi", 5).alias("psi"))
+    p = dr.psi_of(split_rows(spark, sf_dir), DRIFT_FEATURES).select("feature", rnd("psi", 5).alias("psi"))
     # one row per monitored feature
     w = Window.orderBy(F.desc_nulls_last("psi"), "feature")
     return p.withColumn("rank", F.row_number().over(w))
