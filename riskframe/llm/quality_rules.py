@@ -3,8 +3,14 @@
 Each rule votes good (1), bad (-1) or abstains (0) on a document. Votes are counted by
 their pattern (at most 3 ** rules patterns, however many documents there are), and
 expectation-maximisation over the pattern counts estimates the share of good documents and
-how each rule votes on good and on bad ones (its accuracy follows). A document's posterior
-is the sigmoid of the prior's log odds plus what its votes add; an abstention adds nothing. The posterior replaces the usual "every rule must pass"; the base
+how each rule votes on them and on bad ones (its accuracy follows). Bad documents come in kinds,
+one for each rule, since junk that one rule knows is seldom junk that another knows too: a
+pattern's likelihood is a mixture of the good class and the kinds, in each of which rules vote
+or abstain independently with probabilities of their own. Both steps use the likelihood of all three outcomes,
+so no round lowers it. Nothing bounds the share of good documents or a rule's rates;
+the classes keep their meaning by one prior: the starting values count as ANCHOR of all
+documents. A document's posterior is the probability of the good class given its votes; it
+replaces the usual "every rule must pass". The base
 rules of fixed thresholds (``base_failed``) still reject.
 
 Repeats inside a text are found without comparing all pairs: each text's three-word
@@ -19,7 +25,9 @@ an empty result; only the named columns are read.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +37,13 @@ MIN_WORDS = 50                  # base: fewer fail
 MAX_REPEAT_PERCENT = 50         # base: a larger share of words in repeated windows fails
 MIN_POSTERIOR = 0.5
 START_GOOD = 0.8
-# where the estimation starts: probability of each vote among (good, bad) documents
-START = {1: (0.60, 0.55), 0: (0.38, 0.05), -1: (0.02, 0.40)}
-ANCHOR = 0.02                   # share of documents that the start counts as
-MAX_FALSE_ALARM = 0.02          # a rule says bad of so many good documents at most
-ROUNDS = 50
+# where the estimation starts: probability of each vote among good documents, among bad ones of
+# the rule's own kind and among other bad ones; for rules that vote both ways and for detectors
+START = ({1: 0.60, 0: 0.38, -1: 0.02}, {1: 0.05, 0: 0.15, -1: 0.80}, {1: 0.50, 0: 0.45, -1: 0.05})
+START_DETECTOR = ({1: 0.005, 0: 0.990, -1: 0.005}, {1: 0.005, 0: 0.195, -1: 0.800}, {1: 0.005, 0: 0.895, -1: 0.100})
+ANCHOR = 0.01                   # share of documents that the start counts as
+ROUNDS = 400
+VOTES = (-1, 0, 1)
 
 SYMBOLS = "#*$%&|<>"
 _GAPS = " \t\n\x0b\x0c\r"
@@ -112,46 +122,51 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """(share of good documents, each rule's probability of its votes among good and among
-    bad documents) from counted vote patterns. START's probabilities count as ANCHOR of all
-    documents, which keeps the classes from changing their meaning."""
-    good, rules = START_GOOD, [dict(START) for _ in range(n_rules)]
+class Estimate(NamedTuple):
+    """shares: of the good class and of each kind of bad documents; rates[class][rule][vote]."""
+    shares: list[float]
+    rates: list[list[dict[int, float]]]
+
+    def accuracy(self, rule: int) -> float:
+        """Share of a rule's votes that are right."""
+        right = self.shares[0] * self.rates[0][rule][1]
+        wrong = self.shares[0] * self.rates[0][rule][-1]
+        for s, r in zip(self.shares[1:], self.rates[1:]):
+            right, wrong = right + s * r[rule][-1], wrong + s * r[rule][1]
+        return right / (right + wrong)
+
+    def posterior(self, votes) -> float:
+        """Probability that a document with these votes is good."""
+        logs = [math.log(s) + sum(math.log(r[j][x]) for j, x in enumerate(votes)) for s, r in zip(self.shares, self.rates)]
+        return 1 / sum(math.exp(min(x - logs[0], 700)) for x in logs)
+
+
+def start(n_rules: int, detectors: set[int]) -> Estimate:
+    kinds = [[(START_DETECTOR if j in detectors else START)[0 if k == 0 else 1 if k - 1 == j else 2] for j in range(n_rules)]
+             for k in range(n_rules + 1)]
+    return Estimate([START_GOOD] + [(1 - START_GOOD) / n_rules] * n_rules, kinds)
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> Estimate:
+    """Estimate from counted vote patterns. A rule that never votes good is a detector."""
+    first = start(n_rules, {j for j in range(n_rules) if not any(v[j] == 1 for v, _ in patterns)})
     total = sum(c for _, c in patterns)
-    for _ in range(ROUNDS if total else 0):
-        anchor = ANCHOR * total
-        mass = [anchor * START_GOOD, anchor * (1 - START_GOOD)]
-        cast = [{x: [p * m for p, m in zip(START[x], mass)] for x in START} for _ in range(n_rules)]
-        for v, c in patterns:
-            p = posterior(v, good, rules)
-            mass[0] += c * p
-            mass[1] += c * (1 - p)
-            for j, x in enumerate(v):
-                cast[j][x][0] += c * p
-                cast[j][x][1] += c * (1 - p)
-        good = min(max(mass[0] / sum(mass), 0.6), 0.95)
-        rules = [{x: (cast[j][x][0] / mass[0], cast[j][x][1] / mass[1]) for x in START} for j in range(n_rules)]
-        for r in rules:
-            r[-1] = (min(r[-1][0], MAX_FALSE_ALARM), r[-1][1])
-    return good, rules
-
-
-def weight(rule: dict[int, tuple[float, float]], vote: int) -> float:
-    """Log odds that a vote adds for good; a vote never counts against what it says."""
-    w = math.log(max(rule[vote][0], 1e-6) / max(rule[vote][1], 1e-6))
-    return max(w, 0.0) if vote > 0 else min(w, 0.0) if vote < 0 else 0.0
-
-
-def accuracy(rule: dict[int, tuple[float, float]], good: float) -> float:
-    """Share of a rule's votes that are right."""
-    right = rule[1][0] * good + rule[-1][1] * (1 - good)
-    wrong = rule[1][1] * (1 - good) + rule[-1][0] * good
-    return right / (right + wrong)
-
-
-def posterior(v, good: float, rules: list[dict[int, tuple[float, float]]]) -> float:
-    z = math.log(good / (1 - good)) + sum(weight(r, x) for x, r in zip(v, rules))
-    return 1 / (1 + math.exp(-z))
+    if not total:
+        return first
+    patterns = sorted(patterns)
+    counts = np.array([c for _, c in patterns], dtype=np.float64)
+    cast = np.array([[[x == y for y in VOTES] for x in v] for v, _ in patterns], dtype=np.float64)
+    mass0 = ANCHOR * total * np.array(first.shares)
+    rates0 = np.array([[[r[x] for x in VOTES] for r in kind] for kind in first.rates])
+    shares, rates = np.array(first.shares), rates0
+    for _ in range(ROUNDS):
+        logs = np.log(shares) + np.einsum("pjx,kjx->pk", cast, np.log(rates))
+        weight = np.exp(logs - logs.max(axis=1, keepdims=True))
+        weight *= (counts / weight.sum(axis=1))[:, None]
+        mass = weight.sum(axis=0) + mass0
+        rates = (np.einsum("pk,pjx->kjx", weight, cast) + mass0[:, None, None] * rates0) / mass[:, None, None]
+        shares = mass / mass.sum()
+    return Estimate(shares.tolist(), [[dict(zip(VOTES, r)) for r in kind] for kind in rates.tolist()])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,11 +176,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = materialize(measures(docs, id_col, text_col).select(
         "*", *[v.alias(f"vote_{r}") for r, v in rules.items()]), "votes")
     counted = rows.groupBy(*names).count().collect()        # at most 3 ** rules rows
-    good, rates = fit([(tuple(r[n] for n in names), r["count"]) for r in counted], len(names))
-    odds = F.lit(math.log(good / (1 - good)))
-    for name, r in zip(names, rates):
-        odds = odds + F.when(F.col(name) > 0, weight(r, 1)).when(F.col(name) < 0, weight(r, -1)).otherwise(0.0)
+    found = fit([(tuple(r[n] for n in names), r["count"]) for r in counted], len(names))
+
+    def likelihood(k):
+        """Log likelihood of the row's votes in class k, less that in the good class."""
+        z = F.lit(math.log(found.shares[k] / found.shares[0]))
+        for j, name in enumerate(names):
+            gain = {x: math.log(found.rates[k][j][x] / found.rates[0][j][x]) for x in VOTES}
+            z = z + F.when(F.col(name) > 0, gain[1]).when(F.col(name) < 0, gain[-1]).otherwise(gain[0])
+        return F.exp(F.least(z, F.lit(700.0)))
+    others = F.lit(0.0)
+    for k in range(1, len(found.shares)):
+        others = others + likelihood(k)
     n = F.col("n_words")
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
-    return rows.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds))) \
+    return rows.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + others)) \
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= MIN_POSTERIOR))

@@ -4,6 +4,7 @@ repeated rows, empty tables, extra columns with clashing names."""
 import re
 
 import brute
+import pytest
 from cases import doubled, edge, edge_rows, none  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -345,18 +346,66 @@ def test_quality_rules(spark, edge, edge_rows, none, doubled):
     assert quality_rules.judge(doubled).count() == doubled.count()
 
 
-def test_vote_estimation():
-    """Votes drawn from known rates: the estimate tells the classes apart."""
+def drawn_votes(share, n=20000):
+    """Votes of documents of which ``share`` are good, from known rates."""
     import random
     from collections import Counter
     r, seen, truth = random.Random(5), Counter(), []
-    for _ in range(20000):
-        good = r.random() < 0.85
+    for _ in range(n):
+        good = r.random() < share
         v = tuple([r.choice([1, 1, 1, 0]) if good else r.choice([1, 0, 0])]
                   + [-1 if r.random() < (0.005 if good else 0.5) else 0 for _ in range(4)])
         seen[v] += 1
         truth.append((v, good))
-    good, rules = quality_rules.fit(list(seen.items()), 5)
-    right = sum((quality_rules.posterior(v, good, rules) >= 0.5) == g for v, g in truth)
-    assert right / len(truth) > 0.97 and all(quality_rules.accuracy(x, good) > 0.5 for x in rules)
-    assert quality_rules.fit([], 5)[0] == quality_rules.START_GOOD
+    return seen, truth
+
+
+@pytest.mark.parametrize("share,error", [(0.85, 0.03), (0.5, 0.03), (0.3, 0.06)])
+def test_vote_estimation(share, error):
+    """The estimated share follows the votes, and the classes are told apart."""
+    seen, truth = drawn_votes(share)
+    found = quality_rules.fit(list(seen.items()), 5)
+    right = sum((found.posterior(v) >= 0.5) == g for v, g in truth)
+    assert abs(found.shares[0] - share) < error and abs(sum(found.shares) - 1) < 1e-9
+    assert right / len(truth) > 0.93 and all(found.accuracy(j) > 0.5 for j in range(5))
+    assert quality_rules.fit([], 5).shares[0] == quality_rules.START_GOOD
+
+
+def test_quality_posterior_equals_a_plain_estimation(spark):
+    """EM by loops over the given documents; and no round lowers the (anchored) likelihood."""
+    import math
+    from collections import Counter
+    out = quality_rules.judge(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    names = [c for c in out.columns if c.startswith("vote_")]
+    rows = out.collect()
+    seen = Counter(tuple(r[n] for n in names) for r in rows)
+    m = len(names)
+    first = quality_rules.start(m, {j for j in range(m) if not any(v[j] == 1 for v in seen)})
+    shares, rates, last = first.shares, first.rates, -math.inf
+    for _ in range(quality_rules.ROUNDS):
+        weights = [quality_rules.ANCHOR * len(rows) * s for s in first.shares]
+        level = sum(w * (math.log(s) + sum(first.rates[k][j][x] * math.log(rates[k][j][x]) for j in range(m) for x in (-1, 0, 1)))
+                    for k, (w, s) in enumerate(zip(weights, shares)))
+        votes = [[{x: w * p for x, p in rule.items()} for rule in kind] for w, kind in zip(weights, first.rates)]
+        for v, c in seen.items():
+            like = [s * math.prod(kind[j][x] for j, x in enumerate(v)) for s, kind in zip(shares, rates)]
+            level += c * math.log(sum(like))
+            for k, p in enumerate(like):
+                weights[k] += c * p / sum(like)
+                for j, x in enumerate(v):
+                    votes[k][j][x] += c * p / sum(like)
+        assert level >= last - 1e-7
+        last = level
+        shares = [w / sum(weights) for w in weights]
+        rates = [[{x: n / w for x, n in rule.items()} for rule in kind] for w, kind in zip(weights, votes)]
+    for r in rows:
+        like = [s * math.prod(kind[j][r[n]] for j, n in enumerate(names)) for s, kind in zip(shares, rates)]
+        p = like[0] / sum(like)
+        assert abs(r.posterior - p) < 1e-6
+        assert r.kept == (not r.base_failed and p >= 0.5) or abs(p - 0.5) < 1e-6
+
+
+def test_quality_verdicts_on_labelled_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules.judge(docs).filter("not base_failed").join(labels.withColumnRenamed("doc_id", "i"), F.col("doc_id") == F.col("i"))
+    assert {(r.quality, r.kept) for r in got.select("quality", "kept").distinct().collect()} == {(1, True), (0, False)}
