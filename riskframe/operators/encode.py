@@ -2,11 +2,12 @@
 
 * ordinal: code = 0-based rank of the sorted distinct train values; missing
   and unseen values stay NULL. The dictionary rank is a distributed running
-  count (no single-task sort even for a key with a billion values); applying
-  it is a join the planner may broadcast when the dictionary is small.
+  count (no single-task sort even for a key with a billion values); ``lookup``
+  applies it.
 * target: binary target encoding with empirical-Bayes smoothing, cross-fitted
   on train (a row's own fold never contributes to its value); other rows use
-  the full train statistics. Out-of-fold sums are total minus fold.
+  the full train statistics. Out-of-fold sums are total minus fold; folds can be
+  stratified by class in a seeded order.
 * median imputation, population-std scaling, class weights, sparse-column drop.
 """
 
@@ -17,8 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.operators import lookup
 from riskframe.operators.prefix import running_sum
 from riskframe.operators.quantiles import exact_quantiles
+from riskframe.session import written
 
 NULL_KEY = "__missing__"   # stands for a missing category in target encoding
 
@@ -35,12 +38,16 @@ def ordinal_dictionary(train: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def apply_ordinal(df: DataFrame, dictionary: DataFrame, cols: Sequence[str],
                   suffix: str = "_code") -> DataFrame:
-    """Add <col>_code from the dictionary (left join per column; unseen -> NULL)."""
+    """Add <col>_code from the dictionary (missing and unseen values -> NULL). The dictionary is
+    written once; ``lookup`` keeps missing and hot values from meeting in one task."""
+    d = written(dictionary, "dictionary")
+    small = lookup.small_tables(d, "column", "value")
+    empty = {c for c in cols} - {r["column"] for r in d.select("column").distinct().collect()}
+    heavy = lookup.heavy_values(df, {c: F.col(c) for c in cols if c not in small | empty})
     out = df
     for c in cols:
-        d = dictionary.filter(F.col("column") == c).select(
-            F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"{c}{suffix}"))
-        out = (out.join(d, out[c].cast("string") == d[f"_v_{c}"], "left").drop(f"_v_{c}"))
+        own = d.filter(F.col("column") == c).select("value", F.col("code").alias(f"{c}{suffix}"))
+        out = lookup.look_up(out, F.col(c), own, "value", [f"{c}{suffix}"], c in small | empty, heavy.get(c, ()))
     return out
 
 
@@ -61,38 +68,58 @@ def _cat(c: str):
     return F.coalesce(F.col(c).cast("string"), F.lit(NULL_KEY))
 
 
+def stratified_folds(train: DataFrame, label: str, id_col: str, folds: int = 5, seed: int = 42,
+                     col: str = "fold") -> DataFrame:
+    """Adds ``fold``: rows of each class are put in a seeded order (md5 of id and seed) and dealt
+    out in turn, so every fold has each class's share to within one row. The rank in that order
+    is a distributed running count; ids must be unique within a class."""
+    shuffled = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+    ranked = running_sum(train.withColumn("_one", F.lit(1).cast("long")), id_col, ["_one"], by=[label],
+                         order=[shuffled, id_col])
+    return ranked.withColumn(col, F.pmod(F.col("_one_cum") - 1, F.lit(folds)).cast("int")).drop("_one", "_one_cum")
+
+
 def target_encode(train: DataFrame, other: DataFrame | None, cols: Sequence[str],
                   label: str = "is_fraud", fold: str = "fold", suffix: str = "_te"):
     """Cross-fitted encoding of ``train`` (by its ``fold`` column) and full-train
     encoding of ``other``. Returns (train_encoded, other_encoded).
 
     The per-(column, fold, category) label sums of all columns come from one
-    aggregation over the unpivoted train rows; out-of-fold sums are total minus fold."""
+    aggregation over the unpivoted train rows; out-of-fold sums are total minus fold. The table
+    that is looked up has one row per category, with the values of all folds as a map."""
     cols = list(cols)
     y = F.col(label).cast("double")
-    # label statistics per fold and overall (one row per fold)
-    fstat = train.groupBy(fold).agg(F.count(F.lit(1)).alias("fn"), F.sum(y).alias("fs"))
-    tot = fstat.agg(F.sum("fn").alias("N"), F.sum("fs").alias("S")).first()
-    N, S = float(tot["N"]), float(tot["S"] or 0.0)
-    folds = fstat.select(fold, (F.lit(N) - F.col("fn")).alias("yn"), (F.lit(S) - F.col("fs")).alias("ys"))
+    # label statistics per fold (one row per fold)
+    stats = train.groupBy(fold).agg(F.count(F.lit(1)).alias("fn"), F.sum(y).alias("fs")).collect()
+    N, S = float(sum(r["fn"] for r in stats)), float(sum(r["fs"] or 0.0 for r in stats))
     long = (train.select(fold, y.alias("_y"), *[_cat(c).alias(c) for c in cols])
                  .unpivot([fold, "_y"], cols, "_col", "_k"))
     per = long.groupBy("_col", fold, "_k").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s"))
-    allc = per.groupBy("_col", "_k").agg(F.sum("n").alias("Nc"), F.sum("s").alias("Sc"))
-    # one row per fold: bounded by the fold column
-    oof = (per.join(allc, ["_col", "_k"]).join(F.broadcast(folds), fold)
-              .select("_col", fold, "_k", _smoothed(F.col("Nc") - F.col("n"), F.col("Sc") - F.col("s"),
-                                                    F.col("yn"), F.col("ys")).alias("_e")))
-    full = allc.select("_col", "_k", _smoothed(F.col("Nc"), F.col("Sc"), F.lit(N), F.lit(S)).alias("_e"))
+    # one entry per fold of a category
+    allc = per.groupBy("_col", "_k").agg(F.sum("n").alias("Nc"), F.sum("s").alias("Sc"),
+                                         F.collect_list(F.struct(F.col(fold).alias("f"), "n", "s")).alias("parts"))
+    others = [F.struct(F.lit(N - r["fn"]).alias("yn"), F.lit(S - (r["fs"] or 0.0)).alias("ys")) for r in stats]
+    of_fold = F.create_map(*[x for r, o in zip(stats, others) for x in (F.lit(r[fold]), o)]) if stats else None
+
+    def oof(p):
+        rest = F.try_element_at(of_fold, p["f"])
+        return F.struct(p["f"], _smoothed(F.col("Nc") - p["n"], F.col("Sc") - p["s"], rest["yn"], rest["ys"]))
+    table = allc.select("_col", "_k", _smoothed(F.col("Nc"), F.col("Sc"), F.lit(N), F.lit(S)).alias("_full"),
+                        (F.map_from_entries(F.transform("parts", oof)) if stats else F.lit(None)).alias("_oof"))
+    table = written(table, "target-encoding")
+    small = lookup.small_tables(table, "_col", "_k")
+    large = {c: _cat(c) for c in cols if stats and c not in small}
     y_mean = S / N if N else None
+    hot_tr = lookup.heavy_values(train, large)
+    hot_ot = lookup.heavy_values(other, large) if other is not None else {}
     tr_out, ot_out = train, other
     for c in cols:
-        enc_oof = oof.filter(F.col("_col") == c).select(fold, "_k", F.col("_e").alias(f"{c}{suffix}"))
-        tr_out = tr_out.withColumn("_k", _cat(c)).join(enc_oof, [fold, "_k"], "left").drop("_k")
+        own = table.filter(F.col("_col") == c)
+        tr_out = lookup.look_up(tr_out, _cat(c), own, "_k", ["_oof"], c not in large, hot_tr.get(c, ()))
+        tr_out = tr_out.withColumn(f"{c}{suffix}", F.try_element_at("_oof", F.col(fold)) if stats else F.lit(None).cast("double")).drop("_oof")
         if ot_out is not None:
-            enc_all = full.filter(F.col("_col") == c).select("_k", F.col("_e").alias(f"{c}{suffix}"))
-            ot_out = (ot_out.withColumn("_k", _cat(c)).join(enc_all, "_k", "left").drop("_k")
-                            .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), F.lit(y_mean))))
+            ot_out = lookup.look_up(ot_out, _cat(c), own, "_k", ["_full"], c not in large, hot_ot.get(c, ()))
+            ot_out = ot_out.withColumn(f"{c}{suffix}", F.coalesce(F.col("_full"), F.lit(y_mean))).drop("_full")
     return tr_out, ot_out
 
 

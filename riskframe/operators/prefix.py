@@ -108,7 +108,7 @@ def running_sum(df: DataFrame, key: str | Column, cols: Sequence[str],
     side = F.desc(_BKT) if descending else F.asc(_BKT)
     before = Window.partitionBy(*by).orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(b).alias(f"_g_{b}") for b in by], F.col(_BKT).alias("_pfx_b"),
+        *[F.col(b).alias(f"_g_{b}") for b in by], (-F.col(_BKT)).alias("_pfx_b"),
         F.row_number().over(Window.partitionBy(*by).orderBy(side)).alias("_pfx_n"),
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols])
     offsets = F.broadcast(offsets.filter("_pfx_n > 1").drop("_pfx_n"))     # rows <= len(cuts)
@@ -116,7 +116,9 @@ def running_sum(df: DataFrame, key: str | Column, cols: Sequence[str],
     down = [F.desc(k) if descending else F.asc(k) for k in keys]
     run = Window.partitionBy(_BKT, *by).orderBy(*down).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = ordered.withColumns({f"_r_{c}": F.sum(c).over(run) for c in cols})
-    match = F.col(_BKT) == F.col("_pfx_b")
+    # an equality of two plain columns would let the optimizer copy the bucket's defining
+    # expression to the offsets' side, where its columns do not exist
+    match = -F.col(_BKT) == F.col("_pfx_b")
     for b in by:
         match = match & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
     out = out.join(offsets, match, "left")

@@ -61,8 +61,8 @@ def _te_sql_expr(n, s, yn, ys):
             f"ELSE {lam} * {mc} + (1.0 - {lam}) * {ym} END")
 
 
-def _te_ctes() -> str:
-    out = ["""tb AS (SELECT txn_id, txn_id % 5 AS fold, CAST(is_fraud AS DOUBLE) AS y, """ + ", ".join(
+def _te_ctes(fold: str = "txn_id % 5") -> str:
+    out = [f"""tb AS (SELECT txn_id, {fold} AS fold, CAST(is_fraud AS DOUBLE) AS y, """ + ", ".join(
         f"coalesce(CAST({c} AS VARCHAR), '__missing__') AS k_{c}" for c in TE_CATS) + """ FROM tr),
 fst AS (SELECT fold, count(*) AS fn, sum(y) AS fs FROM tb GROUP BY fold),
 ftot AS (SELECT sum(fn) AS N, sum(fs) AS S FROM fst),
@@ -77,24 +77,39 @@ full_{c} AS (SELECT a.k, {_te_sql_expr('a.Nc', 'a.Sc', 'ftot.N', 'ftot.S')} AS e
     return ",\n".join(out)
 
 
-@register("target_encode", with_txn(SPLITF_CTE, _te_ctes(), body="""
+_TE_BODY = """
 SELECT tb.txn_id, 'train' AS split, """ + ", ".join(f"round(o_{c}.e, 6) AS {c}_te" for c in TE_CATS) + """
 FROM tb """ + " ".join(f"LEFT JOIN oof_{c} o_{c} ON tb.fold = o_{c}.fold AND tb.k_{c} = o_{c}.k" for c in TE_CATS) + """
 UNION ALL
 SELECT vb.txn_id, 'val' AS split, """ + ", ".join(
     f"round(coalesce(f_{c}.e, (SELECT CAST(S AS DOUBLE) / N FROM ftot)), 6) AS {c}_te" for c in TE_CATS) + """
-FROM vb """ + " ".join(f"LEFT JOIN full_{c} f_{c} ON vb.k_{c} = f_{c}.k" for c in TE_CATS)))
-def q_target_encode(spark, sf_dir):
-    """Binary target encoding (auto smoothing): train cross-fitted over 5 folds (id mod 5),
-    val from all train rows; missing is its own category, unseen -> train mean."""
-    tr, va = splits(spark, sf_dir)
-    trf = tr.withColumn("fold", F.pmod(F.col("txn_id"), F.lit(5)))
+FROM vb """ + " ".join(f"LEFT JOIN full_{c} f_{c} ON vb.k_{c} = f_{c}.k" for c in TE_CATS)
+STRATIFIED_SQL = ("(row_number() OVER (PARTITION BY is_fraud ORDER BY md5(concat(CAST(txn_id AS VARCHAR), ':', '42')), txn_id) - 1) % 5")
+
+
+def _target_encoded(trf, va):
     te_tr, te_va = en.target_encode(trf, va, TE_CATS)
     cols = [rnd(f"{c}_te", 6).alias(f"{c}_te") for c in TE_CATS]
     return (te_tr.select("txn_id", F.lit("train").alias("split"), *cols)
             .unionByName(te_va.select("txn_id", F.lit("val").alias("split"), *cols)))
 
 
+@register("target_encode", with_txn(SPLITF_CTE, _te_ctes(), body=_TE_BODY))
+def q_target_encode(spark, sf_dir):
+    """Binary target encoding (auto smoothing): train cross-fitted over 5 folds (id mod 5),
+    val from all train rows; missing is its own category, unseen -> train mean."""
+    tr, va = splits(spark, sf_dir)
+    return _target_encoded(tr.withColumn("fold", F.pmod(F.col("txn_id"), F.lit(5))), va)
+
+
+@register("target_encode_stratified", with_txn(SPLITF_CTE, _te_ctes(STRATIFIED_SQL), body=_TE_BODY))
+def q_target_encode_stratified(spark, sf_dir):
+    """Target encoding with seeded folds that hold each class's share to within one row."""
+    tr, va = splits(spark, sf_dir)
+    slim = tr.select("txn_id", "is_fraud", *TE_CATS)
+    return _target_encoded(en.stratified_folds(slim, "is_fraud", "txn_id"), va)
+
+
 _MED = ("med AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS col, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m FROM tr" for c in NUMS) + ")")
 

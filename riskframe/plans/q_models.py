@@ -59,7 +59,7 @@ def challenger_lr(spark, sf_dir):
     tri, vai = en.impute_median(tr, med, LR_NUMERIC), en.impute_median(va, med, LR_NUMERIC)
     st = en.scaler_stats(tri, LR_NUMERIC)
     tri, vai = en.standard_scale(tri, st, LR_NUMERIC), en.standard_scale(vai, st, LR_NUMERIC)
-    tri = tri.withColumn("fold", F.pmod(F.col("txn_id"), F.lit(5)))
+    tri = en.stratified_folds(tri, "is_fraud", "txn_id")
     te_tr, te_va = en.target_encode(tri, vai, LR_CATS)
     cols = [f"{c}_scaled" for c in LR_NUMERIC] + [f"{c}_te" for c in LR_CATS]
     return mo.train_linear(te_tr, cols), te_va, cols

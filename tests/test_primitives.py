@@ -3,6 +3,7 @@ key holding a third of all rows."""
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from riskframe.operators import prefix, quantiles, ranking
@@ -279,3 +280,67 @@ def test_checkpoint_folder_is_shared_or_refused():
         sparkContext, conf = Context, Conf()
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session)
+
+
+# ---- looking up without hot keys
+
+@pytest.fixture
+def by_shuffle(spark, monkeypatch):
+    """Nothing is broadcast for its size, and partitions stay as they are dealt."""
+    from riskframe.operators import lookup
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+
+
+def _hot_rows(spark, rows=40_000):
+    """80 % NULL, a tenth one value, the rest 2,000 values."""
+    part = F.pmod(F.col("id"), F.lit(10))
+    c = F.when(part < 8, F.lit(None).cast("string")).when(part == 8, F.lit("hot")).otherwise(
+        F.concat(F.lit("v"), F.pmod(F.xxhash64("id"), F.lit(2000)).cast("string")))
+    return spark.range(rows).repartition(4).select(F.col("id").alias("txn_id"), c.alias("c"),
+                                                   F.pmod(F.col("id"), F.lit(5)).alias("fold"),
+                                                   (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(7)) == 0).cast("int").alias("is_fraud"))
+
+
+def _even(df):
+    sizes = sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    return sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_ordinal_codes_with_hot_and_missing_values(spark, by_shuffle):
+    df = _hot_rows(spark)
+    out = en.apply_ordinal(df, en.ordinal_dictionary(df, ["c"]), ["c"])
+    assert out.columns == [*df.columns, "c_code"]
+    rows = out.collect()
+    rank = {v: float(i) for i, v in enumerate(sorted({r.c for r in rows if r.c is not None}))}
+    assert len(rows) == 40_000 and all(r.c_code == rank.get(r.c) for r in rows)
+    assert _even(out)
+
+
+def test_target_encoding_with_hot_and_missing_values(spark, by_shuffle, monkeypatch):
+    from riskframe.operators import lookup
+    df = _hot_rows(spark, 20_000)
+    tr, ot = en.target_encode(df, df.select("txn_id", "c"), ["c"])
+    shuffled = {r.txn_id: r.c_te for r in tr.collect()}, {r.txn_id: r.c_te for r in ot.collect()}
+    assert _even(tr) and _even(ot)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 1 << 30)
+    tr, ot = en.target_encode(df, df.select("txn_id", "c"), ["c"])
+    assert shuffled == ({r.txn_id: r.c_te for r in tr.collect()}, {r.txn_id: r.c_te for r in ot.collect()})
+
+
+def test_stratified_folds_hold_each_class(spark):
+    df = spark.range(1003).select((F.col("id") * 7 + (1 << 60)).alias("txn_id"), (F.col("id") % 9 == 0).cast("int").alias("is_fraud"))
+    folds = en.stratified_folds(df, "is_fraud", "txn_id")
+    counts = {}
+    for r in folds.groupBy("is_fraud", "fold").count().collect():
+        counts.setdefault(r.is_fraud, []).append(r["count"])
+    assert all(len(c) == 5 and max(c) - min(c) <= 1 for c in counts.values())
+    again = en.stratified_folds(df.repartition(7), "is_fraud", "txn_id")
+    assert sorted(folds.collect()) == sorted(again.collect())
+    other = en.stratified_folds(df, "is_fraud", "txn_id", seed=1)
+    assert sorted(other.collect()) != sorted(folds.collect())
