@@ -9,16 +9,18 @@ so a score shared by a third of all rows is still split over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.numeric import rnd
 from riskframe.operators.prefix import running_sum
+from riskframe.session import written
 
 # Review rates of the operational threshold table.
 REVIEW_RATES = (0.005, 0.01, 0.02, 0.03, 0.05, 0.10)
+MAX_GROUPS = 10_000             # groups whose totals are broadcast
 
 
 def score_table(df: DataFrame, score: str = "score", label: str = "is_fraud",
@@ -111,23 +113,59 @@ def top_k_caught(df: DataFrame, targets: DataFrame, score: str = "score",
              .otherwise(F.col("m")))).alias("caught")))
 
 
-def grouped_fdr(df: DataFrame, rates: Sequence[float], by: Sequence[str], score: str = "score",
-                label: str = "is_fraud", id_col: str = "txn_id") -> DataFrame:
-    """Detection rate at each review rate inside every group (one job for all groups).
+def grouped_metrics(counts: DataFrame, by: Sequence[str], rates: Sequence[float],
+                    rows_at: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """by..., n_rows, n_pos, roc_auc, pr_auc (unrounded) and fdr: an array with the detection rate
+    at each review rate, k = max(1, floor(n * rate)) in doubles.
 
-    Per group: k = max(1, floor(n * rate)) in doubles; output by..., tid, rate, k,
-    caught, fdr."""
+    counts: by..., score, n, pos (one row per group and distinct score). One running sum by
+    group gives the curves and the scores at which the reviews end; the groups' totals are
+    broadcast (their number is checked). Where a review ends inside a tie, ``rows_at`` is given
+    the few (by..., tid, threshold, m) and returns their rows (by..., tid, m, _id, _y), which are
+    ranked by id with another running sum."""
     by = list(by)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
-                                 F.sum(F.col(label).cast("long")).alias("_p"))
-    rate_arr = F.array(*[F.lit(float(r)) for r in rates])
-    tg = (counts.select(*by, "_n", "_p", F.posexplode(rate_arr).alias("tid", "rate"))
-                .withColumn("k", F.greatest(F.lit(1).cast("long"),
-                                            F.floor(F.col("_n").cast("double") * F.col("rate")).cast("long"))))
-    res = top_k_caught(df, tg.select(*by, "tid", "k"), score, label, id_col, by)
-    return res.join(tg.select(*by, "tid", "rate", "_p"), [*by, "tid"]).select(
-        *by, "tid", "rate", "k", "caught",
-        F.try_divide(F.col("caught").cast("double"), F.col("_p")).alias("fdr"))
+    counts = written(counts.select(*by, "score", "n", "pos"), "counts")
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_N"), F.sum("pos").alias("_P"))
+    few = totals.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
+    totals = totals.withColumnsRenamed({b: f"_g_{b}" for b in by})
+    match = F.lit(True)
+    for b in by:
+        match = match & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
+    up = running_sum(counts, "score", ["n", "pos"], by=by)
+    rows = up.join(F.broadcast(totals) if few else totals, match).drop(*[f"_g_{b}" for b in by])
+    neg, neg_cum = F.col("n") - F.col("pos"), F.col("n_cum") - F.col("pos_cum")
+    above = F.col("_N") - F.col("n_cum")                       # rows with a higher score
+    reached, caught = above + F.col("n"), F.col("_P") - F.col("pos_cum") + F.col("pos")
+    aggs = [F.max("_N").alias("n_rows"), F.max("_P").alias("n_pos"),
+            F.sum(F.col("pos") * (neg_cum - neg + neg / F.lit(2.0))).alias("_auc"),
+            F.sum(F.when(F.col("pos") > 0, F.col("pos") * (caught / reached)).otherwise(F.lit(0.0))).alias("_ap")]
+    for i, rate in enumerate(rates):
+        k = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_N").cast("double") * F.lit(float(rate))).cast("long"))
+        end = F.struct(F.col("score").alias("threshold"), (k - above).alias("m"), F.col("n").alias("tie_n"),
+                       F.col("pos").alias("tie_pos"), (caught - F.col("pos")).alias("before"))
+        aggs.append(F.max(F.when((above < k) & (reached >= k), end)).alias(f"_e{i}"))
+    found = written(rows.groupBy(*by).agg(*aggs), "groups")       # one row per group
+    ends = F.array(*[F.struct(F.lit(i).alias("tid"), F.col(f"_e{i}.threshold").alias("threshold"), F.col(f"_e{i}.m").alias("m"),
+                              F.col(f"_e{i}.tie_n").alias("tie_n"), F.col(f"_e{i}.tie_pos").alias("tie_pos")) for i in range(len(rates))])
+    inside = found.select(*by, F.explode(ends).alias("_t")).select(*by, "_t.*") \
+        .filter("m < tie_n AND tie_pos > 0 AND tie_pos < tie_n").select(*by, "tid", "threshold", "m")
+    out = found.withColumn("_ties", F.lit(None).cast("map<int,bigint>"))
+    if not inside.isEmpty():
+        ranked = running_sum(rows_at(inside).withColumn("_one", F.lit(1).cast("long")), "_id", ["_one", "_y"], by=[*by, "tid"])
+        # one entry per review rate
+        ties = ranked.filter(F.col("_one_cum") == F.col("m")).groupBy(*by).agg(
+            F.map_from_entries(F.collect_list(F.struct("tid", "_y_cum"))).alias("_ties")).withColumnsRenamed({b: f"_g_{b}" for b in by})
+        out = found.join(F.broadcast(ties) if few else ties, match, "left").drop(*[f"_g_{b}" for b in by])
+
+    def detected(i):
+        e = F.col(f"_e{i}")
+        tie = (F.when(e["m"] >= e["tie_n"], e["tie_pos"]).when(e["tie_pos"] == 0, F.lit(0).cast("long"))
+                .when(e["tie_pos"] == e["tie_n"], e["m"]).otherwise(F.try_element_at("_ties", F.lit(i))))
+        return F.try_divide((e["before"] + tie).cast("double"), F.col("n_pos"))
+    p = F.col("n_pos")
+    return out.select(*by, "n_rows", "n_pos", F.try_divide("_auc", (p * (F.col("n_rows") - p)).cast("double")).alias("roc_auc"),
+                      F.try_divide("_ap", p.cast("double")).alias("pr_auc"),
+                      F.array(*[detected(i) for i in range(len(rates))]).alias("fdr"))
 
 
 def _totals(df: DataFrame, label: str) -> tuple[int, int]:
@@ -237,15 +275,15 @@ def model_comparison(long: DataFrame, score: str = "score", label: str = "is_fra
                      id_col: str = "txn_id", group: str = "model") -> DataFrame:
     """Headline metrics per model from a long (model, id, label, score) table,
     all models in the same grouped jobs."""
-    aa = auc_ap(long, score, label, by=[group])
-    fd = grouped_fdr(long, (0.03, 0.05), [group], score, label, id_col)
-    f = fd.groupBy(group).agg(
-        F.max(F.when(F.col("tid") == 0, F.col("fdr"))).alias("fdr_at_3pct"),
-        F.max(F.when(F.col("tid") == 1, F.col("fdr"))).alias("fdr_at_5pct"))
-    return aa.join(f, group).select(
+    def rows_at(ends):
+        at = ends.withColumnRenamed(group, "_at")
+        rows = long.select(group, F.col(score).alias("_s"), F.col(id_col).alias("_id"), F.col(label).cast("long").alias("_y"))
+        return rows.join(F.broadcast(at), F.col(group).eqNullSafe(F.col("_at")) & (F.col("_s") == F.col("threshold"))).select(
+            group, "tid", "m", "_id", "_y")                     # models x review rates
+    found = grouped_metrics(score_table(long, score, label, [group]), [group], (0.03, 0.05), rows_at)
+    return found.select(
         group, rnd("roc_auc", 4).alias("roc_auc"), rnd("pr_auc", 4).alias("pr_auc"),
-        rnd("fdr_at_3pct", 4).alias("fdr_at_3pct"), rnd("fdr_at_5pct", 4).alias("fdr_at_5pct"),
-        F.col("n_rows"))
+        rnd(F.col("fdr")[0], 4).alias("fdr_at_3pct"), rnd(F.col("fdr")[1], 4).alias("fdr_at_5pct"), F.col("n_rows"))
 
 
 def top_k_by_score(df: DataFrame, k: int, score: str = "score", id_col: str = "txn_id") -> DataFrame:
