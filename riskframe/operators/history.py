@@ -6,7 +6,7 @@ at once, as one grouped job or one join, instead of a loop of point lookups.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.numeric import mean_half_up, rnd
@@ -24,37 +24,50 @@ def lookback_filter(df: DataFrame, days: int, order: str = "dt") -> DataFrame:
     return df.filter(F.col(order) >= F.lit(max_dt - days * SECONDS_PER_DAY))
 
 
-def _history_aggs(amt: str, product: str, email: str, hour: str):
+EMAILS = "unique_email_domains"
+
+
+def _history_aggs(amt: str, product: str, hour: str):
     return [
         F.count(F.lit(1)).alias("n_transactions_in_window"),
         rnd(F.sum(amt), 2).alias("total_amount"),
         mean_half_up(amt, 2).alias("mean_amount"),
         rnd(F.max(amt), 2).alias("max_amount"),
         rnd(F.min(amt), 2).alias("min_amount"),
-        # distinct sets are bounded by the value domains (products, domains, 25 hours)
+        # product codes are a short list, hours at most 25; mail domains are not bounded: ``first_values``
         F.array_join(F.array_sort(F.collect_set(product)), ",").alias("unique_products"),
-        F.array_join(F.slice(F.array_sort(F.collect_set(email)), 1, 5), ",").alias("unique_email_domains"),
         F.array_join(F.array_sort(F.collect_set(F.bround(F.col(hour), 0).cast("int"))), ",")
          .alias("hours_active"),
     ]
 
 
+def first_values(df: DataFrame, key: str, value: str, out: str, most: int = 5) -> DataFrame:
+    """key, out: the ``most`` smallest distinct values of each key, comma separated. Pairs are made
+    distinct by (key, value), so a key with millions of values is spread over the tasks, and the
+    rank limit is taken inside each task before rows meet by key."""
+    pairs = df.filter(F.col(value).isNotNull()).select(key, F.col(value).alias("_v")).distinct()
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_v"))).filter(F.col("_r") <= most)
+    return ranked.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("_v")), ",").alias(out))     # at most `most`
+
+
 def customer_history_all(df: DataFrame, days: int = 30, card: str = "card_id",
                          amt: str = "amt", product: str = "product", email: str = "email",
                          hour: str = "tx_hour", order: str = "dt") -> DataFrame:
     """For every card: window statistics over the last ``days`` days of the table.
 
     One grouped pass over all rows: the inputs are masked to the window, so a
-    card with history but none inside the window gets a zero-count row without
-    a second scan or a join."""
+    card with history but none inside the window gets a zero-count row. The mail domains
+    come from a bounded aggregate of their own, joined by card (one row each)."""
     max_dt = df.agg(F.max(order)).first()[0]
     if max_dt is None:
         return df.sparkSession.createDataFrame([], f"{card} long, n_transactions_in_window long")
     inw = F.col(order) >= F.lit(max_dt - days * SECONDS_PER_DAY)
     x = df.select(card, inw.alias("_in"), *[F.when(inw, F.col(c)).alias(f"_w_{c}") for c in (amt, product, email, hour)])
-    aggs = _history_aggs(f"_w_{amt}", f"_w_{product}", f"_w_{email}", f"_w_{hour}")
+    aggs = _history_aggs(f"_w_{amt}", f"_w_{product}", f"_w_{hour}")
     aggs[0] = F.count(F.when(F.col("_in"), 1)).alias("n_transactions_in_window")
-    agg = x.groupBy(card).agg(*aggs)
+    emails = first_values(x, card, f"_w_{email}", "_mails").withColumnRenamed(card, "_card")
+    agg = x.groupBy(card).agg(*aggs).join(emails, F.col(card).eqNullSafe(F.col("_card")), "left") \
+        .withColumn(EMAILS, F.coalesce("_mails", F.lit(""))).drop("_card", "_mails")
     has = F.col("n_transactions_in_window") > 0
     return agg.select(card, "n_transactions_in_window", *[
         F.when(has, F.col(c)).alias(c) for c in agg.columns if c not in (card, "n_transactions_in_window")]
@@ -66,9 +79,11 @@ def customer_history(df: DataFrame, card_id: int, days: int = 30, **kw) -> DataF
     unknown or has no rows in the window."""
     card = kw.get("card", "card_id")
     window = lookback_filter(df, days, kw.get("order", "dt"))
-    one = window.filter(F.col(card) == F.lit(card_id)).agg(
-        *_history_aggs(kw.get("amt", "amt"), kw.get("product", "product"),
-                       kw.get("email", "email"), kw.get("hour", "tx_hour")))
+    own = window.filter(F.col(card) == F.lit(card_id))
+    # five values at most
+    mails = [r[0] for r in own.select(kw.get("email", "email")).na.drop().distinct().orderBy(kw.get("email", "email")).limit(5).collect()]
+    one = own.agg(*_history_aggs(kw.get("amt", "amt"), kw.get("product", "product"), kw.get("hour", "tx_hour"))) \
+        .withColumn(EMAILS, F.lit(",".join(mails)))
     known = df.filter(F.col(card) == F.lit(card_id)).limit(1).count() > 0
     note = (F.when(F.col("n_transactions_in_window") > 0, F.lit(None).cast("string"))
              .otherwise(F.lit("No transaction history found for this card." if not known

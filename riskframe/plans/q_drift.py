@@ -168,6 +168,13 @@ def q_ks_two_sample(spark, sf_dir):
     return dr.ks_test(tr, va, "score")
 
 
+@register("ks_two_sample_auto")
+def q_ks_two_sample_auto(spark, sf_dir):
+    """Two-sample KS on the score, train vs val, with the exact p-value for small samples."""
+    tr, va = splits(spark, sf_dir)
+    return dr.ks_test_auto(tr, va, "score")
+
+
 _SR_CTES, _SR_BODY = _score_report_sql("tr", "va", "val (deployment)", "s_")
 
 

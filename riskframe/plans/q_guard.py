@@ -330,7 +330,29 @@ def q_report_kappa_all(spark, sf_dir):
     return ag.cohen_kappa(all_results(spark, sf_dir))
 
 
-@register("extract_json")
+_EXTRACT_SQL = r"""
+WITH texts AS (
+  SELECT 'conversations' AS source_table, concat_ws(':', conv_id, turn) AS id, text FROM conversations
+  UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages
+  UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), text FROM documents),
+parts AS (SELECT source_table, id, regexp_extract(text, '```(?:json)?\s*(\{.*?\})\s*```', 1, 's') AS fenced,
+    CASE WHEN instr(text, '{') > 0 THEN substr(text, instr(text, '{')) END AS rest FROM texts),
+ends AS (SELECT *, CASE WHEN rest IS NOT NULL AND coalesce(fenced, '') = '' THEN
+    list_reduce(regexp_extract_all(rest, '[\\"{}]|[^\\"{}]+'), lambda s, t: CASE WHEN s.e > 0 THEN s ELSE {
+      'd': CAST(s.d + CASE WHEN s.x OR s.q THEN 0 WHEN t = '{' THEN 1 WHEN t = '}' THEN -1 ELSE 0 END AS INTEGER),
+      'q': CASE WHEN NOT s.x AND t = '"' THEN NOT s.q ELSE s.q END,
+      'x': NOT s.x AND s.q AND t = '\',
+      'n': CAST(s.n + length(t) AS INTEGER),
+      'e': CAST(CASE WHEN s.d + CASE WHEN s.x OR s.q THEN 0 WHEN t = '{' THEN 1 WHEN t = '}' THEN -1 ELSE 0 END = 0
+                THEN s.n + length(t) ELSE 0 END AS INTEGER)} END,
+      {'d': CAST(0 AS INTEGER), 'q': false, 'x': false, 'n': CAST(0 AS INTEGER), 'e': CAST(0 AS INTEGER)}).e END AS stop FROM parts),
+found AS (SELECT source_table, id, CASE WHEN fenced <> '' THEN 'fence' WHEN stop > 0 THEN 'walk' END AS method,
+    CASE WHEN fenced <> '' THEN fenced WHEN stop > 0 THEN substr(rest, 1, stop) END AS json_text FROM ends)
+SELECT source_table, id, method, json_text, coalesce(json_valid(json_text), false) AS is_valid,
+  CASE WHEN json_valid(json_text) THEN CAST(len(json_keys(json_text)) AS INTEGER) END AS n_keys FROM found"""
+
+
+@register("extract_json", _EXTRACT_SQL)
 def q_extract_json(spark, sf_dir):
     """First JSON object (fenced block, else balanced-brace walk) of every conversation
     turn, page and document text, whole texts; validity by parsing."""

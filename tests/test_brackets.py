@@ -137,3 +137,38 @@ def test_drift_plans_do_not_join_on_features(spark):
             assert "SortMergeJoin [feature" not in plan and "SortMergeJoin [side" not in plan, name
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_exact_ks_equals_path_counts(spark):
+    from fractions import Fraction
+    from functools import cache
+
+    for n, m in ((1, 1), (3, 5), (7, 7), (12, 9), (20, 33)):
+        for gap in {0, 1, n, m, n * m // 3, n * m // 2, n * m}:
+            @cache
+            def inside(i, j):
+                if i < 0 or j < 0 or abs(i * m - j * n) >= gap:
+                    return 0
+                return 1 if i == j == 0 else inside(i - 1, j) + inside(i, j - 1)
+            expected = 1 - Fraction(inside(n, m), math.comb(n + m, n))
+            assert math.isclose(dr.exact_ks_p(n, m, gap), float(expected), abs_tol=1e-12)
+    r = np.random.default_rng(2)
+    a, b = (spark.createDataFrame(pd.DataFrame({"x": v})) for v in (r.random(60), r.random(80) + 0.2))
+    small, large = dr.ks_test_auto(a, b, "x").first(), dr.ks_test_auto(a, b, "x", exact_up_to=79).first()
+    assert small.method == "exact" and large.method == "asymptotic" and small.ks_statistic == large.ks_statistic
+    assert large.p_value == dr.ks_test(a, b, "x").first().p_value and abs(small.p_value - large.p_value) < 0.01
+    assert dr.ks_test_auto(a, b.limit(0), "x").first().p_value is None
+    assert abs(dr.exact_ks_p(3000, 2000, int(0.05 * 6_000_000)) - 0.004) < 0.002        # no overflow
+
+
+def test_first_values_of_a_hot_key(spark):
+    from riskframe.operators.history import first_values
+    rows = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("id") % 50).alias("card"),
+                                      F.concat(F.lit("d"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("mail"))
+    got = {r.card: r.m for r in first_values(rows, "card", "mail", "m").collect()}
+    expected = {}
+    for i in range(60_000):
+        expected.setdefault(1 if i % 2 == 0 else i % 50, []).append(f"d{i:06d}")
+    assert got == {k: ",".join(v[:5]) for k, v in expected.items()}
+    plan = first_values(rows, "card", "mail", "m")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

@@ -48,13 +48,38 @@ def test_pii_patterns(spark):
     assert out[7]["card_number"] == 1                # decimals hit the card pattern (kept as is)
 
 
-def test_balanced_object_walk():
+def walked(text):
+    """The balanced object character by character."""
+    start = -1 if text is None else text.find("{")
+    depth, quoted, escaped = 0, False, False
+    for i in range(start, len(text)) if start >= 0 else ():
+        c = text[i]
+        if escaped:
+            escaped = False
+        elif quoted and c == "\\":
+            escaped = True
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c in "{}":
+            depth += 1 if c == "{" else -1
+            if depth == 0:
+                return text[start:i + 1]
+    return None
+
+
+def test_balanced_object_walk(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
     from riskframe.operators.extract import balanced_object
-    assert balanced_object('x {"a": "}{", "b": {"c": 1}} y') == '{"a": "}{", "b": {"c": 1}}'
-    assert balanced_object('{"a": "\\"}"} tail') == '{"a": "\\"}"}'
-    assert balanced_object("no braces") is None
-    assert balanced_object("{unclosed") is None
-    assert balanced_object(None) is None
+    r = random.Random(4)
+    texts = ['x {"a": "}{", "b": {"c": 1}} y', '{"a": "\\"}"} tail', "no braces", "{unclosed", None, "", "}{}", '{"é😀": 1} x', '\\"{ "a"}',
+             '{"a\\\\"}"} {}', "{" * 300 + "}" * 300, '{"' + "\\n" * 20000 + '"}']
+    texts += ["".join(r.choice('{}"\\ax\n') for _ in range(r.randrange(30))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {x.i: x.o for x in rows.select("i", balanced_object(F.col("t")).alias("o")).collect()}
+    assert [got[i] for i in range(len(texts))] == [walked(t) for t in texts]
 
 
 def test_extract_json_prefers_fence(spark):

@@ -23,11 +23,24 @@ def test_no_temporal_leakage(fixture_txn):
     assert r["no_leakage"]
 
 
-def test_order_kept_in_both_splits(fixture_txn, spark):
-    s = sp.time_split(fixture_txn, 0.2)
-    for side in ("train", "val"):
-        part = od.sorted_by_range(s.filter(F.col("split") == side), ["dt", "txn_id"], 8)
-        assert od.order_violations(part, "dt").first()["n_violations"] == 0
+def test_order_kept_in_both_splits(fixture_txn, spark, tmp_path):
+    s = od.sorted_by_range(sp.time_split(fixture_txn, 0.2), ["split", "dt", "txn_id"], 6)
+    s.write.partitionBy("split").parquet(str(tmp_path / "t"))
+    out = {r.split: r for r in od.written_order(spark.read.parquet(str(tmp_path / "t")), "dt").collect()}
+    assert set(out) == {"train", "val"} and sum(r.n_rows for r in out.values()) == s.count()
+    assert all(r.n_violations == 0 for r in out.values()) and out["train"].n_files > 1
+
+
+def test_planted_swaps_are_counted(spark, tmp_path):
+    """A row out of order inside a file, two files in the wrong order, NULL times between."""
+    files = [[1, 2, 5, 3, None, 4], [None], [9, 10], [6, 7, 8]]
+    for i, values in enumerate(files):
+        spark.createDataFrame([(v,) for v in values], "dt long").coalesce(1).write.parquet(str(tmp_path / f"f{i}"))
+        (tmp_path / "t" / "split=val").mkdir(parents=True, exist_ok=True)
+        part = next((tmp_path / f"f{i}").glob("*.parquet"))
+        (tmp_path / "t" / "split=val" / f"part-{i:05d}.parquet").write_bytes(part.read_bytes())
+    out = od.written_order(spark.read.parquet(str(tmp_path / "t")), "dt").collect()
+    assert [(r.n_rows, r.n_files, r.n_violations) for r in out] == [(12, 4, 2)]
 
 
 def test_unseen_category_is_missing(fixture_txn):
