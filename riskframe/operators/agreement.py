@@ -17,10 +17,10 @@ DEFAULT_PRIORITY = 5
 
 
 def case_results(cases: DataFrame, reports: DataFrame) -> DataFrame:
-    """Cases left joined with their reports by transaction id (a case without a
-    report predicts escalate)."""
-    r = reports.select(F.col("txn_id").alias("transaction_id"), "recommended_action", "priority_raw", "error")
-    j = cases.join(r, "transaction_id", "left")
+    """Cases left joined with the reports of their runs by eval_id (a case without a report
+    predicts escalate). Two cases on one transaction keep their own reports."""
+    r = reports.select("eval_id", "recommended_action", "priority_raw", "error")
+    j = cases.join(r, "eval_id", "left")
     return j.withColumns({
         "expected": action_ordinal(F.col("expected_action")),
         "predicted": action_ordinal(F.col("recommended_action")),

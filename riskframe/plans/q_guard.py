@@ -232,13 +232,16 @@ cr AS (
 
 
 def case_results(spark, sf_dir):
-    return ag.case_results(eval_set(spark, sf_dir), rp.reports(spark, sf_dir))
+    """Each case with the report of its run, which carries the case's eval_id."""
+    cases = eval_set(spark, sf_dir)
+    runs = rp.reports(spark, sf_dir).join(F.broadcast(cases.select("eval_id", F.col("transaction_id").alias("txn_id"))), "txn_id")   # 30 cases
+    return ag.case_results(cases, runs)
 
 
 @register("join_case_results", with_txn(_CASE_RES, body="""
 SELECT eval_id, transaction_id, expected_action, recommended_action, error FROM cr"""))
 def q_join_case_results(spark, sf_dir):
-    """Evaluation cases left joined with their reports by transaction id."""
+    """Evaluation cases left joined with the reports of their runs by eval_id."""
     return case_results(spark, sf_dir).select("eval_id", "transaction_id", "expected_action",
                                               "recommended_action", "error")
 

@@ -6,11 +6,10 @@
   a batch read of that table (``psi_from_bins``).
 * ``guard_rates_stream``: weekly guardrail pass rates of streamed reports.
 
-Both use event-time watermarks and update output mode. The sink is a
-versioned snapshot table in the shared checkpoint folder: each micro-batch
-writes ``v=<epoch>`` = previous snapshot with the updated keys replaced, so a
-replayed batch rewrites the same version (idempotent) and a reader takes the
-highest version.
+Both use event-time watermarks and update output mode; an event that arrives twice inside the
+watermark counts once. The sink is a table by window in the shared checkpoint folder
+(``window_upsert``): a micro-batch rewrites only the windows it touches, a replayed batch rewrites
+the same version, and files of other windows stay as they are.
 """
 
 from __future__ import annotations
@@ -18,8 +17,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskframe.functions.numeric import rnd
 from riskframe.operators import guardrails as gr
@@ -45,71 +46,53 @@ def txn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txn_from_events(events_stream(spark, sf_dir), identity_side(spark, sf_dir), event_time=True)
 
 
-def snapshot_upsert(base: str, keys: Sequence[str]):
-    """foreachBatch writer: new version = previous snapshot minus updated keys plus the batch."""
+def window_upsert(base: str, schema: StructType, keys: Sequence[str], window: str = "window_start"):
+    """foreachBatch writer of a table kept by window: only the windows a batch touches are written
+    again (their rows without the updated keys, and the batch's), under data/v=<epoch>. A manifest
+    per epoch says which version holds each window; it is written last, so a reader sees a batch
+    whole or not at all, and a replayed batch starts from the manifest before its own."""
     keys = list(keys)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        prev_dir = _latest_version(spark, base)
-        target = f"{base}/v={epoch_id:010d}"
-        if prev_dir is not None and prev_dir != target:
-            prev = spark.read.parquet(prev_dir)
-            rows = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        elif prev_dir == target:      # a replayed batch: rebuild from the version before it
-            older = _older_version(spark, base, epoch_id)
-            if older is not None:
-                prev = spark.read.parquet(older)
-                rows = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        rows.write.mode("overwrite").parquet(target)
-        _drop_before(spark, base, prev_dir if prev_dir != target else target)
+        batch = batch.persist()
+        touched = [r[0] for r in batch.select(window).distinct().collect()]      # windows still open
+        if touched:
+            held = _manifest(spark, base, epoch_id)
+            rows, old = batch, {w: held[w] for w in touched if w in held}
+            if old:
+                rows = _windows(spark, base, schema, old, window).join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+            rows.select(*schema.names).write.mode("overwrite").partitionBy(window).parquet(f"{base}/data/v={epoch_id:010d}")
+            now = sorted((held | {w: epoch_id for w in touched}).items())
+            spark.createDataFrame(now, f"{window} long, version long").coalesce(1).write.mode("overwrite").parquet(
+                f"{base}/manifest/epoch={epoch_id:010d}")
+        batch.unpersist()
     return write
 
 
-def _drop_before(spark: SparkSession, base: str, keep: str | None) -> None:
-    """Remove the versions older than ``keep``; a replay needs the one before its own only."""
-    if keep is None:
-        return
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    last = keep.rsplit("/", 1)[1]
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and name < last:
-            fs.delete(st.getPath(), True)
-
-
-def _latest_version(spark: SparkSession, base: str) -> str | None:
-    """Directory of the highest committed version (a listing, no data read)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = [st.getPath().getName() for st in fs.listStatus(path) if st.isDirectory()]
-    done = [n for n in names if n.startswith("v=")
-            and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS"))]
-    return f"{base}/{max(done)}" if done else None
-
-
-def _older_version(spark: SparkSession, base: str, epoch_id: int) -> str | None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(st.getPath().getName() for st in fs.listStatus(path) if st.isDirectory())
-    older = [n for n in names if n.startswith("v=") and n < f"v={epoch_id:010d}"
-             and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS"))]
-    return f"{base}/{older[-1]}" if older else None
-
-
-def latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    """The newest complete version (versions are zero-padded epoch ids)."""
-    v = _latest_version(spark, base)
-    if v is None:
-        raise FileNotFoundError(base)
-    return spark.read.parquet(v)
+def _manifest(spark: SparkSession, base: str, before: int | None = None) -> dict[int, int]:
+    """Window -> version by the newest manifest (of an epoch below ``before``)."""
+    try:
+        rows = spark.read.parquet(f"{base}/manifest")
+    except AnalysisException as e:                  # nothing written yet
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return {}
+    if before is not None:
+        rows = rows.filter(F.col("epoch") < before)
+    newest = rows.agg(F.max("epoch")).first()[0]
+    return {r[0]: r[1] for r in rows.filter(F.col("epoch") == newest).drop("epoch").collect()} if newest is not None else {}
+
+
+def _windows(spark: SparkSession, base: str, schema: StructType, versions: dict[int, int], window: str) -> DataFrame:
+    paths = [f"{base}/data/v={v:010d}/{window}={w}" for w, v in versions.items()]
+    return spark.read.schema(schema).option("basePath", f"{base}/data").parquet(*paths).select(*schema.names)
+
+
+def latest_snapshot(spark: SparkSession, base: str, schema: StructType, window: str = "window_start") -> DataFrame:
+    """Every window by its newest version."""
+    held = _manifest(spark, base)
+    return _windows(spark, base, schema, held, window) if held else spark.createDataFrame([], schema)
 
 
 def _run(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -117,20 +100,25 @@ def _run(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:10]}"
     q = (df.writeStream.outputMode("update")
          .option("checkpointLocation", root + "/_checkpoint")
-         .foreachBatch(snapshot_upsert(root + "/table", keys))
+         .foreachBatch(window_upsert(root + "/table", df.schema, keys))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest_snapshot(spark, root + "/table")
+    return latest_snapshot(spark, root + "/table", df.schema)
+
+
+def _once(txn: DataFrame, watermark: str, id_col: str = "txn_id") -> DataFrame:
+    """A stream with its watermark, each event once; a batch frame as it is."""
+    if not txn.isStreaming:
+        return txn
+    return txn.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([id_col])
 
 
 def score_bins(txn: DataFrame, edges: Sequence[float], window: str = "7 days",
                watermark: str = "30 days") -> DataFrame:
     """(window_start, bin, n): the streaming aggregation (works on batch frames too)."""
     arr = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-    binned = txn.filter(F.col("score").isNotNull()).select(
+    binned = _once(txn.filter(F.col("score").isNotNull()), watermark).select(
         "event_time", F.size(F.filter(arr, lambda e: e <= F.col("score"))).alias("bin"))
-    if txn.isStreaming:
-        binned = binned.withWatermark("event_time", watermark)
     agg = binned.groupBy(F.window("event_time", window).alias("w"), "bin").agg(F.count(F.lit(1)).alias("n"))
     return agg.select(F.unix_seconds(F.col("w.start")).alias("window_start"), "bin", "n")
 
@@ -157,9 +145,7 @@ def psi_from_bins(bins: DataFrame, ref_counts: DataFrame, n_bins: int) -> DataFr
 
 def guard_rates(txn: DataFrame, window: str = "7 days", watermark: str = "30 days") -> DataFrame:
     """(window_start, reports, passing counts per check): weekly pass rates."""
-    g = gr.guard_all(rp.build_reports(txn, keep=["event_time"]))
-    if txn.isStreaming:
-        g = g.withWatermark("event_time", watermark)
+    g = gr.guard_all(rp.build_reports(_once(txn, watermark), keep=["event_time"]))
     agg = g.groupBy(F.window("event_time", window).alias("w")).agg(
         F.count(F.lit(1)).alias("n_reports"),
         F.sum(F.col("all_passed").cast("long")).alias("n_all_passed"),

@@ -1,6 +1,7 @@
 """Tree contributions add up to the model's log-odds; plan shape checks."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from riskframe.functions.features import build_features
@@ -47,6 +48,35 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stop_by_ranking_equals_brute_force(spark):
+    """AUC after each round, from the staged counts and from scoring with every prefix; the label
+    depends on the inputs, so it rises and then falls off."""
+    from pyspark.ml.functions import vector_to_array
+
+    from riskframe.operators import models as mo
+    r = np.random.default_rng(8)
+    x = r.normal(size=(900, 3)).round(2)
+    p = 1 / (1 + np.exp(-(1.5 * x[:, 0] + x[:, 1] * x[:, 2])))
+    pdf = pd.DataFrame({"x": x[:, 0], "y": x[:, 1], "z": x[:, 2], "is_fraud": (r.random(900) < p).astype(int), "is_valid": np.arange(900) % 3 == 0})
+    rows, cols = spark.createDataFrame(pdf).repartition(3), ["x", "y", "z"]
+    full = mo.train_boosted(rows.filter("NOT is_valid"), cols, max_iter=24, max_depth=3)
+    valid = rows.filter("is_valid")
+    got = mo.prefix_auc(full, valid, cols, "is_fraud")
+    expected = []
+    for k in range(1, 25):
+        scored = mo.first_trees(full, k).transform(mo.assemble(valid, cols)).select(
+            "is_fraud", vector_to_array("rawPrediction")[1].alias("s")).toPandas()
+        s, y = scored.s.to_numpy().round(12), scored.is_fraud.to_numpy()
+        expected.append(np.mean([((s[y == 0] < v).sum() + (s[y == 0] == v).sum() / 2) / (y == 0).sum() for v in s[y == 1]]))
+    assert len(got) == 24 and np.allclose(got, expected, atol=1e-9)
+    assert mo.prefix_auc(full, valid, cols, "is_fraud", first=20) == got[20:]
+    model = mo.train_boosted(rows, cols, valid_col="is_valid", max_iter=24, max_depth=3, patience=24)
+    own = mo.prefix_auc(model, valid, cols, "is_fraud")
+    assert len(own) == model.getNumTrees == 1 + int(np.argmax(own))
+    one_class = rows.filter("NOT is_valid OR is_fraud = 0")
+    assert mo.train_boosted(one_class, cols, valid_col="is_valid", max_iter=4, max_depth=2).getNumTrees >= 1
+
+
 def test_running_sum_window_is_partitioned(spark):
     st = ranking.score_table(txn(spark, SF0001))
     plan = _plan(prefix.running_sum(st, "score", ["n"], buckets=4))
@@ -77,6 +107,45 @@ def test_stream_bins_equal_batch(spark):
         sorted(tuple(r) for r in batch.select(*key).collect())
 
 
+def test_stream_sink_rewrites_touched_windows_only(spark, tmp_path):
+    """A replayed and a late batch, and files of windows that a batch does not touch."""
+    from riskframe.streaming import monitors as mon
+    base = str(tmp_path / "t")
+    schema = spark.createDataFrame([], "window_start long, bin int, n long").schema
+
+    def batch(*rows):
+        return spark.createDataFrame(list(rows), schema)
+
+    def state():
+        return sorted(tuple(r) for r in mon.latest_snapshot(spark, base, schema).collect())
+
+    def files(w):
+        return {(p.name, p.stat().st_mtime_ns) for p in (tmp_path / "t").rglob(f"window_start={w}/*.parquet")}
+    write = mon.window_upsert(base, schema, ["window_start", "bin"])
+    assert state() == []
+    write(batch((100, 0, 5), (100, 1, 2), (200, 0, 7)), 0)
+    first = files(200)
+    write(batch((100, 1, 3), (300, 0, 1)), 1)
+    expected = [(100, 0, 5), (100, 1, 3), (200, 0, 7), (300, 0, 1)]
+    assert state() == expected and files(200) == first
+    write(batch((100, 1, 3), (300, 0, 1)), 1)               # the same batch again
+    assert state() == expected and files(200) == first
+    write(batch(), 2)
+    write(batch((200, 1, 4)), 3)                            # late rows of an older window
+    assert state() == sorted(expected + [(200, 1, 4)])
+
+
+def test_stream_counts_a_repeated_event_once(spark, tmp_path):
+    from conftest import SF0001
+    from riskframe.streaming import monitors as mon
+    events = spark.read.parquet(f"{SF0001}/events.parquet")
+    events.repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    events.limit(300).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    spark.read.parquet(f"{SF0001}/customer.parquet").write.parquet(str(tmp_path / "customer.parquet"))
+    once, twice = (sorted(tuple(r) for r in mon.score_bins_stream(spark, p, [0.2, 0.6]).collect()) for p in (SF0001, str(tmp_path)))
+    assert once == twice
+
+
 def test_stream_guard_rates_equal_batch(spark):
     from riskframe.sources.tables import identity_side, table, txn_from_events
     from riskframe.streaming import monitors as mon
