@@ -23,6 +23,7 @@ REQUIRED_FIELDS = {            # report key -> our column
     "adverse_action_reason_codes": "reason_codes",
     "supporting_evidence": "evidence",
 }
+LISTS = ["adverse_action_reason_codes", "supporting_evidence"]
 VALID_RISK = ["low", "medium", "high"]
 VALID_ACTION = ["auto_approve", "escalate", "auto_decline"]
 MIN_NARRATIVE = 20
@@ -40,9 +41,14 @@ def _present(c: str) -> Column:
     return F.col(c).isNotNull()
 
 
+def _wrong_type(r: DataFrame, key: str) -> Column:
+    """Whether the report has the key with a value of another type (known for reports read from JSON)."""
+    return F.coalesce(F.array_contains("wrong_types", key), F.lit(False)) if "wrong_types" in r.columns else F.lit(False)
+
+
 def schema_check(r: DataFrame) -> DataFrame:
     """schema_issues (count) and schema_passed."""
-    missing = sum((~_present(c)).cast("int") for c in REQUIRED_FIELDS.values())
+    missing = sum((~_present(c) & ~_wrong_type(r, key)).cast("int") for key, c in REQUIRED_FIELDS.items())
     bad_risk = (_present("risk_assessment") & ~F.col("risk_assessment").isin(VALID_RISK)).cast("int")
     bad_action = (_present("recommended_action") & ~F.col("recommended_action").isin(VALID_ACTION)).cast("int")
     is_int = F.col("priority_raw").rlike(r"^-?[0-9]+$")
@@ -54,9 +60,11 @@ def schema_check(r: DataFrame) -> DataFrame:
         + e["value"].isNull().cast("int"))).otherwise(F.lit(0))
     # reports read from JSON bring the number of keys that are not there; a null value is not a missing key
     ev_missing = F.coalesce("evidence_missing", ev_absent) if "evidence_missing" in r.columns else ev_absent
-    short = (_present("sar_narrative") & (F.length("sar_narrative") < MIN_NARRATIVE)).cast("int")
+    not_text = _wrong_type(r, "sar_narrative")
+    short = ((_present("sar_narrative") & (F.length("sar_narrative") < MIN_NARRATIVE)) | not_text).cast("int")
+    no_list = sum(_wrong_type(r, key).cast("int") for key in LISTS)
     # missing keys are reported as one issue
-    n = (F.when(missing > 0, 1).otherwise(0) + bad_risk + bad_action + bad_prio + ev_missing + short)
+    n = (F.when(missing > 0, 1).otherwise(0) + bad_risk + bad_action + bad_prio + ev_missing + short + no_list)
     return r.withColumns({"schema_issues": n, "schema_passed": n == 0})
 
 
@@ -127,7 +135,7 @@ def guard_all(r: DataFrame, strict: bool = False) -> DataFrame:
 def findings(r: DataFrame) -> DataFrame:
     """Why a report fails: per check the list of what was found.
 
-    schema_issues_found (``missing:<key>``, ``invalid:<key>``, ``missing:evidence.<key>``),
+    schema_issues_found (``missing:<key>``, ``invalid:<key>``, ``type:<key>``, ``missing:evidence.<key>``),
     cited_features, invented_features, pii_types, violations, warnings. The lists
     explain the flags of ``guard_all``, which stay as they are."""
     def some(*pairs):
@@ -135,7 +143,8 @@ def findings(r: DataFrame) -> DataFrame:
     prio_int = F.col("priority_raw").rlike(r"^-?[0-9]+$")
     prio = F.when(prio_int, F.col("priority_raw").cast("decimal(38,0)"))
     schema = some(
-        *[(f"missing:{key}", ~_present(c)) for key, c in REQUIRED_FIELDS.items()],
+        *[(f"missing:{key}", ~_present(c) & ~_wrong_type(r, key)) for key, c in REQUIRED_FIELDS.items()],
+        *[(f"type:{key}", _wrong_type(r, key)) for key in (*LISTS, "sar_narrative")],
         ("invalid:risk_assessment", _present("risk_assessment") & ~F.col("risk_assessment").isin(VALID_RISK)),
         ("invalid:recommended_action", _present("recommended_action") & ~F.col("recommended_action").isin(VALID_ACTION)),
         ("invalid:priority_score", _present("priority_raw") & ~F.coalesce(prio_int & prio.between(1, 10), F.lit(False))),
