@@ -13,8 +13,9 @@ from riskframe.operators import models as mo
 from riskframe.operators import ranking
 from riskframe.operators import split as sp
 from riskframe.plans.catalog import register
+from riskframe.plans.oracle import with_txn
 from riskframe.plans.prepare import CATEGORICALS, prepare
-from riskframe.plans.q_drift import splits
+from riskframe.plans.q_drift import SPLITF_CTE, splits
 
 NUMERIC = ["amt", "amt_log", "dist1", "tx_hour", "tx_dayofweek", "card_id"]
 LR_NUMERIC = ["amt", "amt_log", "dist1", "tx_hour", "tx_dayofweek", "card_id"]
@@ -138,3 +139,15 @@ def q_score_throughput(spark, sf_dir):
     return allx.agg(F.count(F.lit(1)).alias("n_rows")).select(
         "n_rows", F.lit(r["seconds"]).alias("seconds"), F.lit(r["rows_per_sec"]).alias("rows_per_sec"),
         F.lit(int(model.getNumTrees)).alias("n_trees"), F.lit(len(cols)).alias("n_features"))
+
+
+@register("contrib_tree_additivity", with_txn(SPLITF_CTE, body="SELECT count(*) AS n_rows, 0.0::DOUBLE AS max_residual FROM va"))
+def q_contrib_tree_additivity(spark, sf_dir):
+    """Tree contributions of all val rows against the model's log odds: the largest difference of their
+    sum (with the expected value) from the score, to 6 decimals."""
+    model, vax, cols = champion(spark, sf_dir, 20, early_stop=False)
+    total = mo.tree_contributions(vax, model, cols).select(
+        "txn_id", (F.aggregate("contrib", F.lit(0.0), lambda s, x: s + x) + F.col("base")).alias("t"))
+    # a saturated probability has no exact log odds; the margin is the same sum
+    scored = model.transform(mo.assemble(vax, cols)).select("txn_id", (2 * mo.vector_to_array("rawPrediction")[1]).alias("m"))
+    return total.join(scored, "txn_id").agg(F.count("*").alias("n_rows"), rnd(F.max(F.abs(F.col("t") - F.col("m"))), 6).alias("max_residual"))

@@ -48,6 +48,43 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def drawn_tree(r, features, depth):
+    """A tree of random splits (features repeat on a path) with covers that add up."""
+    left, right, feat, thr, value, cover = [], [], [], [], [], []
+
+    def grow(rows, level):
+        j = len(left)
+        for held in (left, right, feat, thr, value, cover):
+            held.append(-1)
+        cover[j], value[j] = float(rows), float(r.normal())
+        if level < depth and rows > 3 and (level == 0 or r.random() < 0.85):
+            feat[j], thr[j] = int(r.integers(features)), float(r.integers(-2, 3)) / 2
+            part = int(r.integers(1, rows))
+            left[j], right[j] = grow(part, level + 1), grow(rows - part, level + 1)
+        return j
+    grow(400, 0)
+    return {"weight": float(r.random()), "cover": np.array(cover), "left": np.array(left), "right": np.array(right),
+            "feat": np.array(feat), "thr": np.array(thr, dtype=float), "value": np.array(value), "cats": {}}
+
+
+def test_leaf_paths_equal_the_walk(monkeypatch):
+    r = np.random.default_rng(6)
+    for features, depth, table in ((3, 4, 8), (8, 6, 8), (12, 9, 8), (5, 5, 0)):
+        monkeypatch.setattr(mo, "MAX_TABLE", table)
+        trees = [drawn_tree(r, features, depth) for _ in range(6)]
+        x = r.integers(-3, 4, (40, features)) / 2
+        expected, base = np.zeros(x.shape), 0.0
+        for t in trees:
+            part = np.zeros(x.shape)
+            base += t["weight"] * mo._tree_shap(t, x, part)
+            expected += t["weight"] * part
+        groups, found = mo.leaf_paths(trees)
+        got = mo.path_contributions(groups, x)
+        assert np.allclose(got, expected, atol=1e-10) and abs(found - base) < 1e-10
+        margin = sum(t["weight"] * mo._tree_values(t, x) for t in trees)
+        assert np.allclose(got.sum(axis=1) + found, margin, atol=1e-10)
+
+
 def test_stop_by_ranking_equals_brute_force(spark):
     """AUC after each round, from the staged counts and from scoring with every prefix; the label
     depends on the inputs, so it rises and then falls off."""
