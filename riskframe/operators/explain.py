@@ -94,12 +94,16 @@ def adverse_codes(scored: DataFrame, features: Sequence[str], n: int = 4,
                   id_col: str = "txn_id") -> DataFrame:
     """From the top-n reasons, positive contributions only: one row per distinct
     code (first by rank) with its description and driving feature."""
-    tr = top_reasons(scored, features, n, id_col).filter(F.col("contribution") > 0)
-    first = tr.groupBy(id_col, "reason_code").agg(
-        F.min_by(F.struct("rank", "feature"), F.col("rank")).alias("f"))
-    return first.select(id_col, F.col("reason_code").alias("code"),
-                        codes.reason_text(F.col("reason_code")).alias("description"),
-                        F.col("f.feature").alias("driven_by_feature"), F.col("f.rank").alias("rank"))
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    top = top_reasons_array(F.col("contrib"), values, source_names(features), n)
+    # all inside the row: what is exploded at the end is the result
+    coded = F.transform(top, lambda e: F.struct(codes.reason_code(e["feature"]).alias("code"), e["feature"].alias("feature"),
+                                                e["rank"].alias("rank"), e["contribution"].alias("c")))
+    x = scored.select(id_col, F.filter(coded, lambda e: rnd(e["c"], 5) > 0).alias("p"))
+    first = F.filter("p", lambda e, i: F.array_position(F.transform("p", lambda q: q["code"]), e["code"]) == i + 1)
+    return x.select(id_col, F.explode(first).alias("f")).select(
+        id_col, "f.code", codes.reason_text(F.col("f.code")).alias("description"),
+        F.col("f.feature").alias("driven_by_feature"), "f.rank")
 
 
 def contributions_long(scored: DataFrame, features: Sequence[str], id_col: str = "txn_id") -> DataFrame:

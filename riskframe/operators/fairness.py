@@ -13,8 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.numeric import rnd
 from riskframe.functions.codes import FOUR_FIFTHS
+from riskframe.functions.numeric import rnd
+from riskframe.operators import lookup
+from riskframe.session import written
 
 MIN_GROUP = 100
 
@@ -28,13 +30,16 @@ def proxies_long(df: DataFrame, proxies: Sequence[str], keep: Sequence[str]) ->
 def collapse_small_groups(long: DataFrame, min_size: int = MIN_GROUP) -> DataFrame:
     """Values with fewer than ``min_size`` rows become 'other'; missing becomes
     'missing' afterwards (so 'missing' is never collapsed)."""
-    sizes = (long.filter(F.col("group").isNotNull())
-                 .groupBy("proxy", "group").agg(F.count(F.lit(1)).alias("_gn")))
-    j = long.join(sizes, ["proxy", "group"], "left")
+    pair = F.concat("proxy", F.lit("\u0000"), F.col("group").cast("string"))
+    large = written(long.filter(F.col("group").isNotNull()).groupBy(pair.alias("_pair")).agg(F.count(F.lit(1)).alias("_n"))
+                    .filter(F.col("_n") >= min_size).select("_pair", F.lit(True).alias("_large"), F.lit("all").alias("_name")), "groups")
+    beyond = not large.isEmpty() and not lookup.small_tables(large, "_name", "_pair")
+    heavy = lookup.heavy_values(long, {"pair": pair})["pair"] if beyond else []
+    j = lookup.look_up(long, pair, large, "_pair", ["_large"], not beyond, heavy)
     g = (F.when(F.col("group").isNull(), F.lit("missing"))
-          .when(F.col("_gn") < min_size, F.lit("other"))
+          .when(F.col("_large").isNull(), F.lit("other"))
           .otherwise(F.col("group")))
-    return j.withColumn("group", g).drop("_gn")
+    return j.withColumn("group", g).drop("_large")
 
 
 _COUNTS = ["n_total", "n_fraud", "_flag", "_tp", "_fp", "_fn", "_tn"]

@@ -35,6 +35,9 @@ def daily_fraud_rate(df: DataFrame, day: str = "tx_day", label: str = "is_fraud"
               .withColumn("fraud_rate", rnd(F.col("n_fraud") / F.col("n"), 6)))
 
 
+MAX_CLASSES = 10_000            # classes whose ranges are broadcast
+
+
 def split_day(df: DataFrame, day: str = "tx_day", q: float = 0.8) -> DataFrame:
     """The q-quantile of the day number, truncated to an integer."""
     qq = exact_quantiles(df, day, [q])
@@ -65,8 +68,10 @@ def amount_histogram(df: DataFrame, bins: int = 60, amt: str = "amt",
     rng = x.groupBy("cls").agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
                                F.count(F.lit(1)).alias("n_cls"))
     w = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    # one row per class value; joined without a forced broadcast (AQE broadcasts it
-    # at run time when its measured size is small)
+    # one row per class: read once, and broadcast while the classes are few
+    rows = rng.limit(MAX_CLASSES + 1).collect()
+    if len(rows) <= MAX_CLASSES:
+        rng = F.broadcast(df.sparkSession.createDataFrame(rows, rng.schema))
     b = F.least(F.floor((F.col("x") - F.col("lo")) / w), F.lit(bins - 1)).cast("int")
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(b)
     counted = (x.join(rng, "cls")
