@@ -8,15 +8,16 @@ Jobs (nothing of the documents but digests is shuffled except where said):
    keys, and one byte of each minimum.
 2. Documents with the same set collapse to one representative (its smallest id),
    so thousands of exact copies cost one row afterwards.
-3. Representatives that share a band key link to the bucket's smallest id (a star:
-   rows, not pairs). Connected components of these unverified links are *clusters*:
-   two documents that share any bucket are in one cluster.
-4. Inside a cluster each document is first compared with the one document it
-   shares most buckets with. Documents left outside the cluster's largest verified
-   group are then compared with all of it, block by block: a task holds two blocks
-   of at most BLOCK documents, however large the cluster is. Each comparison first
-   verifies the byte signatures and then confirms on the full sets; a task returns
-   links of a spanning forest only, never pairs of a group.
+3. Representatives that share a band key are a bucket; each links to the bucket's
+   smallest id (a star: rows, not pairs) and is compared with the one document it
+   shares most buckets with. Components of the confirmed links are *groups*.
+4. Buckets that hold two groups or more are searched: documents outside a bucket's
+   largest group meet all of the bucket, signatures first, in blocks of SIG_BLOCK;
+   a pair counts in the first bucket it shares only. Documents with a signature
+   match in another group meet again with their full sets, in blocks of BLOCK. A
+   task holds two blocks, however large a bucket is, and returns links of a
+   spanning forest of groups only, never pairs of a group. Pages that share a
+   template but not their text end at the signatures, a few hundred bytes each.
 5. Connected components of the confirmed links, mapped back through step 2.
 
 A pair at similarity exactly 0.75 shares no band with probability 2e-5, and a
@@ -42,7 +43,8 @@ from riskframe.llm.hashing import doc_words, mix64, odd_multipliers, shingle_has
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 SHINGLE = 5
-BLOCK = 256                 # documents of a block; a task compares two blocks
+BLOCK = 256                 # documents of a block with full sets; a task compares two blocks
+SIG_BLOCK = 4096            # documents of a block with signatures only
 BLOCK_SHINGLES = 1 << 20    # shingles of a block: long documents make smaller blocks
 SIG_FLOOR = 0.61            # 0.75 less 4.5 standard deviations of a 200-minima estimate
 _MULT = odd_multipliers(101, HASHES)
@@ -133,9 +135,43 @@ def _sets(batches):
             names=["id", "sig", "shingles"])
 
 
-def _forest(ids_l, sig_l, set_l, ids_r, sig_r, set_r, threshold: float):
-    """Links of a spanning forest of the similar pairs (left x right), found by
-    signature verification and confirmed on the full sets."""
+def _tasks(batches):
+    """The rows of one task (c, x, y) after the other, from batches sorted by task."""
+    import pyarrow as pa
+
+    held, at = [], None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in ("c", "x", "y")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), n]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            key = tuple(keys[:, start].tolist())
+            if held and key != at:
+                yield at[0], pa.Table.from_batches(held)
+                held = []
+            at = key
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield at[0], pa.Table.from_batches(held)
+
+
+def _numbers(rows, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy()
+
+
+def _byte_matrix(rows) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
+def _sizes_allow(a, b, threshold: float):
+    return 100 * np.minimum(a, b) >= 100 * threshold * np.maximum(a, b)
+
+
+def _forest(rows, threshold: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the groups that similar pairs (left x right) join,
+    found by signature verification and confirmed on the full sets."""
     parent: dict[int, int] = {}
 
     def root(x):
@@ -144,62 +180,87 @@ def _forest(ids_l, sig_l, set_l, ids_r, sig_r, set_r, threshold: float):
         return x
 
     links = []
-    size_l = np.array([len(s) for s in set_l])
-    size_r = np.array([len(s) for s in set_r])
-    for i in range(len(ids_l)):
-        agree = (sig_r == sig_l[i]).sum(axis=1)
-        small, large = np.minimum(size_r, size_l[i]), np.maximum(size_r, size_l[i])
-        may = np.flatnonzero((agree >= SIG_FLOOR * HASHES) & (100 * small >= 100 * threshold * large))
-        for j in may[np.argsort(-agree[may], kind="stable")]:
-            a, b = int(ids_l[i]), int(ids_r[j])
-            if a == b or root(a) == root(b):
+    left = np.array(rows.column("side").to_pylist()) == "l"
+    group, sig = _numbers(rows, "g").tolist(), _byte_matrix(rows)
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    right = np.flatnonzero(~left)
+    for i in np.flatnonzero(left):
+        agree = (sig[right] == sig[i]).sum(axis=1)
+        may = np.flatnonzero((agree >= SIG_FLOOR * HASHES) & _sizes_allow(size[right], size[i], threshold))
+        for j in right[may[np.argsort(-agree[may], kind="stable")]]:
+            a, b = root(group[i]), root(group[j])
+            if a == b:
                 continue
-            both = np.concatenate([set_l[i], set_r[j]])
+            both = np.concatenate([sets[i], sets[j]])
             both.sort()
             inter = int((both[1:] == both[:-1]).sum())
             if 100 * inter >= round(100 * threshold) * (len(both) - inter):
-                parent[root(a)] = root(b)
-                links.append((a, b))
+                parent[a] = b
+                links.append((group[i], group[j]))
     return links
 
 
-def _compare(threshold: float):
-    """Rows arrive grouped by task (c, x, y), side l before r; one task is held at a time."""
+def _confirm(threshold: float):
     def run(batches):
-        def links(sides):
-            if not (sides["l"] and sides["r"]):
-                return []
-            parts = []
-            for side in ("l", "r"):
-                rows = sides[side]
-                parts += [[r[0] for r in rows], np.stack([np.frombuffer(r[1], np.uint8) for r in rows]),
-                          [np.frombuffer(r[2], np.uint64) for r in rows]]
-            return _forest(*parts, threshold)
-
-        task, sides = None, {"l": [], "r": []}
-        for batch in batches:
-            out = []
-            keys = zip(*(batch.column(k).to_pylist() for k in ("c", "x", "y", "side", "id", "sig", "shingles")))
-            for c, x, y, side, i, sig, shingles in keys:
-                if (c, x, y) != task:
-                    out += links(sides)
-                    task, sides = (c, x, y), {"l": [], "r": []}
-                sides[side].append((i, sig, shingles))
-            yield _pairs(out)
-        yield _pairs(links(sides))
-
-    def _pairs(out):
         import pyarrow as pa
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
+
+        for _, rows in _tasks(batches):
+            found = _forest(rows, threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
     return run
 
 
-def _compare_blocks(roles: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """roles: id, side (l or r) and task (c, x, y); a task has about two blocks of rows."""
-    rows = roles.join(sets.select("id", "sig", "shingles"), "id").select("c", "x", "y", "side", "id", "sig", "shingles")
-    return rows.repartition("c", "x", "y").sortWithinPartitions("c", "x", "y", "side") \
-        .mapInArrow(_compare(threshold), "u bigint, v bigint")
+def _verify(threshold: float):
+    """Documents of a bucket that have a signature match in another group of it."""
+    def run(batches):
+        import pyarrow as pa
+
+        for bucket, rows in _tasks(batches):
+            side = np.array(rows.column("side").to_pylist()) == "l"
+            left, right = np.flatnonzero(side), np.flatnonzero(~side)
+            ids, group, size = (_numbers(rows, c) for c in ("id", "g", "n_shingles"))
+            outside = np.array(rows.column("outside").to_pylist())
+            bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            sig, hit = _byte_matrix(rows), np.zeros(len(ids), dtype=bool)
+            for i in left:
+                # two documents outside the largest group meet twice: once is enough
+                may = right[(group[right] != group[i]) & ~(outside[right] & (ids[right] < ids[i]))
+                            & _sizes_allow(size[right], size[i], threshold)]
+                may = may[(sig[may] == sig[i]).sum(axis=1) >= SIG_FLOOR * HASHES]
+                first = (bands[may] == bands[i]).argmax(axis=1)     # the pair's first common bucket
+                may = may[bands[i][first] == bucket]
+                hit[may] = True
+                hit[i] |= len(may) > 0
+            at = np.flatnonzero(hit)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), bucket, dtype=np.int64)), *(pa.array(x[at]) for x in (ids, group, size)),
+                     pa.array(outside[at])], names=["band", "id", "g", "n_shingles", "outside"])
+    return run
+
+
+def _by_task(roles: DataFrame, facts: DataFrame) -> DataFrame:
+    """roles: id, side (l or r), task (c, x, y) and more; facts of each id join them."""
+    return roles.join(facts, "id").repartition("c", "x", "y").sortWithinPartitions("c", "x", "y")
+
+
+def _opposed(placed: DataFrame, *more: str) -> DataFrame:
+    """Roles of a bucket's rows: each block of those outside its largest group (n_l
+    blocks, number bl) against each block of all (n_r blocks, number br)."""
+    def each(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    band = F.col("band").alias("c")
+    left = placed.filter("outside").select("id", *more, F.lit("l").alias("side"), band, F.col("bl").alias("x"), each("n_r").alias("y"))
+    right = placed.select("id", *more, F.lit("r").alias("side"), band, each("n_l").alias("x"), F.col("br").alias("y"))
+    return left.unionAll(right)
+
+
+def _block_number(n: str, seed: int) -> F.Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed)), n)
 
 
 def _blocks(rows, n_shingles) -> F.Column:
@@ -207,8 +268,30 @@ def _blocks(rows, n_shingles) -> F.Column:
     return F.greatest(F.ceil(rows / BLOCK), F.ceil(n_shingles / BLOCK_SHINGLES)).cast("long")
 
 
-def _each(n) -> F.Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+def _between_groups(members: DataFrame, state: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) between groups. members: band, id; state: id, g (group), n_shingles, sig, bands."""
+    inside = members.join(state.select("id", "g"), "id")
+    open_ = inside.groupBy("band", "g").agg(F.count("*").alias("m")) \
+        .groupBy("band").agg(F.sum("m").alias("rows"), F.max(F.struct("m", "g")).alias("top"), F.count("*").alias("groups")) \
+        .filter("groups > 1").select(
+            "band", F.col("top.g").alias("top"), F.ceil((F.col("rows") - F.col("top.m")) / SIG_BLOCK).alias("n_l"),
+            F.ceil(F.col("rows") / SIG_BLOCK).alias("n_r"))
+    placed = inside.join(open_, "band").select(
+        "band", "id", "n_l", "n_r", (F.col("g") != F.col("top")).alias("outside"),
+        _block_number("n_l", 0).alias("bl"), _block_number("n_r", 1).alias("br"))
+    matched = materialize(
+        _by_task(_opposed(materialize(placed, "placed"), "outside"), state)
+        .select("c", "x", "y", "side", "id", "g", "n_shingles", "outside", "sig", "bands")
+        .mapInArrow(_verify(threshold), "band bigint, id bigint, g bigint, n_shingles bigint, outside boolean")
+        .distinct(), "matched")
+
+    size = matched.groupBy("band").agg(
+        _blocks(F.sum(F.col("outside").cast("long")), F.sum(F.when(F.col("outside"), F.col("n_shingles")))).alias("n_l"),
+        _blocks(F.count("*"), F.sum("n_shingles")).alias("n_r"))
+    placed = matched.join(size, "band").select(
+        "band", "id", "g", "n_l", "n_r", "outside", _block_number("n_l", 2).alias("bl"), _block_number("n_r", 3).alias("br"))
+    return _by_task(_opposed(placed, "g"), sets).select("c", "x", "y", "side", "id", "g", "sig", "shingles") \
+        .mapInArrow(_confirm(threshold), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -224,64 +307,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min(F.struct("doc_id", "bands", "sig")).alias("rep")), "classes")
     reps = classes.select("rep.*")
 
-    # buckets: star links to the smallest id; only ids and keys move
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    star = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")) \
+    # buckets of two or more, each with its smallest id; only ids and keys move
+    banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")) \
         .filter("hub != last").select("band", "hub")
-    shared = materialize(banded.join(star, "band").filter("doc_id != hub")
-                         .groupBy("doc_id", "hub").agg(F.count("*").alias("n")), "shared")
-    clusters = connected_components(shared.select(F.col("doc_id").alias("u"), F.col("hub").alias("v")), "clusters") \
-        .withColumnRenamed("component", "cluster")
-    clusters = materialize(clusters, "clusters")
+    members = materialize(banded.join(buckets, "band"), "members")
+    best = members.filter("id != hub").groupBy("id", "hub").agg(F.count("*").alias("n")) \
+        .groupBy("id").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("b")) \
+        .select("id", (-F.col("b.hub")).alias("hub"))
 
-    # the full sets of clustered representatives, once
+    # the full sets of the documents in buckets, once
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    need = clusters.join(classes.select(F.col("rep.doc_id").alias("id"), "n_shingles", F.col("rep.sig").alias("sig")), "id")
-    need = materialize(need, "need")
+    need = materialize(members.select("id").distinct().join(
+        classes.select(F.col("rep.doc_id").alias("id"), "n_shingles", "rep.sig", "rep.bands"), "id"), "need")
     sets = materialize(text.join(need.select("id", "sig"), "id").select(F.col("id").alias("doc_id"), "sig", "text")
                        .mapInArrow(_sets, "id bigint, sig binary, shingles binary"), "sets")
 
     # each document against the hub it shares most buckets with
-    best = shared.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("b")) \
-        .select(F.col("doc_id").alias("id"), (-F.col("b.hub")).alias("hub")) \
-        .join(need.select("id", "n_shingles"), "id")
+    best = best.join(need.select("id", "n_shingles"), "id")
     slots = best.groupBy("hub").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("slots"))
-    mine = best.join(slots, "hub").select("id", F.lit("l").alias("side"), F.col("hub").alias("c"),
-                                          F.pmod(F.xxhash64("id"), "slots").alias("x"), F.lit(0).cast("long").alias("y"))
-    hubs = slots.select(F.col("hub").alias("id"), F.lit("r").alias("side"), F.col("hub").alias("c"),
-                        _each(F.col("slots")).alias("x"), F.lit(0).cast("long").alias("y"))
-    first = materialize(_compare_blocks(mine.unionAll(hubs), sets, threshold), "links-1")
-    groups = materialize(connected_components(first, "groups"), "groups")
-
-    # documents outside their cluster's largest group against the whole cluster, in blocks
-    state = need.select("cluster", "id", "n_shingles").join(groups, "id", "left") \
-        .withColumn("component", F.coalesce("component", "id"))
-    parts = state.groupBy("cluster", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
-    open_ = parts.groupBy("cluster").agg(
-        _blocks(F.sum("m"), F.sum("w")).alias("n_r"), F.max(F.struct("m", "component")).alias("top"),
-        _blocks(F.sum("m") - F.max("m"), F.sum("w")).alias("n_l"), F.count("*").alias("parts")) \
-        .filter("parts > 1").select("cluster", "n_l", "n_r", F.col("top.component").alias("top"))
-    placed = materialize(state.join(open_, "cluster").select(
-        "cluster", "id", "n_l", "n_r", (F.col("component") != F.col("top")).alias("outside"),
-        F.pmod(F.xxhash64("id"), "n_l").alias("bl"), F.pmod(F.xxhash64("id", F.lit(1)), "n_r").alias("br")), "placed")
-    left = placed.filter("outside").select("id", F.lit("l").alias("side"), F.col("cluster").alias("c"),
-                                           F.col("bl").alias("x"), _each(F.col("n_r")).alias("y"))
-    right = placed.select("id", F.lit("r").alias("side"), F.col("cluster").alias("c"),
-                          _each(F.col("n_l")).alias("x"), F.col("br").alias("y"))
-    second = _compare_blocks(left.unionAll(right), sets, threshold)
-    # links between groups join them; a group's name is its smallest id already
-    second = materialize(second, "links-2")
-    name = groups.select(F.col("id").alias("node"), "component")
-    between = second
-    for end in ("u", "v"):
-        between = between.join(name, F.col(end) == F.col("node"), "left") \
-            .withColumn(end, F.coalesce("component", end)).select("u", "v")
-    joined = connected_components(between, "final").select(F.col("id").alias("group"), F.col("component").alias("whole"))
-    final = materialize(
-        groups.unionAll(second.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-                        .join(groups, "id", "left_anti").select("id", F.col("id").alias("component")))
-        .join(joined, F.col("component") == F.col("group"), "left")
-        .select("id", F.coalesce("whole", "component").alias("component")), "final")
+    zero, group = F.lit(0).cast("long").alias("y"), F.col("id").alias("g")
+    mine = best.join(slots, "hub").select("id", group, F.lit("l").alias("side"), F.col("hub").alias("c"),
+                                          _block_number("slots", 0).alias("x"), zero)
+    hubs = slots.select(F.col("hub").alias("id"), F.col("hub").alias("g"), F.lit("r").alias("side"), F.col("hub").alias("c"),
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("x"), zero)
+    first = _by_task(mine.unionAll(hubs), sets).select("c", "x", "y", "side", "id", "g", "sig", "shingles") \
+        .mapInArrow(_confirm(threshold), "u bigint, v bigint")
+    groups = connected_components(materialize(first, "links-1"), "groups")
+    state = materialize(need.join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))
+                        .select("id", "g", "n_shingles", "sig", "bands"), "state")
+
+    # then the groups of each bucket against each other; a group's name is its smallest id
+    second = materialize(_between_groups(members.select("band", "id"), state, sets, threshold), "links-2")
+    joined = connected_components(second, "final").select(F.col("id").alias("g"), F.col("component").alias("whole"))
+    final = state.select("id", "g").join(joined, "g", "left").select("id", F.coalesce("whole", "g").alias("component"))
 
     of_class = classes.select("set_a", "set_b", "n_shingles", F.col("rep.doc_id").alias("id")) \
         .join(final, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("c"))

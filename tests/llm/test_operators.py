@@ -230,6 +230,31 @@ def test_near_copies_at_the_edge(spark):
     assert got == brute.near_groups(rows)
 
 
+def test_template_pages(spark, monkeypatch):
+    """Pages that share more than half of their words link to nothing; four times the pages
+    make about four times the rows that tasks compare, and near copies among them are found."""
+    def pages(n):
+        own = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.concat(
+            F.lit("w"), F.when((F.col("id") % 500 == 1) & (k > 10), F.col("id") - 1).otherwise(F.col("id")).cast("string"),
+            F.lit("x"), k.cast("string")))
+        text = F.array_join(F.concat(F.array(*[F.lit(f"t{k}") for k in range(130)]), own), " ")
+        return spark.range(0, n, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"))
+
+    compared, plain = [], minhash_dedup._by_task
+
+    def counted(roles, facts):
+        compared.append(roles.count())
+        return plain(roles, facts)
+    monkeypatch.setattr(minhash_dedup, "_by_task", counted)
+    sizes = []
+    for n in (1500, 6000):
+        compared.clear()
+        got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(pages(n)).collect()}
+        assert got == {k: k - (k % 500 == 1) for k in range(n)}
+        sizes.append(list(compared))
+    assert sum(sizes[1]) <= 5 * sum(sizes[0]), sizes
+
+
 def test_components(spark):
     import random
     r = random.Random(2)
