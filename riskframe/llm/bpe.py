@@ -15,7 +15,8 @@ a batch of ids is decoded by one gather.
 
 The merge tables (size: the vocabulary) are read on the driver from the path given
 and broadcast. Words seen before are looked up, in a table that is emptied when it
-holds WORD_CACHE entries; that affects time only.
+holds CACHE_BYTES; words over LONGEST_KNOWN characters are not kept. That affects
+time only, and a worker's memory doesn't grow with long distinct words.
 
 Defined cases: a null text counts as empty, and an empty one has no ids and decodes
 to an empty text; repeated rows give repeated results; an empty table gives an empty
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import json
 from array import array
+from sys import getsizeof
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import ship
 from riskframe.llm.hashing import text_buffer
 
-WORD_CACHE = 700_000
+CACHE_BYTES = 128 << 20     # of each of the two tables of known pieces
+LONGEST_KNOWN = 64          # characters; longer pieces are encoded anew each time
+_ENTRY = 104                # bytes of a dict entry beside its key and value
 GROUP_BYTES = 1 << 21               # text handled at a time in a task
 END = "</w>"                        # marks a symbol that ends a word in the file
 _SHIFT = 0x1000                     # such a symbol is moved to a character of its own
@@ -100,7 +104,7 @@ def load_tables(path: str) -> dict:
         "pattern": pattern, "base": base, "ids": ids, "left": left, "right": right, "pair": pair,
         "length": [len(s) for s in text], "prefix": prefix,
         "special": {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]},
-        "spoken": spoken, "fits": {}, "words": {}, "chunks": {},
+        "spoken": spoken, "fits": {}, "words": {}, "chunks": {}, "used": {"words": 0, "chunks": 0},
     }
     whole = [_reached(s, k, tables) for k, s in enumerate(text)]
     automaton = ahocorasick.Automaton()
@@ -181,6 +185,18 @@ def encode_word(word: str, t: dict) -> list[int]:
             at -= length[token]
 
 
+def _remember(t: dict, table: str, piece: str, ids: bytes) -> None:
+    """Keep a short piece's ids; a table whose entries reach CACHE_BYTES starts again empty."""
+    if len(piece) > LONGEST_KNOWN:
+        return
+    size = getsizeof(piece) + getsizeof(ids) + _ENTRY
+    if t["used"][table] + size > CACHE_BYTES:
+        t[table].clear()
+        t["used"][table] = 0
+    t[table][piece] = ids
+    t["used"][table] += size
+
+
 def encode_chunk(chunk: str, t: dict) -> bytes:
     """Ids (packed 32-bit) of a piece of text without white space."""
     import unicodedata
@@ -204,9 +220,7 @@ def encode_chunk(chunk: str, t: dict) -> bytes:
             s = word.encode().decode("latin-1").translate(t["bytes"])
             s = s[:-1] + chr(ord(s[-1]) + _SHIFT)
             got = array("i", [ids[k] for k in encode_word(s, t)]).tobytes()
-            if len(words) >= WORD_CACHE:
-                words.clear()
-            words[word] = got
+            _remember(t, "words", word, got)
         parts.append(got)
     return b"".join(parts)
 
@@ -233,9 +247,8 @@ def encode_text(text: str, t: dict) -> bytes:
     for c in chunks:
         got = known.get(c)
         if got is None:
-            if len(known) >= WORD_CACHE:
-                known.clear()
-            got = known[c] = encode_chunk(c, t)
+            got = encode_chunk(c, t)
+            _remember(t, "chunks", c, got)
         parts.append(got)
     return b"".join(parts)
 
