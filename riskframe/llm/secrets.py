@@ -3,8 +3,9 @@
 Candidates are found in the whole text by fixed patterns. The digest of each candidate's
 secret part is counted over the corpus by distinct owners and repositories (first per
 owner, then over owners, so that a value copied a million times is a partial count
-before it moves). A value that few owners hold looks live; one that many hold is an
-example from documentation. Base kinds are always reported; the wider patterns of the
+before it moves). A value that few owners hold in few repositories looks live; one that
+many owners hold, or that one owner repeats in many repositories, is an example from
+documentation or a template. Base kinds are always reported; the wider patterns of the
 method (ADDED) only where the value looks live: owner-specific, with at least
 MIN_DISTINCT different characters, a digit and a letter.
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import materialize
 
 MAX_OWNERS = 3          # owners of a value that still looks live
+MAX_REPOSITORIES = 10   # repositories, of all its owners, of a value that still looks live
 MIN_DISTINCT = 8        # different characters of an added value at least
 
 # Fixed patterns of the base kinds: pattern, group of the secret part, its least length.
@@ -58,7 +60,8 @@ def _hits(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None,
-         repository: Column | None = None, max_owners: int = MAX_OWNERS) -> tuple[DataFrame, DataFrame]:
+         repository: Column | None = None, max_owners: int = MAX_OWNERS,
+         max_repositories: int = MAX_REPOSITORIES) -> tuple[DataFrame, DataFrame]:
     """(rows, spans). rows: row, id, text_key of every input row. spans: row, id,
     text_key, kind, start, end, base, owners, repositories, live; added spans that
     don't look live are left out."""
@@ -82,7 +85,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     held = hits.groupBy("value", "owner").agg(F.countDistinct("repository").alias("r")) \
         .groupBy("value").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
     spans = hits.join(held, "value").withColumn("base", F.col("kind") < len(BASE)) \
-        .withColumn("live", (F.col("owners") <= max_owners) & F.col("mixed")) \
+        .withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories) & F.col("mixed")) \
         .filter(F.col("base") | F.col("live"))
     return slim.select("row", "id", "text_key"), spans.drop("owner", "repository", "mixed", "value")
 

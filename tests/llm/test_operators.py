@@ -72,6 +72,20 @@ def test_bpe_equals_the_library(spark, edge, none, doubled):
     assert bpe.encode(doubled, word_bpe_file()).count() == doubled.count()
 
 
+def test_bpe_known_pieces_are_bounded_by_bytes(monkeypatch):
+    """Whatever the pieces, the tables stay within their bytes, and the ids stay the same."""
+    import random
+    r = random.Random(4)
+    text = " ".join("".join(r.choice("abcXYZ019+/é") for _ in range(r.choice([3, 20, 64, 65, 4000]))) for _ in range(600))
+    free, tight = bpe.load_tables(word_bpe_file()), bpe.load_tables(word_bpe_file())
+    expected = bpe.encode_text(text, free)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    assert bpe.encode_text(text, tight) == bpe.encode_text(text, tight) == expected
+    for table in ("words", "chunks"):
+        assert max(map(len, free[table])) <= bpe.LONGEST_KNOWN and 0 < tight["used"][table] <= 20_000
+        assert tight["used"][table] == sum(bpe.getsizeof(k) + bpe.getsizeof(v) + bpe._ENTRY for k, v in tight[table].items())
+
+
 def test_bpe_words_of_the_vocabulary():
     import random
 
@@ -359,6 +373,16 @@ def test_widely_held_values_are_examples(spark):
     assert all(got[k] == "" for k in range(9)) and all(got[k].startswith("key:5:") for k in range(9, 12))
 
 
+def test_one_owner_with_many_repositories(spark):
+    """A value in 40 repositories of one owner is a template's; one in 10 repositories looks live."""
+    often, seldom = "Zx9abcdefGHIJKLMNOP0123456789qr", "Qw7abcdefGHIJKLMNOP0123456789zz"
+    docs = spark.createDataFrame([(k, f"use {often if k < 400 else seldom} here", "o", f"r{k % (40 if k < 400 else 10)}")
+                                  for k in range(500)], "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: r.spans for r in secrets.by_document(
+        *secrets.scan(docs, owner=F.col("source"), repository=F.col("repo"))).collect()}
+    assert all((got[k] == "") == (k < 400) for k in range(500))
+
+
 # ---- quality rules
 
 def test_quality_rules(spark, edge, edge_rows, none, doubled):
