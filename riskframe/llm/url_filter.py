@@ -19,8 +19,10 @@ more of all positions (HEAVY_PARTS at most) are broadcast, the others joined by
 so no run that is in every address lands in one task.
 
 Defined cases: a null address or one without "://" has an empty host and path and is
-blocked by the method; without accepted or without rejected training addresses nothing else is
-blocked; repeated rows give repeated results; an empty table gives an empty result; only the
+blocked by the method; without accepted or without rejected training addresses, or if the
+held-out rejected ones don't score above the accepted ones on average (the models tell nothing),
+nothing else is blocked; a probability of exactly BLOCK_FROM blocks; addresses of any length are
+scored whole; repeated rows give repeated results; an empty table gives an empty result; only the
 named columns are read.
 """
 
