@@ -16,7 +16,8 @@ the models and edges of the rounds so far, so that a fit reads its rows in a pas
 a join or a shuffle.
 
 Defined cases: null or empty texts have zero features, null metadata is a value of
-its own; a label row with a null id or label, or without a document, is not used; rows
+its own; a label row with a null id or label, or without a document, is not used; of clashing
+labels of one id good wins; texts of any length are read whole; rows
 that repeat an id are scored each; without labels of both classes (in training and
 held out) every score is the share of good labels (0.5 without any); an empty table gives an empty result.
 """
