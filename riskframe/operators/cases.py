@@ -3,7 +3,8 @@
 Sampling orders rows by md5(id || seed) and keeps the first n: the draw is the
 same for any partitioning and reproducible in SQL. ``orderBy(...).limit(n)``
 plans as a per-task top-n followed by a merge of n rows per task, so no task
-ever sorts a whole pool.
+ever sorts a whole pool. The evaluation set draws from all pools in one pass: a row
+is marked with its pools, and each task hands on its first rows of each pool.
 """
 
 from __future__ import annotations
@@ -73,19 +74,40 @@ def pick_pool(df: DataFrame, sc: Scenario, id_col: str = "txn_id") -> DataFrame:
                              else F.lit(""))
 
 
+def pick_pools(df: DataFrame, pools: list[Scenario], id_col: str = "txn_id") -> DataFrame:
+    """The draws of all pools, as ``pick_pool`` makes them one by one, in one pass over the rows:
+    ``df``'s columns with ``_si`` (the pool's place) and ``_ord``. The row numbers are limited before
+    the shuffle, so a task that merges a pool gets a few rows of each task."""
+    by_size = sorted({sc.pick.split(":", 1)[1] for sc in pools if sc.pick.startswith("largest:")})
+    marks = []
+    for i, sc in enumerate(pools):
+        size = sc.pick.split(":", 1)[1] if sc.pick.startswith("largest:") else None
+        marks.append(F.when(sc.predicate, F.struct(
+            F.lit(i).alias("_si"),
+            *[(F.col(c) if c == size else F.lit(None).cast(df.schema[c].dataType)).alias(f"_top_{c}") for c in by_size],
+            (F.lit("") if size else sample_key(id_col, sc.seed)).alias("_ord"))))
+    marked = df.withColumn("_m", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull()))).select(*df.columns, "_m.*")
+    order = Window.partitionBy("_si").orderBy(*[F.desc(f"_top_{c}") for c in by_size], "_ord", F.asc(id_col))
+    first = marked.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max(sc.n for sc in pools))
+    wanted = F.element_at(F.array(*[F.lit(sc.n) for sc in pools]), F.col("_si") + 1)
+    return first.filter(F.col("_rn") <= wanted).drop("_rn", *[f"_top_{c}" for c in by_size])
+
+
 def build_eval_set(df: DataFrame, high_amount: float = 500.0, night_amount: float = 200.0,
                    id_col: str = "txn_id", score: str = "score", label: str = "is_fraud") -> DataFrame:
     """All scenario draws, numbered eval_001... in scenario order then draw order."""
     if "tx_hour" not in df.columns:
         df = df.withColumn("tx_hour", tx_hour())
-    parts = None
-    for i, sc in enumerate(scenarios(high_amount, night_amount, score, label)):
-        p = pick_pool(df, sc, id_col).select(
-            F.lit(i).alias("_si"), "_ord", F.col(id_col).alias("transaction_id"),
-            F.lit(sc.name).alias("scenario_type"), F.lit(sc.expected_action).alias("expected_action"),
-            F.lit(sc.expected_risk).alias("expected_risk"), rnd(score, 5).alias("model_score"),
-            F.col(label).cast("int").alias("actual_fraud"), F.lit(sc.adversarial).alias("adversarial"))
-        parts = p if parts is None else parts.unionByName(p)
+    pools = scenarios(high_amount, night_amount, score, label)
+    used = dict.fromkeys([id_col, score, label, "amt", "tx_hour"])
+    outcomes = F.array(*[F.struct(
+        F.lit(sc.name).alias("scenario_type"), F.lit(sc.expected_action).alias("expected_action"),
+        F.lit(sc.expected_risk).alias("expected_risk"), F.lit(sc.adversarial).alias("adversarial")) for sc in pools])
+    picked = pick_pools(df.select(*used), pools, id_col).withColumn("_sc", F.element_at(outcomes, F.col("_si") + 1))
+    parts = picked.select(
+        "_si", "_ord", F.col(id_col).alias("transaction_id"), "_sc.scenario_type", "_sc.expected_action",
+        "_sc.expected_risk", rnd(score, 5).alias("model_score"), F.col(label).cast("int").alias("actual_fraud"),
+        "_sc.adversarial")
     # at most 30 rows reach this window
     w = F.row_number().over(Window.orderBy("_si", "_ord", "transaction_id"))
     return parts.withColumn("eval_id", F.format_string("eval_%03d", w)).drop("_si", "_ord")
