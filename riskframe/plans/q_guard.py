@@ -13,9 +13,9 @@ from riskframe.operators.extract import extract_json_frame
 from riskframe.plans.catalog import register
 from riskframe.plans.oracle import with_txn
 from riskframe.plans.q_cases import _EVAL_CTE, eval_set
-from riskframe.session import ensure_checkpoint_dir
+from riskframe.session import ensure_checkpoint_dir, written
 from riskframe.sources import reports as rp
-from riskframe.sources.tables import fact_table
+from riskframe.sources.tables import fact_table, txn_of
 
 _TOP_SQL = "[" + ", ".join(f"'{x}'" for x in rp.TOP_FEATURES) + "]"
 
@@ -232,9 +232,11 @@ cr AS (
 
 
 def case_results(spark, sf_dir):
-    """Each case with the report of its run, which carries the case's eval_id."""
-    cases = eval_set(spark, sf_dir)
-    runs = rp.reports(spark, sf_dir).join(F.broadcast(cases.select("eval_id", F.col("transaction_id").alias("txn_id"))), "txn_id")   # 30 cases
+    """Each case with the report of its run, which carries the case's eval_id. The cases are drawn
+    once and written; reports are formed from the transactions of the cases."""
+    cases = written(eval_set(spark, sf_dir), "cases")
+    of_case = cases.select("eval_id", F.col("transaction_id").alias("txn_id"))       # 30 cases
+    runs = rp.build_reports(txn_of(spark, sf_dir, of_case)).join(F.broadcast(of_case), "txn_id")
     return ag.case_results(cases, runs)
 
 

@@ -98,6 +98,13 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txn_from_events(fact_table(spark, sf_dir, "events"), identity_side(spark, sf_dir))
 
 
+def txn_of(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``txn`` for the few transactions in ``ids`` (txn_id), taken from the scan
+    before the identity side is joined."""
+    few = F.broadcast(ids.select(F.col("txn_id").alias("event_id")))
+    return txn_from_events(table(spark, sf_dir, "events").join(few, "event_id", "left_semi"), identity_side(spark, sf_dir))
+
+
 def lineitem_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Larger binding for throughput runs: label = returned line, score = a fixed
     linear mix of discount, tax and quantity, id = a 64-bit hash of the line's key
